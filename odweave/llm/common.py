@@ -49,3 +49,22 @@ def same(a: DataFrame, b: DataFrame, *keys: str):
         c = a[k].eqNullSafe(b[k])
         cond = c if cond is None else cond & c
     return cond
+
+
+def file_system(uri: str):
+    """(file system, path) of a URI in the shared folder, for tasks that write or read raw bytes there."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri[len("file:") :].lstrip("/")
+    if "://" not in uri:
+        return fs.LocalFileSystem(), uri
+    return fs.FileSystem.from_uri(uri)
+
+
+def attempt_name() -> str:
+    """A name for a file of this task attempt: an attempt that is lost or repeated leaves others' files alone."""
+    from pyspark import TaskContext
+
+    c = TaskContext.get()
+    return f"part-{c.partitionId():06d}-{c.taskAttemptId()}" if c else f"part-{uuid.uuid4().hex}"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from odweave.llm import line_dedup as _lines
 from odweave.llm import mpeg_audio as _mpeg
+from odweave.llm import warc as _warc
 from odweave.llm.common import arrow_ready, table
 
 
@@ -25,6 +26,13 @@ def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mpeg.digests(_mpeg.scan_column(_mpeg.media_column(docs)))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC records and read back by boundary chains."""
+    arrow_ready(spark)
+    records = _warc.archive_round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 OP1_SQL = f"""
 WITH pages AS (SELECT row_number() OVER () AS page, doc_id, source, text FROM documents),
 each AS (
@@ -55,7 +63,7 @@ FROM pages p LEFT JOIN joined j USING (page)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this subpackage."""
-    return {"op1_line_dedup": op1_line_dedup, "op2_mpeg_audio": op2_mpeg_audio}
+    return {"op1_line_dedup": op1_line_dedup, "op2_mpeg_audio": op2_mpeg_audio, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
