@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,8 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow_ready(spark: SparkSession) -> None:
-    """Bound the rows in an Arrow batch, so that long texts fit into a Python worker."""
+    """Bound the rows in an Arrow batch, so that long texts fit into a Python worker.
+
+    Workers on this machine also get the driver's path to this package, where it isn't installed.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = f"{root}:{env['PYTHONPATH']}" if env.get("PYTHONPATH") else root
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -7,9 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
+from odweave.llm import byte_bpe as _bytes
 from odweave.llm import line_dedup as _lines
 from odweave.llm import mpeg_audio as _mpeg
+from odweave.llm import packing as _packing
 from odweave.llm import warc as _warc
+from odweave.llm.bpe import vocabulary
 from odweave.llm.common import arrow_ready, table
 
 
@@ -26,6 +31,23 @@ def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mpeg.digests(_mpeg.scan_column(_mpeg.media_column(docs)))
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Texts encoded by a byte-level vocabulary and decoded again."""
+    arrow_ready(spark)
+    raw = vocabulary(path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    ids = _bytes.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), raw, public_tokenizers.PATTERN)
+    return _bytes.decode(ids, raw, public_tokenizers.PATTERN).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op6_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Texts as tokens, cut and packed into windows of 4096."""
+    arrow_ready(spark)
+    raw = vocabulary(path or public_tokenizers.path("word_bpe_49k.json"))
+    return _packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), raw)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as WARC records and read back by boundary chains."""
     arrow_ready(spark)
@@ -63,7 +85,7 @@ FROM pages p LEFT JOIN joined j USING (page)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this subpackage."""
-    return {"op1_line_dedup": op1_line_dedup, "op2_mpeg_audio": op2_mpeg_audio, "op10_warc": op10_warc}
+    return {"op1_line_dedup": op1_line_dedup, "op2_mpeg_audio": op2_mpeg_audio, "op4_byte_bpe": op4_byte_bpe, "op6_packing": op6_packing, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
