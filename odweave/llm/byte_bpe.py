@@ -1,146 +1,122 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
-Encoding explodes texts into pre-tokens with positions. A task gathers them by blocks of texts: each
-distinct word of a block is one row with the positions at which it stands there. The rows are shuffled by
-word, each distinct word is encoded once, the ids go back with the positions to their block, and the block
-is put together by position. A word that is frequent in a block is dealt by (word, block) there, so that no
-frequent word meets in one task; it is encoded once for each such group. Decoding looks each id up in the
-token-byte table, whose size is the vocabulary's.
+Texts are gathered in blocks. A block's texts are exploded into pre-tokens, each at its position, and its
+distinct words, in the order of their first positions, are dealt by a hash of the word to buckets. All rows
+of a bucket meet in one task, which encodes each of its distinct words once. The ids go back to the word's
+block, in the order in which the words came, are joined to the block's pre-tokens, and put together by
+position. A block sends a word once, so a frequent word has as many entries as there are blocks. Rows hold
+compressed lists of words or ids, not single ones: a row for each pre-token would be many times the input.
+Decoding looks each id up in the token-byte table, whose size is the vocabulary's.
 
 Defined results: null and empty texts have no ids; repeated rows and null ids stay; a text of any length is
-in one block. Blocks follow the order in which tasks read rows, which a table's files fix: write a table
-whose order can change between attempts before encoding it.
+in one block. A block is what a task reads one after another, twice: once for its words and once for its
+texts. Both readings carry a checksum of the texts, and a difference between them (an input whose order
+changes between attempts, which files don't) stops the job; write such an input as a table first.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from odweave.llm.bpe import byte_bpe
 
 #: Characters of texts in a block.
-BLOCK = 2_000_000
-#: Share of a block's pre-tokens from which a word is frequent there.
-FREQUENT = 1e-4
-
-
-def pack(values: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """Non-negative integers as groups of seven bits, low ones first; the bytes that each takes."""
-    v = values.astype(np.uint64)
-    size = np.ones(len(v), np.int64)
-    for k in range(1, 6):
-        size += v >= np.uint64(1 << 7 * k)
-    end = np.cumsum(size)
-    out = np.zeros(int(end[-1]) if len(v) else 0, np.uint8)
-    start = end - size
-    for k in range(6):
-        at = np.flatnonzero(size > k)
-        part = (v[at] >> np.uint64(7 * k)) & np.uint64(127)
-        out[start[at] + k] = part | np.where(size[at] > k + 1, 128, 0).astype(np.uint64)
-    return out.tobytes(), size
-
-
-def unpack(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The integers that ``pack`` made, and where each ends."""
-    ends = np.flatnonzero(data < 128)
-    starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
-    out = np.zeros(len(ends), np.int64)
-    for k in range(6):
-        at = np.flatnonzero(starts + k <= ends)
-        out[at] |= (data[starts[at] + k] & 127).astype(np.int64) << (7 * k)
-    return out, ends
-
-
-def _slices(data: bytes, sizes: np.ndarray, kind: pa.DataType = pa.binary()) -> pa.Array:
-    """An array of values that lie one after another."""
-    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    return pa.Array.from_buffers(kind, len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
-
-
-def _block(ids: list, tokens: list[str], counts: list[int], block: int) -> pa.RecordBatch:
-    words = list(dict.fromkeys(tokens))
-    index = dict(zip(words, range(len(words)), strict=True))
-    codes = np.fromiter(map(index.__getitem__, tokens), np.int32, len(tokens))
-    order = np.argsort(codes, kind="stable")
-    each = np.bincount(codes, minlength=len(words)).astype(np.int64)
-    first = np.cumsum(each) - each
-    delta = np.diff(order, prepend=0)
-    delta[first] = order[first]
-    data, size = pack(delta)
-    per_word = np.add.reduceat(size, first) if len(words) else np.zeros(0, np.int64)
-    text = [w.encode() for w in words]
-    texts = pa.array([None, *text], pa.binary())
-    known = np.array([x is not None for x in ids], np.uint8).tobytes()
-    about = np.array([0 if x is None else x for x in ids], "<i8").tobytes() + known + np.array(counts, "<i8").tobytes()
-    spread = np.where(each >= max(2, FREQUENT * len(tokens)), block, -1)
+BLOCK = 5_000_000
+#: Least number of buckets that words are dealt to; it grows with the session's shuffle partitions.
+BUCKETS = 64
+
+PACKED = "block long, bucket int, crc long, data binary"
+
+
+def _squeeze(*parts: bytes) -> bytes:
+    return zstandard.compress(b"".join(parts), 3)
+
+
+def _list(values: list[bytes]) -> bytes:
+    """Byte strings in one: their number, lengths and bytes."""
+    return _squeeze(np.array([len(values), *map(len, values)], "<u4").tobytes(), *values)
+
+
+def _unlist(data: bytes) -> list[bytes]:
+    raw = zstandard.decompress(data)
+    n = int.from_bytes(raw[:4], "little")
+    ends = (np.cumsum(np.frombuffer(raw, "<u4", n, 4)) + 4 + 4 * n).tolist()
+    return [raw[a:b] for a, b in zip([4 + 4 * n, *ends], ends, strict=False)]
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.binary()]
     return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.full(len(words) + 1, block, np.int64)),
-            texts,
-            pa.array(np.concatenate([[block], spread]).astype(np.int64)),
-            _slices(about + data, np.concatenate([[len(about)], per_word])),
-        ],
-        names=["block", "word", "spread", "places"],
+        [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["block", "bucket", "crc", "data"]
     )
 
 
-def explode_words(docs: DataFrame, raw: bytes, pattern: str, id_col: str, text_col: str) -> DataFrame:
-    """(block, word, spread, places): a row for each distinct word of a block, and one without word that
-    holds the block's ids and how many pre-tokens each text has."""
+def _deal(texts: list[bytes], split, buckets: int) -> tuple[list[list[str]], list[bytes], np.ndarray]:
+    """(pre-tokens of each text by position, distinct words by first position, the bucket of each word)."""
+    tokens = [split(t.decode()) for t in texts]
+    words = [w.encode() for w in dict.fromkeys(w for own in tokens for w in own)]
+    return tokens, words, np.fromiter((zlib.crc32(w) % buckets for w in words), np.int32, len(words))
+
+
+def _blocks(docs: DataFrame, make, id_col: str, text_col: str) -> DataFrame:
+    """Rows that make(block, checksum, ids, texts) gives for each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        split, block = byte_bpe(raw, pattern).split, TaskContext.get().partitionId() << 32
-        ids, tokens, counts, size = [], [], [], 0
+        block, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = split(t) if t else []
                 ids.append(i)
-                tokens += own
-                counts.append(len(own))
+                texts.append((t or "").encode())
                 size += len(t or "")
                 if size >= BLOCK:
-                    yield _block(ids, tokens, counts, block)
-                    block, ids, tokens, counts, size = block + 1, [], [], [], 0
+                    yield _rows(make(block, zlib.crc32(b"\n".join(texts)), ids, texts))
+                    block, ids, texts, size = block + 1, [], [], 0
         if ids:
-            yield _block(ids, tokens, counts, block)
+            yield _rows(make(block, zlib.crc32(b"\n".join(texts)), ids, texts))
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(
-        run, "block long, word binary, spread long, places binary"
-    )
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, PACKED)
+
+
+def explode_words(docs: DataFrame, raw: bytes, pattern: str, id_col: str, text_col: str, buckets: int) -> DataFrame:
+    """(block, bucket, crc, data): the distinct words of each block and bucket."""
+
+    def make(block: int, crc: int, ids: list, texts: list[bytes]) -> list[tuple]:
+        _, words, bucket = _deal(texts, byte_bpe(raw, pattern).split, buckets)
+        order = np.argsort(bucket, kind="stable")
+        ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        ordered = [words[i] for i in order.tolist()]
+        parts = [(k, ordered[a:b]) for k, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if b > a]
+        return [(block, k, crc, _list(part)) for k, part in parts] or [(block, 0, crc, _list([]))]
+
+    return _blocks(docs, make, id_col, text_col)
 
 
 def encode_words(words: DataFrame, raw: bytes, pattern: str) -> DataFrame:
-    """words with ``ids`` (16-bit each) in place of the word; a task encodes each of its words once."""
+    """words with the ids of each word in its place; a bucket's task encodes each of its words once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, done = byte_bpe(raw, pattern).encode_piece, {None: None}
+        encode, done = byte_bpe(raw, pattern).encode_piece, {}
         for b in batches:
             out = []
-            for w in b.column("word").to_pylist():
-                if w not in done:
-                    done[w] = np.array(encode(w), "<u2").tobytes()
-                out.append(done[w])
-            yield pa.RecordBatch.from_arrays(
-                [b.column("block"), pa.array(out, pa.binary()), b.column("places")], names=["block", "ids", "places"]
-            )
-
-    return words.repartition("word", "spread").mapInArrow(run, "block long, ids binary, places binary")
-
+            for data in b.column("data").to_pylist():
+                own = _unlist(data)
+                for w in own:
+                    if w not in done:
+                        done[w] = np.array(encode(w), "<u2").tobytes()
+                out.append(_list([done[w] for w in own]))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.binary())], names=b.schema.names)
 
-def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """(all bytes, end of each value) of a binary column without nulls."""
-    one = column.combine_chunks()
-    one = pa.concat_arrays(one.chunks) if isinstance(one, pa.ChunkedArray) else one
-    ends = np.frombuffer(one.buffers()[1], np.int32)[one.offset : one.offset + len(one) + 1].astype(np.int64)
-    data = np.frombuffer(one.buffers()[2], np.uint8) if one.buffers()[2] is not None else np.zeros(0, np.uint8)
-    return data[ends[0] : ends[-1]], ends - ends[0]
+    return words.repartition("bucket").mapInArrow(run, PACKED)
 
 
 def gather(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -149,46 +125,45 @@ def gather(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(int(end[-1]) if len(end) else 0) + np.repeat(start - (end - length), length)
 
 
-def _reassemble(t: pa.Table) -> pa.Table:
-    head = t.filter(pa.compute.is_null(t["ids"]))
-    about = head["places"].to_pylist()[0]
-    n = len(about) // 17
-    ids = np.frombuffer(about, "<i8", n)
-    known = np.frombuffer(about, np.uint8, n, 8 * n).astype(bool)
-    counts = np.frombuffer(about, "<i8", n, 9 * n)
-    body = t.filter(pa.compute.is_valid(t["ids"]))
-    total = int(counts.sum())
-    if total:
-        data, ends = _flat(body["places"])
-        delta, at = unpack(data)
-        row = np.searchsorted(ends[1:], at, side="right")
-        run = np.cumsum(delta)
-        first = np.flatnonzero(np.diff(row, prepend=-1))
-        place = run - np.repeat((run - delta)[first], np.diff(first, append=len(row)))
-        code = np.empty(total, np.int64)
-        code[place] = row
-        made, ends = _flat(body["ids"])
-        made, ends = made.view("<u2"), ends // 2
-        length = np.diff(ends)[code]
-        flat = made[gather(ends[:-1][code], length)].astype("<u4")
-        cut = np.concatenate([[0], np.cumsum(length)])
-    else:
-        flat, cut = np.zeros(0, "<u4"), np.zeros(1, np.int64)
-    cut = cut[np.concatenate([[0], np.cumsum(counts)])]
-    return pa.table(
-        {
-            "id": pa.array(ids, pa.int64(), mask=~known),
-            "n_tokens": pa.array(np.diff(cut), pa.int64()),
-            "ids": _slices(flat.tobytes(), 4 * np.diff(cut)),
-        }
-    )
+def _texts(block: int, crc: int, ids: list, texts: list[bytes]) -> list[tuple]:
+    known = np.array([x is not None for x in ids], np.uint8).tobytes()
+    return [(block, None, crc, _list([np.array([x or 0 for x in ids], "<i8").tobytes(), known, *texts]))]
 
 
 def encode(docs: DataFrame, raw: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_tokens, ids) of every text; ids are little-endian unsigned 32-bit integers."""
-    words = encode_words(explode_words(docs, raw, pattern, id_col, text_col), raw, pattern)
-    out = words.groupBy("block").applyInArrow(_reassemble, "id long, n_tokens long, ids binary")
-    return out.withColumnRenamed("id", id_col)
+    buckets = max(BUCKETS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def assemble(head: pa.Table, body: pa.Table) -> pa.Table:
+        body = body.sort_by("bucket")
+        if len(head) != 1 or pc.unique(body["crc"]).to_pylist() != head["crc"].to_pylist():
+            raise ValueError("a block's texts differ between two readings: write the input as a table first")
+        doc_ids, known, *texts = _unlist(head["data"][0].as_py())
+        tokens, words, bucket = _deal(texts, byte_bpe(raw, pattern).split, buckets)
+        made = [x for data in body["data"].to_pylist() for x in _unlist(data)]
+        size = np.empty(len(words), np.int64)
+        order = np.argsort(bucket, kind="stable")
+        lengths = np.fromiter(map(len, made), np.int64, len(made)) // 2
+        start = np.empty(len(words), np.int64)
+        start[order], size[order] = np.cumsum(lengths) - lengths, lengths
+        flat, index = np.frombuffer(b"".join(made), "<u2"), {w.decode(): i for i, w in enumerate(words)}
+        out, counts = [], []
+        for own in tokens:
+            code = np.fromiter(map(index.__getitem__, own), np.int64, len(own))
+            ids = flat[gather(start[code], size[code])].astype("<u4")
+            out.append(ids.tobytes())
+            counts.append(len(ids))
+        return pa.table(
+            {
+                "id": pa.array(np.frombuffer(doc_ids, "<i8"), pa.int64(), mask=np.frombuffer(known, np.uint8) == 0),
+                "n_tokens": pa.array(counts, pa.int64()),
+                "ids": pa.array(out, pa.binary()),
+            }
+        )
+
+    ids = encode_words(explode_words(docs, raw, pattern, id_col, text_col, buckets), raw, pattern)
+    blocks = _blocks(docs, _texts, id_col, text_col).groupBy("block").cogroup(ids.groupBy("block"))
+    return blocks.applyInArrow(assemble, "id long, n_tokens long, ids binary").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, raw: bytes, pattern: str, ids_col: str = "ids") -> DataFrame:
