@@ -13,6 +13,7 @@ from odweave.llm import byte_bpe as _bytes
 from odweave.llm import line_dedup as _lines
 from odweave.llm import mpeg_audio as _mpeg
 from odweave.llm import packing as _packing
+from odweave.llm import toxicity as _toxicity
 from odweave.llm import warc as _warc
 from odweave.llm.bpe import vocabulary
 from odweave.llm.common import arrow_ready, table
@@ -48,6 +49,19 @@ def op6_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> Da
     return _packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), raw)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts scored by a classifier that has learnt from four folds of the labels."""
+    arrow_ready(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = _toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return _toxicity.score(docs, model).select(
+        "doc_id",
+        _toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as WARC records and read back by boundary chains."""
     arrow_ready(spark)
@@ -85,7 +99,7 @@ FROM pages p LEFT JOIN joined j USING (page)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this subpackage."""
-    return {"op1_line_dedup": op1_line_dedup, "op2_mpeg_audio": op2_mpeg_audio, "op4_byte_bpe": op4_byte_bpe, "op6_packing": op6_packing, "op10_warc": op10_warc}
+    return {"op1_line_dedup": op1_line_dedup, "op2_mpeg_audio": op2_mpeg_audio, "op4_byte_bpe": op4_byte_bpe, "op6_packing": op6_packing, "op7_toxicity": op7_toxicity, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
