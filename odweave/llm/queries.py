@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from odweave.llm import byte_bpe as _bytes
+from odweave.llm import embedding_dedup as _vectors
 from odweave.llm import line_dedup as _lines
 from odweave.llm import mpeg_audio as _mpeg
 from odweave.llm import packing as _packing
@@ -42,6 +43,12 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> D
     )
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors with their links of cosine 0.9 or more, and the components that these make."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    return _vectors.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Texts as tokens, cut and packed into windows of 4096."""
     arrow_ready(spark)
@@ -99,7 +106,7 @@ FROM pages p LEFT JOIN joined j USING (page)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this subpackage."""
-    return {"op1_line_dedup": op1_line_dedup, "op2_mpeg_audio": op2_mpeg_audio, "op4_byte_bpe": op4_byte_bpe, "op6_packing": op6_packing, "op7_toxicity": op7_toxicity, "op10_warc": op10_warc}
+    return {"op1_line_dedup": op1_line_dedup, "op2_mpeg_audio": op2_mpeg_audio, "op4_byte_bpe": op4_byte_bpe, "op5_embedding_dedup": op5_embedding_dedup, "op6_packing": op6_packing, "op7_toxicity": op7_toxicity, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
