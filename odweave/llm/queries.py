@@ -11,6 +11,7 @@ import public_tokenizers
 
 from odweave.llm import byte_bpe as _bytes
 from odweave.llm import embedding_dedup as _vectors
+from odweave.llm import jaccard as _jaccard
 from odweave.llm import line_dedup as _lines
 from odweave.llm import mpeg_audio as _mpeg
 from odweave.llm import packing as _packing
@@ -69,6 +70,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the components that links of Jaccard similarity 0.75 or more make."""
+    arrow_ready(spark)
+    return _jaccard.link(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as WARC records and read back by boundary chains."""
     arrow_ready(spark)
@@ -106,7 +113,7 @@ FROM pages p LEFT JOIN joined j USING (page)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this subpackage."""
-    return {"op1_line_dedup": op1_line_dedup, "op2_mpeg_audio": op2_mpeg_audio, "op4_byte_bpe": op4_byte_bpe, "op5_embedding_dedup": op5_embedding_dedup, "op6_packing": op6_packing, "op7_toxicity": op7_toxicity, "op10_warc": op10_warc}
+    return {"op1_line_dedup": op1_line_dedup, "op2_mpeg_audio": op2_mpeg_audio, "op4_byte_bpe": op4_byte_bpe, "op5_embedding_dedup": op5_embedding_dedup, "op6_packing": op6_packing, "op7_toxicity": op7_toxicity, "op9_jaccard_join": op9_jaccard_join, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
