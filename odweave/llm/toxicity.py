@@ -32,7 +32,7 @@ SIZES = range(4, 11)
 BITS = 20
 #: The bounds of the sample that a classifier is fitted on.
 ROWS_PER_CLASS = 3000
-TRAIN_FEATURES = 12_000_000
+TRAIN_FEATURES = 8_000_000
 SMOOTHING = 3.0
 L2 = 1e-6
 ROUNDS = 60
@@ -123,9 +123,12 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, float]:
     prior = [SMOOTHING * 2 * t / sum(total) for t in total]
     ratio = np.log(count[0] + prior[0]) - np.log(count[1] + prior[1]) - np.log(prior[0] / prior[1])
     # a training text's ratios leave the text itself out, as a new text's do
-    value = np.log(count[0][index] - own + prior[0]) - np.log(count[1][index] - ~own + prior[1])
-    value = (value - np.log(prior[0] / prior[1])).astype(np.float32)
-    norm = np.sqrt(np.bincount(row, value.astype(np.float64) ** 2, n))
+    value = np.empty(len(index), np.float32)
+    for a in range(0, len(index), 1 << 20):
+        s = slice(a, a + (1 << 20))
+        toxic_left, other_left = count[0][index[s]] - own[s], count[1][index[s]] - ~own[s]
+        value[s] = np.log(toxic_left + prior[0]) - np.log(other_left + prior[1]) - np.log(prior[0] / prior[1])
+    norm = np.sqrt(np.bincount(row, value * value, n))
     value /= np.maximum(norm, 1e-9).astype(np.float32)[row]
     share = np.where(flag, 0.5 / flag.sum(), 0.5 / (~flag).sum())
     y = flag.astype(np.float64)
@@ -148,7 +151,7 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, float]:
 
 def _minimise(loss, p: np.ndarray) -> np.ndarray:
     """Quasi-Newton steps with a limited memory."""
-    past: deque = deque(maxlen=8)
+    past: deque = deque(maxlen=5)
     f, g = loss(p)
     for _ in range(ROUNDS):
         q, used = g.copy(), []
