@@ -15,6 +15,7 @@ from odweave.llm import jaccard as _jaccard
 from odweave.llm import line_dedup as _lines
 from odweave.llm import mpeg_audio as _mpeg
 from odweave.llm import packing as _packing
+from odweave.llm import substring_dedup as _substrings
 from odweave.llm import toxicity as _toxicity
 from odweave.llm import warc as _warc
 from odweave.llm.bpe import vocabulary
@@ -34,6 +35,14 @@ def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mpeg.digests(_mpeg.scan_column(_mpeg.media_column(docs)))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without the bytes of 400-byte strings that start anywhere else."""
+    arrow_ready(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = _substrings.remove_repeats(docs)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Texts encoded by a byte-level vocabulary and decoded again."""
     arrow_ready(spark)
@@ -113,7 +122,7 @@ FROM pages p LEFT JOIN joined j USING (page)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this subpackage."""
-    return {"op1_line_dedup": op1_line_dedup, "op2_mpeg_audio": op2_mpeg_audio, "op4_byte_bpe": op4_byte_bpe, "op5_embedding_dedup": op5_embedding_dedup, "op6_packing": op6_packing, "op7_toxicity": op7_toxicity, "op9_jaccard_join": op9_jaccard_join, "op10_warc": op10_warc}
+    return {"op1_line_dedup": op1_line_dedup, "op2_mpeg_audio": op2_mpeg_audio, "op3_suffix_array_dedup": op3_suffix_array_dedup, "op4_byte_bpe": op4_byte_bpe, "op5_embedding_dedup": op5_embedding_dedup, "op6_packing": op6_packing, "op7_toxicity": op7_toxicity, "op9_jaccard_join": op9_jaccard_join, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
