@@ -50,7 +50,7 @@ WHOLE, SEVERAL, SORT, SEND, TOO_MANY = 1, 2, 4, 8, 16
 OWN = 1 << 15
 
 ROWS = "block long, bucket int, data binary"
-NEW = "kept binary, n_bytes long, n_removed long, n_spans long, span_starts array<bigint>, span_ends array<bigint>"
+NEW = "n_bytes long, n_removed long, n_spans long, span_starts array<bigint>, span_ends array<bigint>"
 
 
 def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
@@ -428,13 +428,15 @@ def sort_shards(sent: DataFrame, live: DataFrame, length: int, shard: int = SHAR
     return sent.groupBy("bucket").cogroup(live.filter("bucket >= 0").groupBy("bucket")).applyInArrow(run, ROWS)
 
 
-def _clear(docs: DataFrame) -> DataFrame:
-    return docs.drop(*[f.split()[0] for f in NEW.split(", ")])
+def remove_repeats(
+    docs: DataFrame, text_col: str = "text", length: int = LENGTH, hot: int = HOT, rewrite: bool = False
+) -> DataFrame:
+    """docs with ``kept`` (the bytes that are left), counts, and the removed spans of each text (byte places).
 
-
-def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """docs with ``kept`` (the bytes that are left), counts, and the removed spans of each text (whole bytes, ends excluded)."""
-    docs = _clear(docs)
+    With rewrite the text itself is what is left, without parts of characters, and there is no ``kept``.
+    """
+    new = NEW if rewrite else f"kept binary, {NEW}"
+    docs = docs.drop(*[f.split()[0] for f in new.split(", ")])
     buckets = max(BUCKETS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = written(survey(docs, text_col, length, buckets), "blocks")
     texts = rows.filter("bucket = -1")
@@ -474,8 +476,12 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
             starts.append(change[::2])
             stops.append(change[1::2])
             begin = end
+        if rewrite:
+            left = [None if null else k.decode("utf-8", "ignore") for k, null in zip(kept, t[text_col].is_null().to_pylist(), strict=True)]
+            t = t.set_column(t.schema.get_field_index(text_col), text_col, pa.array(left, pa.string()))
+        else:
+            t = t.append_column("kept", pa.array(kept, pa.binary()))
         for name, col in (
-            ("kept", pa.array(kept, pa.binary())),
             *((n, pa.array([c[i] for c in counts], pa.int64())) for i, n in enumerate(("n_bytes", "n_removed", "n_spans"))),
             ("span_starts", pa.array(starts, pa.list_(pa.int64()))),
             ("span_ends", pa.array(stops, pa.list_(pa.int64()))),
@@ -483,4 +489,4 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
             t = t.append_column(name, col)
         return t
 
-    return texts.groupBy("block").cogroup(runs.groupBy("block")).applyInArrow(apply, f"{fields}, {NEW}")
+    return texts.groupBy("block").cogroup(runs.groupBy("block")).applyInArrow(apply, f"{fields}, {new}")
