@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,44 +110,59 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     )
 
 
-def fit(rows: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, float]:
-    """(weight of each feature's presence before a text is scaled, ratio) and the intercept."""
-    size, n = 1 << BITS, len(rows)
-    index = np.concatenate(rows).astype(np.int32)
-    length = np.fromiter(map(len, rows), np.int64, n)
-    row = np.repeat(np.arange(n, dtype=np.int32), length)
+def _parts(n: int) -> list[slice]:
+    return [slice(a, a + (1 << 20)) for a in range(0, n, 1 << 20)]
+
+
+def fit(index: np.ndarray, length: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, float]:
+    """(weight of each feature's presence before a text is scaled, ratio) and the intercept.
+
+    index has the features of all texts one after another. The driver fits, so all work goes in parts: besides
+    index it holds 6 bytes for each of its entries, and some arrays of a place for each feature.
+    """
+    size, n = 1 << BITS, len(length)
+    row = np.repeat(np.arange(n, dtype=np.uint16 if n < 1 << 16 else np.int32), length)
     flag = toxic.astype(bool)
-    own = np.repeat(flag, length)
-    count = [np.bincount(index[own == c], minlength=size).astype(np.float64) for c in (True, False)]
-    total = [c.sum() for c in count]
+    parts = _parts(len(index))
+    count = [np.zeros(size, np.float32), np.zeros(size, np.float32)]
+    for s in parts:
+        own = flag[row[s]]
+        count[0] += np.bincount(index[s][own], minlength=size).astype(np.float32)
+        count[1] += np.bincount(index[s][~own], minlength=size).astype(np.float32)
+    total = [float(c.sum(dtype=np.float64)) for c in count]
     # smoothed in proportion to the classes' sizes, so that a feature never seen has ratio 0
     prior = [SMOOTHING * 2 * t / sum(total) for t in total]
-    ratio = np.log(count[0] + prior[0]) - np.log(count[1] + prior[1]) - np.log(prior[0] / prior[1])
+    even = np.log(prior[0] / prior[1])
     # a training text's ratios leave the text itself out, as a new text's do
-    value = np.empty(len(index), np.float32)
-    for a in range(0, len(index), 1 << 20):
-        s = slice(a, a + (1 << 20))
-        toxic_left, other_left = count[0][index[s]] - own[s], count[1][index[s]] - ~own[s]
-        value[s] = np.log(toxic_left + prior[0]) - np.log(other_left + prior[1]) - np.log(prior[0] / prior[1])
-    norm = np.sqrt(np.bincount(row, value * value, n))
-    value /= np.maximum(norm, 1e-9).astype(np.float32)[row]
+    value, norm = np.empty(len(index), np.float32), np.zeros(n)
+    for s in parts:
+        own = flag[row[s]]
+        v = np.log(count[0][index[s]] - own + prior[0]) - np.log(count[1][index[s]] - ~own + prior[1]) - even
+        value[s] = v
+        norm += np.bincount(row[s], v * v, n)
+    norm = np.maximum(np.sqrt(norm), 1e-9).astype(np.float32)
+    for s in parts:
+        value[s] /= norm[row[s]]
+    ratio = np.log(count[0] + np.float32(prior[0])) - np.log(count[1] + np.float32(prior[1])) - np.float32(even)
+    del count
     share = np.where(flag, 0.5 / flag.sum(), 0.5 / (~flag).sum())
     y = flag.astype(np.float64)
 
     def loss(p: np.ndarray) -> tuple[float, np.ndarray]:
         w, z = p[:-1], np.full(n, p[-1])
-        for a in range(0, len(index), 1 << 20):
-            s = slice(a, a + (1 << 20))
+        for s in parts:
             z += np.bincount(row[s], value[s] * w[index[s]], n)
         e = share * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
-        g = L2 * w
-        for a in range(0, len(index), 1 << 20):
-            s = slice(a, a + (1 << 20))
-            g += np.bincount(index[s], value[s] * e[row[s]], size)
-        return float((share * (np.logaddexp(0, z) - y * z)).sum() + L2 / 2 * (w @ w)), np.append(g, e.sum())
+        g = np.empty(size + 1)
+        g[:-1] = w
+        g[:-1] *= L2
+        for s in parts:
+            g[:-1] += np.bincount(index[s], value[s] * e[row[s]], size)
+        g[-1] = e.sum()
+        return float((share * (np.logaddexp(0, z) - y * z)).sum() + L2 / 2 * (w @ w)), g
 
     p = _minimise(loss, np.zeros(size + 1))
-    return np.stack([ratio * p[:-1], ratio]), float(p[-1])
+    return np.stack([ratio * p[:-1].astype(np.float32), ratio]), float(p[-1])
 
 
 def _minimise(loss, p: np.ndarray) -> np.ndarray:
@@ -171,10 +187,11 @@ def _minimise(loss, p: np.ndarray) -> np.ndarray:
         else:
             return p
         s, y = -step * q, g2 - g
+        p = p + s
         if s @ y > 1e-14:
-            past.append((s, y))
+            past.append((s.astype(np.float32), y.astype(np.float32)))
         small = abs(f - f2) < 1e-6
-        p, f, g = p + s, f2, g2
+        f, g = f2, g2
         if small:
             break
     return p
@@ -187,8 +204,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     within = sizes[sizes.n.cumsum() <= TRAIN_FEATURES]
     if within.toxic.nunique() < 2:
         return b""
-    chosen = rows.filter(F.col("order") <= int(within.order.max())).toPandas()
-    weights, bias = fit([np.frombuffer(x, "<u4") for x in chosen.features], chosen.toxic.to_numpy())
+    chosen = rows.filter(F.col("order") <= int(within.order.max())).select("toxic", "n", "features").toArrow()
+    flat = pa.concat_arrays(chosen["features"].chunks)
+    first = int(np.frombuffer(flat.buffers()[1], "<i4", 1, 4 * flat.offset)[0])
+    index = np.frombuffer(flat.buffers()[2], "<u4", pc.sum(chosen["n"]).as_py(), first)
+    weights, bias = fit(index, chosen["n"].to_numpy(), chosen["toxic"].to_numpy())
     return np.concatenate([[bias], weights.ravel()]).astype("<f4").tobytes()
 
 
