@@ -9,7 +9,8 @@ order puts shingles of many documents last, which a counting sketch of fixed siz
 
 A block's task turns each shingle that several classes share into a list. The product is accumulated in two
 steps, neither of which makes all pairs of a group:
-1. Each class meets the smallest class of each of its lists, which links groups of near copies.
+1. Each class meets the smallest class of each of its lists, if that is so for enough of them, and those that
+   most often are the smallest, in the middle, or last. This links groups of near copies, pair by pair.
 2. Classes of different components that share enough lists meet in those lists.
 Candidates are verified by whole sets, computed anew from whole texts. No pair is lost: a class whose counts
 of lists headed by other components are too small to link with anyone is left out of step 2, nothing else is.
@@ -170,7 +171,7 @@ def scatter(docs: DataFrame, hot, blocks: int, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.frombuffer(hot.value, np.uint8)
         for b in batches:
-            keys, ns, parts, seen = [], [], [], set()
+            keys, ns, parts, places, seen = [], [], [], [], set()
             for t in b.column(0).to_pylist():
                 s = shingles(t)
                 if not len(s) or (k := (set_key(s), len(s))) in seen:
@@ -179,6 +180,7 @@ def scatter(docs: DataFrame, hot, blocks: int, text_col: str) -> DataFrame:
                 keys.append(k[0])
                 ns.append(k[1])
                 parts.append(sent(s, often))
+                places.append((np.arange(len(parts[-1])) * 255 // len(parts[-1])).astype(np.uint8))
             if not parts:
                 continue
             g = np.concatenate(parts)
@@ -186,7 +188,7 @@ def scatter(docs: DataFrame, hot, blocks: int, text_col: str) -> DataFrame:
             block = (g % np.uint64(blocks)).astype(np.int32)
             order = np.argsort(block, kind="stable")
             ends = np.searchsorted(block[order], np.arange(blocks + 1))
-            g, who = (g // np.uint64(blocks))[order], who[order]
+            g, who, place = (g // np.uint64(blocks))[order], who[order], np.concatenate(places)[order]
             key, n = np.array(keys, np.int64), np.array(ns, np.uint32)
             made, at = [], []
             for k, (x, y) in enumerate(zip(ends, ends[1:], strict=False)):
@@ -194,7 +196,7 @@ def scatter(docs: DataFrame, hot, blocks: int, text_col: str) -> DataFrame:
                     own, index = np.unique(who[x:y], return_inverse=True)
                     head = np.array([len(own), y - x], np.uint32).tobytes()
                     low, high = g[x:y].astype(np.uint32), (g[x:y] >> np.uint64(32)).astype(np.uint16)
-                    made.append(b"".join((head, key[own].tobytes(), n[own].tobytes(), index.astype(np.uint16).tobytes(), low.tobytes(), high.tobytes())))
+                    made.append(b"".join((head, key[own].tobytes(), n[own].tobytes(), index.astype(np.uint16).tobytes(), low.tobytes(), high.tobytes(), place[x:y].tobytes())))
                     at.append(k)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(made, pa.binary())], names=["block", "data"])
 
@@ -204,15 +206,20 @@ def scatter(docs: DataFrame, hot, blocks: int, text_col: str) -> DataFrame:
 def _unpack(data: bytes) -> tuple[np.ndarray, ...]:
     d, m = np.frombuffer(data, np.uint32, 2).tolist()
     at, out = 8, []
-    for kind, count in ((np.int64, d), (np.uint32, d), (np.uint16, m), (np.uint32, m), (np.uint16, m)):
+    for kind, count in ((np.int64, d), (np.uint32, d), (np.uint16, m), (np.uint32, m), (np.uint16, m), (np.uint8, m)):
         out.append(np.frombuffer(data, kind, count, at))
         at += out[-1].nbytes
-    key, n, index, low, high = out
-    return key[index], n[index], low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
+    key, n, index, low, high, place = out
+    return key[index], n[index], low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), place
+
+
+LIST_COLUMNS = ["shingle", "set_key", "n", "place", "head", "head_n", "middle", "middle_n", "last", "last_n"]
 
 
 def lists(scattered: DataFrame) -> DataFrame:
-    """(shingle, head, head_n, set_key, n): the classes of each shingle that several share, and the smallest of them.
+    """LIST_COLUMNS: the classes of each shingle that several share, and the smallest, a middle and the largest of them.
+
+    place is where the shingle stands in what the class has sent, in 255ths and rounded down.
 
     Only 48 bits of a shingle and its block are kept: two that agree in these add to counts, which are verified.
     """
@@ -223,31 +230,33 @@ def lists(scattered: DataFrame) -> DataFrame:
             for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 blocks.setdefault(k, []).append(_unpack(data))
         for k, parts in blocks.items():
-            key, n, g = (np.concatenate(x) for x in zip(*parts, strict=True))
+            key, n, g, place = (np.concatenate(x) for x in zip(*parts, strict=True))
             parts.clear()
             order = np.argsort(g, kind="stable")
             same = g[order][1:] == g[order][:-1]
             several = np.concatenate([same, [False]]) | np.concatenate([[False], same])
             order = order[several]
-            key, n, g = key[order], n[order].astype(np.int64), g[order]
+            key, n, g, place = key[order], n[order].astype(np.int64), g[order], place[order]
             order = np.lexsort((n, key, g))
-            key, n, g = key[order], n[order], g[order]
+            key, n, g, place = key[order], n[order], g[order], place[order]
             once = np.ones(len(g), bool)
             once[1:] = (g[1:] != g[:-1]) | (key[1:] != key[:-1]) | (n[1:] != n[:-1])
-            key, n, g = key[once], n[once], g[once]
+            key, n, g, place = key[once], n[once], g[once], place[once].astype(np.int16)
             first = np.ones(len(g), bool)
             first[1:] = g[1:] != g[:-1]
             size = np.diff(np.append(np.flatnonzero(first), len(g)))
-            head = np.repeat(np.flatnonzero(first), size)
+            start = np.flatnonzero(first)
+            heads = [np.repeat(x, size) for x in (start, start + size // 2, start + size - 1)]
             keep = np.repeat(size > 1, size)
-            head = head[keep]
+            heads = [h[keep] for h in heads]
             whole = (g[keep] << np.uint64(14) | np.uint64(k & 0x3FFF)).astype(np.int64)
             for a in range(0, len(whole), 100_000):
                 s = slice(a, a + 100_000)
-                cols = (whole[s], key[head[s]], n[head[s]], key[keep][s], n[keep][s])
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["shingle", "head", "head_n", "set_key", "n"])
+                cols = [whole[s], key[keep][s], n[keep][s], place[keep][s], *(x[h[s]] for h in heads for x in (key, n))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=LIST_COLUMNS)
 
-    return scattered.repartition("block").mapInArrow(run, "shingle long, head long, head_n long, set_key long, n long")
+    kinds = ", ".join(f"{c} {'short' if c == 'place' else 'long'}" for c in LIST_COLUMNS)
+    return scattered.repartition("block").mapInArrow(run, kinds)
 
 
 def _slack(c: str):
@@ -334,15 +343,25 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     name = classes.select("set_key", "n", "class")
     heads = name.select(F.col("set_key").alias("head"), F.col("n").alias("head_n"), F.col("class").alias("b"))
 
-    # step 1: each class with the heads of its lists
-    meets = written(
-        shared.filter("set_key <> head OR n <> head_n").groupBy("set_key", "n", "head", "head_n").agg(F.count("*").alias("c"))
-        .join(name, ["set_key", "n"]).join(heads, ["head", "head_n"]),
-        "meets",
-    )
+    # step 1: each class with the smallest of its lists, and with the one that is most often so, in the middle, or last
+    def met(head: str) -> DataFrame:
+        own = shared.select("set_key", "n", F.col(head).alias("head"), F.col(f"{head}_n").alias("head_n"))
+        return own.filter("set_key <> head OR n <> head_n").groupBy("set_key", "n", "head", "head_n").agg(F.count("*").alias("c"))
+
+    def most(meets: DataFrame) -> DataFrame:
+        some = meets.filter(_fit("n", "head_n") & (F.col("c") * 3 >= F.least(_slack("n"), _slack("head_n"))))
+        return some.groupBy("set_key", "n").agg(F.max(F.struct("c", "head", "head_n")).alias("m")).select("set_key", "n", "m.*")
+
+    def named(meets: DataFrame) -> DataFrame:
+        return meets.join(name, ["set_key", "n"]).join(heads, ["head", "head_n"])
+
+    meets = written(named(met("head")), "meets")
     enough = F.col("c") >= F.least(_slack("n"), _slack("head_n"))
     texts = classes.select("class", F.col("class").alias("doc"))
+    often = [most(meets.select("set_key", "n", "head", "head_n", "c")), most(met("middle")), most(met("last"))]
     first = meets.filter(enough & _fit("n", "head_n")).select(F.col("class").alias("a"), "b")
+    for x in often:
+        first = first.unionByName(named(x).select(F.col("class").alias("a"), "b"))
     links = verified(first, texts, docs, id_col, text_col)
     parts = written(components(links), "parts")
 
@@ -361,15 +380,19 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     )
     active = written(active.join(of, "class", "left").select("set_key", "n", "class", F.coalesce("p", "class").alias("p")), "active")
     if active.limit(1).count():
-        mine = shared.select("shingle", "set_key", "n").join(active, ["set_key", "n"]).select("shingle", "n", "class", "p")
-        full = shared.select("shingle", "set_key", "n").join(mine.select("shingle").distinct(), "shingle", "left_semi")
+        mine = shared.select("shingle", "set_key", "n", "place").join(active, ["set_key", "n"]).select("shingle", "n", "class", "p", "place")
+        full = shared.select("shingle", "set_key", "n", "place").join(mine.select("shingle").distinct(), "shingle", "left_semi")
         full = full.join(name, ["set_key", "n"]).join(of, "class", "left").select(
-            "shingle", F.col("n").alias("m"), F.col("class").alias("other"), F.coalesce("p", "class").alias("q")
+            "shingle", F.col("n").alias("m"), F.col("class").alias("other"), F.coalesce("p", "class").alias("q"), F.col("place").alias("there")
         )
+        # sets of n and m that link share t shingles, and so share k of those that stand before n - t + k and m - t + k
+        k, t = F.expr("greatest(1, least(n, m) div 20)"), F.expr("(3 * (n + m) + 6) div 7")
+        sent_n, sent_m = (F.expr(f"{x} - (3 * {x} + 3) div 4 + greatest(1, {x} div 10)") for x in ("n", "m"))
+        early = (F.col("place") * sent_n < (F.col("n") - t + k) * 255) & (F.col("there") * sent_m < (F.col("m") - t + k) * 255)
         pairs = (
-            mine.join(full, "shingle").filter((F.col("p") != F.col("q")) & _fit("n", "m"))
+            mine.join(full, "shingle").filter((F.col("p") != F.col("q")) & _fit("n", "m") & early)
             .groupBy("class", "other", "n", "m").agg(F.count("*").alias("c"))
-            .filter(F.col("c") >= F.least(_slack("n"), _slack("m")))
+            .filter(F.col("c") >= k)
             .select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b"))
         )
         links = links.unionByName(verified(pairs, texts, docs, id_col, text_col))
