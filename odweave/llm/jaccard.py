@@ -10,7 +10,8 @@ order puts shingles of many documents last, which a counting sketch of fixed siz
 A block's task turns each shingle that several classes share into a list. The product is accumulated in two
 steps, neither of which makes all pairs of a group:
 1. Each class meets the smallest class of each of its lists, if that is so for enough of them, and those that
-   most often are the smallest, in the middle, or last. This links groups of near copies, pair by pair.
+   most often are the smallest, have the most frequent shingles (as what many near copies come from has), or are
+   the last. This links groups of near copies, pair by pair.
 2. Classes of different components that share enough lists meet in those lists.
 Candidates are verified by whole sets, computed anew from whole texts. No pair is lost: a class whose counts
 of lists headed by other components are too small to link with anyone is left out of step 2, nothing else is.
@@ -104,13 +105,13 @@ def slack(n):
     return np.maximum(1, n // 10)
 
 
-def sent(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """What a set sends: the start of it, with frequent shingles last."""
+def sent(s: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, int]:
+    """What a set sends: the start of it, with frequent shingles last; and the share of these, in 255ths."""
     n = len(s)
     k = min(n, n - -(-OVER * n // UNDER) + int(slack(n)))
     cell = (s >> np.uint64(64 - SKETCH)).astype(np.int64)
     often = (hot[cell >> 3] >> (cell & 7)) & 1
-    return s[np.argsort(often, kind="stable")[:k]]
+    return s[np.argsort(often, kind="stable")[:k]], int(often.sum()) * 255 // n
 
 
 def survey(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -171,7 +172,7 @@ def scatter(docs: DataFrame, hot, blocks: int, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.frombuffer(hot.value, np.uint8)
         for b in batches:
-            keys, ns, parts, places, seen = [], [], [], [], set()
+            keys, ns, parts, shares, places, seen = [], [], [], [], [], set()
             for t in b.column(0).to_pylist():
                 s = shingles(t)
                 if not len(s) or (k := (set_key(s), len(s))) in seen:
@@ -179,7 +180,9 @@ def scatter(docs: DataFrame, hot, blocks: int, text_col: str) -> DataFrame:
                 seen.add(k)
                 keys.append(k[0])
                 ns.append(k[1])
-                parts.append(sent(s, often))
+                part, share = sent(s, often)
+                parts.append(part)
+                shares.append(share)
                 places.append((np.arange(len(parts[-1])) * 255 // len(parts[-1])).astype(np.uint8))
             if not parts:
                 continue
@@ -189,14 +192,14 @@ def scatter(docs: DataFrame, hot, blocks: int, text_col: str) -> DataFrame:
             order = np.argsort(block, kind="stable")
             ends = np.searchsorted(block[order], np.arange(blocks + 1))
             g, who, place = (g // np.uint64(blocks))[order], who[order], np.concatenate(places)[order]
-            key, n = np.array(keys, np.int64), np.array(ns, np.uint32)
+            key, n, share = np.array(keys, np.int64), np.array(ns, np.uint32), np.array(shares, np.uint8)
             made, at = [], []
             for k, (x, y) in enumerate(zip(ends, ends[1:], strict=False)):
                 if y > x:
                     own, index = np.unique(who[x:y], return_inverse=True)
                     head = np.array([len(own), y - x], np.uint32).tobytes()
                     low, high = g[x:y].astype(np.uint32), (g[x:y] >> np.uint64(32)).astype(np.uint16)
-                    made.append(b"".join((head, key[own].tobytes(), n[own].tobytes(), index.astype(np.uint16).tobytes(), low.tobytes(), high.tobytes(), place[x:y].tobytes())))
+                    made.append(b"".join((head, key[own].tobytes(), n[own].tobytes(), share[own].tobytes(), index.astype(np.uint16).tobytes(), low.tobytes(), high.tobytes(), place[x:y].tobytes())))
                     at.append(k)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(made, pa.binary())], names=["block", "data"])
 
@@ -206,18 +209,19 @@ def scatter(docs: DataFrame, hot, blocks: int, text_col: str) -> DataFrame:
 def _unpack(data: bytes) -> tuple[np.ndarray, ...]:
     d, m = np.frombuffer(data, np.uint32, 2).tolist()
     at, out = 8, []
-    for kind, count in ((np.int64, d), (np.uint32, d), (np.uint16, m), (np.uint32, m), (np.uint16, m), (np.uint8, m)):
+    for kind, count in ((np.int64, d), (np.uint32, d), (np.uint8, d), (np.uint16, m), (np.uint32, m), (np.uint16, m), (np.uint8, m)):
         out.append(np.frombuffer(data, kind, count, at))
         at += out[-1].nbytes
-    key, n, index, low, high, place = out
-    return key[index], n[index], low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), place
+    key, n, share, index, low, high, place = out
+    return key[index], n[index], share[index], low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), place
 
 
-LIST_COLUMNS = ["shingle", "set_key", "n", "place", "head", "head_n", "middle", "middle_n", "last", "last_n"]
+LIST_COLUMNS = ["shingle", "set_key", "n", "place", "head", "head_n", "common", "common_n", "last", "last_n"]
 
 
 def lists(scattered: DataFrame) -> DataFrame:
-    """LIST_COLUMNS: the classes of each shingle that several share, and the smallest, a middle and the largest of them.
+    """LIST_COLUMNS: the classes of each shingle that several share, and the smallest, that with the
+    largest share of frequent shingles, and the largest of them.
 
     place is where the shingle stands in what the class has sent, in 255ths and rounded down.
 
@@ -230,23 +234,24 @@ def lists(scattered: DataFrame) -> DataFrame:
             for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 blocks.setdefault(k, []).append(_unpack(data))
         for k, parts in blocks.items():
-            key, n, g, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+            key, n, share, g, place = (np.concatenate(x) for x in zip(*parts, strict=True))
             parts.clear()
             order = np.argsort(g, kind="stable")
             same = g[order][1:] == g[order][:-1]
             several = np.concatenate([same, [False]]) | np.concatenate([[False], same])
             order = order[several]
-            key, n, g, place = key[order], n[order].astype(np.int64), g[order], place[order]
+            key, n, share, g, place = key[order], n[order].astype(np.int64), share[order], g[order], place[order]
             order = np.lexsort((n, key, g))
-            key, n, g, place = key[order], n[order], g[order], place[order]
+            key, n, share, g, place = key[order], n[order], share[order], g[order], place[order]
             once = np.ones(len(g), bool)
             once[1:] = (g[1:] != g[:-1]) | (key[1:] != key[:-1]) | (n[1:] != n[:-1])
-            key, n, g, place = key[once], n[once], g[once], place[once].astype(np.int16)
+            key, n, share, g, place = key[once], n[once], share[once], g[once], place[once].astype(np.int16)
             first = np.ones(len(g), bool)
             first[1:] = g[1:] != g[:-1]
             size = np.diff(np.append(np.flatnonzero(first), len(g)))
             start = np.flatnonzero(first)
-            heads = [np.repeat(x, size) for x in (start, start + size // 2, start + size - 1)]
+            most = np.lexsort((share, g))[start + size - 1]
+            heads = [np.repeat(x, size) for x in (start, most, start + size - 1)]
             keep = np.repeat(size > 1, size)
             heads = [h[keep] for h in heads]
             whole = (g[keep] << np.uint64(14) | np.uint64(k & 0x3FFF)).astype(np.int64)
@@ -343,7 +348,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     name = classes.select("set_key", "n", "class")
     heads = name.select(F.col("set_key").alias("head"), F.col("n").alias("head_n"), F.col("class").alias("b"))
 
-    # step 1: each class with the smallest of its lists, and with the one that is most often so, in the middle, or last
+    # step 1: each class with the smallest of its lists, and with the one that is most often so, most common, or last
     def met(head: str) -> DataFrame:
         own = shared.select("set_key", "n", F.col(head).alias("head"), F.col(f"{head}_n").alias("head_n"))
         return own.filter("set_key <> head OR n <> head_n").groupBy("set_key", "n", "head", "head_n").agg(F.count("*").alias("c"))
@@ -358,7 +363,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     meets = written(named(met("head")), "meets")
     enough = F.col("c") >= F.least(_slack("n"), _slack("head_n"))
     texts = classes.select("class", F.col("class").alias("doc"))
-    often = [most(meets.select("set_key", "n", "head", "head_n", "c")), most(met("middle")), most(met("last"))]
+    often = [most(meets.select("set_key", "n", "head", "head_n", "c")), most(met("common")), most(met("last"))]
     first = meets.filter(enough & _fit("n", "head_n")).select(F.col("class").alias("a"), "b")
     for x in often:
         first = first.unionByName(named(x).select(F.col("class").alias("a"), "b"))
@@ -386,7 +391,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             "shingle", F.col("n").alias("m"), F.col("class").alias("other"), F.coalesce("p", "class").alias("q"), F.col("place").alias("there")
         )
         # sets of n and m that link share t shingles, and so share k of those that stand before n - t + k and m - t + k
-        k, t = F.expr("greatest(1, least(n, m) div 20)"), F.expr("(3 * (n + m) + 6) div 7")
+        k, t = F.expr("greatest(1, least(n, m) div 60)"), F.expr("(3 * (n + m) + 6) div 7")
         sent_n, sent_m = (F.expr(f"{x} - (3 * {x} + 3) div 4 + greatest(1, {x} div 10)") for x in ("n", "m"))
         early = (F.col("place") * sent_n < (F.col("n") - t + k) * 255) & (F.col("there") * sent_m < (F.col("m") - t + k) * 255)
         pairs = (
