@@ -16,6 +16,7 @@ from odweave.llm import line_dedup as _lines
 from odweave.llm import mpeg_audio as _mpeg
 from odweave.llm import packing as _packing
 from odweave.llm import substring_dedup as _substrings
+from odweave.llm import token_counts as _counts
 from odweave.llm import toxicity as _toxicity
 from odweave.llm import warc as _warc
 from odweave.llm.bpe import vocabulary
@@ -79,6 +80,13 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Tokens of each text, counted in flat token files."""
+    arrow_ready(spark)
+    raw = vocabulary(path or public_tokenizers.path("word_bpe_49k.json"))
+    return _counts.documents_counted(table(spark, sf_dir, "documents").select("doc_id", "text"), raw)
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the components that links of Jaccard similarity 0.75 or more make."""
     arrow_ready(spark)
@@ -122,7 +130,7 @@ FROM pages p LEFT JOIN joined j USING (page)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this subpackage."""
-    return {"op1_line_dedup": op1_line_dedup, "op2_mpeg_audio": op2_mpeg_audio, "op3_suffix_array_dedup": op3_suffix_array_dedup, "op4_byte_bpe": op4_byte_bpe, "op5_embedding_dedup": op5_embedding_dedup, "op6_packing": op6_packing, "op7_toxicity": op7_toxicity, "op9_jaccard_join": op9_jaccard_join, "op10_warc": op10_warc}
+    return {"op1_line_dedup": op1_line_dedup, "op2_mpeg_audio": op2_mpeg_audio, "op3_suffix_array_dedup": op3_suffix_array_dedup, "op4_byte_bpe": op4_byte_bpe, "op5_embedding_dedup": op5_embedding_dedup, "op6_packing": op6_packing, "op7_toxicity": op7_toxicity, "op8_token_counts": op8_token_counts, "op9_jaccard_join": op9_jaccard_join, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
