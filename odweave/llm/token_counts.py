@@ -104,4 +104,5 @@ def documents_counted(docs: DataFrame, raw: bytes, id_col: str = "doc_id", text_
     files = write_tokens(docs, raw, folder, id_col, text_col, separator)
     ids = files.select("file", F.posexplode("ids").alias("_i", id_col)).withColumn("ordinal", F.col("_i").cast("long"))
     counts = count_tokens(files.select("file", "size"), folder, separator, block)
-    return ids.join(counts, ["file", "ordinal"], "left").select(id_col, "n_tokens")
+    # ids compress well, and would be broadcast for their small files
+    return ids.join(counts.hint("merge"), ["file", "ordinal"], "left").select(id_col, "n_tokens")
