@@ -1,9 +1,10 @@
 """Toxicity by a linear classifier on character n-grams, scaled by naive Bayes log-count ratios.
 
-A text's features are the distinct hashed n-grams of its lower-cased characters that begin at a word's start
-and end in that word or right after it; whole texts are read. A feature's value is the log ratio of its
-(smoothed) shares of toxic and other training texts; a text's vector has length 1. Logistic regression with
-both classes weighted alike gives the score. A training text's own counts are left out of its ratios, without
+A text's features are the distinct hashed n-grams of its lower-cased characters that begin at any letter of a
+word and end in that word or right after it; whole texts are read. What stands before the first letter isn't
+hashed, so a term is the same feature at a word's start and inside a longer word. A feature's value is the
+log ratio of its (smoothed) shares of toxic and other training texts; a text's vector has length 1. Logistic
+regression with both classes weighted alike gives the score. A training text's own counts are left out of its ratios, without
 which its rare n-grams would look better than a new text's.
 
 The classifier is fitted on a bounded sample of labelled rows: of each class those ROWS_PER_CLASS whose ids
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from odweave.llm.common import written
 
-#: Characters of an n-gram, the place before the word included.
+#: Characters of an n-gram; at a word's start the place before it is one, inside a word all but an end are letters.
 SIZES = range(4, 11)
 BITS = 20
 #: The bounds of the sample that a classifier is fitted on.
@@ -45,17 +46,20 @@ def ngrams(text: str) -> np.ndarray:
     x = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
     word = (x > 191) | ((x >= 48) & (x <= 57)) | ((x >= 97) & (x <= 122))
     x = np.where(word, x, np.uint32(0))
-    at = np.flatnonzero(~word[:-1] & word[1:])
+    at = np.flatnonzero(word[1:])
+    start = ~word[at]
     acc, out, weight = np.zeros(len(at), np.uint32), [], 1
     for k in range(1, SIZES[-1]):
         weight = weight * 0x9E3779B1 & 0xFFFFFFFF
         here = x[at + k]
         acc = acc + (here + np.uint32(1)) * np.uint32(weight)
         if k + 1 in SIZES:
-            h = (acc ^ (acc >> np.uint32(15))) * np.uint32(0x7C1B3C6D + 2 * k)
+            # inside a word the smallest size is counted in letters
+            use = acc[start | (k - (here == 0) >= SIZES[0])]
+            h = (use ^ (use >> np.uint32(15))) * np.uint32(0x7C1B3C6D + 2 * k)
             out.append(h >> np.uint32(32 - BITS))
         go = here > 0
-        at, acc = at[go], acc[go]
+        at, acc, start = at[go], acc[go], start[go]
     return np.concatenate(out)
 
 

@@ -30,6 +30,27 @@ def test_features_are_the_distinct_ngrams():
     assert len(toxicity.ngrams("abcd")) == 3 and len(toxicity.ngrams("abc d")) == 2
 
 
+def test_ngrams_begin_at_every_letter():
+    # from a: " abc", " abcd", " abcde", " abcde "; from b: "bcde", "bcde "
+    assert len(toxicity.ngrams("abcde")) == 6
+    word = set(toxicity.ngrams("horrid").tolist()) - set(toxicity.ngrams("hor").tolist())
+    inside = [set(toxicity.ngrams(f + "horrid").tolist()) for f in ("pre", "天地玄黄宇宙洪荒" * 5000, "abcdefghij" * 10_000)]
+    # all but " hor"
+    assert all(len(word - x) <= 1 for x in inside)
+    assert len(toxicity.ngrams("天地玄黄宇宙洪荒" * 5000)) > 6 * 39_000
+
+
+def test_terms_inside_compounds_and_at_the_end_of_long_texts(spark, documents):
+    rows = [(i, f"you {w} {i}" if i % 2 else f"a {f} day {i}") for i, (w, f) in enumerate([("bastardly", "wonderful")] * 80)]
+    long = "天地玄黄宇宙洪荒" * 5
+    toxic = [(200, "megabastardly"), (201, long + "bastardly")]
+    clean = [(300, "megawonderful"), (301, long + "wonderful")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    model = toxicity.train(documents(rows), labels)
+    got = {r.doc_id: r.score for r in toxicity.score(documents(toxic + clean), model).collect()}
+    assert min(got[200], got[201]) > 0.5 > max(got[300], got[301])
+
+
 def test_odd_rows(spark, documents):
     rows = [(i, "you awful fool" if i % 2 else "a fine day") for i in range(40)]
     rows += [(50, None), (51, ""), (None, "you awful fool"), (1, "you awful fool"), (52, "fine day " * 20_000)]
