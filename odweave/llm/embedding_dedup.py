@@ -28,7 +28,7 @@ from odweave.llm.common import written
 from odweave.llm.components import components, forest
 
 LEAST = 0.9
-TABLES = 48
+TABLES = 72
 PROJECTIONS = 16
 WIDTH = 2.0
 SEED = 20240501

@@ -85,3 +85,19 @@ def test_recall_on_the_table(spark):
     out = queries.op5_embedding_dedup(spark, d).collect()
     found = sum(r.n_links for r in out) // 2
     assert 0.9 * len(links) <= found <= len(links)
+
+
+def test_recall_just_over_the_threshold(spark):
+    rng = np.random.default_rng(11)
+    a = embedding_dedup.unit(rng.normal(size=(1000, 64)))
+    b = rng.normal(size=a.shape)
+    b = embedding_dedup.unit(b - (a * b).sum(1, keepdims=True) * a)
+    cos = rng.uniform(0.9, 0.91, (1000, 1))
+    vectors = np.concatenate([a, cos * a + np.sqrt(1 - cos**2) * b])
+    ids = list(range(len(vectors)))
+    links = brute(ids, vectors)
+    assert len(links) > 900
+    rows = list(zip(ids, vectors.tolist(), strict=True))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = sum(r.n_links for r in embedding_dedup.near_duplicates(df).collect()) // 2
+    assert 0.94 * len(links) <= found <= len(links)
