@@ -17,8 +17,9 @@ Candidates are verified by whole sets, computed anew from whole texts. No pair i
 of lists headed by other components are too small to link with anyone is left out of step 2, nothing else is.
 
 Defined results: null and empty texts, and texts of white space, have empty sets and link with nothing;
-texts of one to four words have one shingle; rows that repeat an id with the same text are one document; a
-row with a null id gets the component of its set, and names no component; an empty table gives an empty one.
+texts of one to four words have one shingle; rows that repeat an id with the same text are one document, and
+with other texts documents of their own, with the id as their name; a row with a null id links as any other,
+and names no component (one of null ids only is null); an empty table gives an empty one.
 Shingles and sets are compared by 64-bit hashes, and sets by their sizes too.
 """
 
@@ -115,17 +116,17 @@ def sent(s: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def survey(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, set_key, n) of each document, and (chunk, counts) of each partition's sketch."""
+    """(id, set_key, n, mark) of each document, where mark is a hash of its text, and (chunk, counts) of each partition's sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << SKETCH, np.uint32)
         rows = 0
 
-        def out(ids: list, keys: list, ns: list, chunks: list, counts: list) -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        def out(ids: list, keys: list, ns: list, marks: list, chunks: list, counts: list) -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
             n = max(len(ids), len(chunks))
-            cols = [pa.array(c or [None] * n, t) for c, t in zip((ids, keys, ns, chunks, counts), kinds, strict=True)]
-            return pa.RecordBatch.from_arrays(cols, names=["id", "set_key", "n", "chunk", "counts"])
+            cols = [pa.array(c or [None] * n, t) for c, t in zip((ids, keys, ns, marks, chunks, counts), kinds, strict=True)]
+            return pa.RecordBatch.from_arrays(cols, names=["id", "set_key", "n", "mark", "chunk", "counts"])
 
         for b in batches:
             keys, ns, seen = [], [], []
@@ -137,13 +138,13 @@ def survey(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             rows += len(ns)
             every = (np.concatenate(seen) >> np.uint64(64 - SKETCH)).astype(np.int64) if seen else np.zeros(0, np.int64)
             np.add.at(cells, every, np.uint32(1))
-            yield out(b.column(0).to_pylist(), keys, ns, [], [])
+            yield out(b.column(0).to_pylist(), keys, ns, b.column(2).to_pylist(), [], [])
         if rows:
             parts = np.minimum(cells, 255).astype(np.uint8).reshape(CHUNKS, -1)
-            yield out([], [], [], list(range(CHUNKS)), [zstandard.compress(p.tobytes(), 1) for p in parts])
+            yield out([], [], [], [], list(range(CHUNKS)), [zstandard.compress(p.tobytes(), 1) for p in parts])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(
-        run, "id long, set_key long, n long, chunk int, counts binary"
+    return docs.select(F.col(id_col).cast("long"), text_col, F.xxhash64(text_col)).mapInArrow(
+        run, "id long, set_key long, n long, mark long, chunk int, counts binary"
     )
 
 
@@ -277,7 +278,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
     """The pairs (a, b) of class ids whose whole sets are similar enough.
 
     A document that stands for a class sends its set to the groups it is compared in, and b's set to as many
-    groups as b's partners fill. classes has (class, doc, row): the documents that stand for the classes.
+    groups as b's partners fill. classes has (class, doc, mark): the documents that stand for the classes.
     """
     pairs = written(pairs.select("a", "b").distinct(), "pairs")
     size = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("groups"))
@@ -288,18 +289,21 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
     wanted = written(
         classes.join(jobs, "class", "left").join(size.withColumnRenamed("b", "class"), "class", "left")
         .filter("jobs IS NOT NULL OR groups IS NOT NULL")
-        .select("class", "doc", "jobs", F.coalesce("groups", F.lit(0)).alias("groups")),
+        .select("class", "doc", "mark", "jobs", F.coalesce("groups", F.lit(0)).alias("groups")),
         "wanted",
     )
     few = wanted.count() <= BROADCAST_ROWS and pairs.count() <= 2 * BROADCAST_ROWS
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("_text")).join(
-        F.broadcast(wanted) if few else wanted, "doc"
-    )
+    rows = docs.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_mark"))
+    rows = rows.join(F.broadcast(wanted) if few else wanted, (F.col("_mark") == F.col("mark")) & F.col("_doc").eqNullSafe(F.col("doc")))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = set()  # rows that repeat id and text stand for a class once in a task
         for b in batches:
             out = []
             for c, t, jobs, groups in zip(*(b.column(x).to_pylist() for x in ("class", "_text", "jobs", "groups")), strict=True):
+                if c in done:
+                    continue
+                done.add(c)
                 data = shingles(t).tobytes()
                 out += [(c, g, None, data) for g in range(groups)]
                 out += [(j["b"], j["g"], c, data) for j in jobs or []]
@@ -328,7 +332,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
             yield pa.RecordBatch.from_arrays(cols, names=["a", "b"])
 
     sets = rows.select("class", "_text", "jobs", "groups").mapInArrow(send, "b long, g int, a long, data binary")
-    # a class may have several documents of the same id; one of them is enough, and more do no harm
+    # a class may have several documents of the same id and text; one of them is enough, and more do no harm
     sets = sets.repartition("b", "g").sortWithinPartitions(F.col("b"), F.col("g"), F.col("a").asc_nulls_first())
     return written(sets.mapInArrow(compare, "a long, b long").distinct(), "links")
 
@@ -338,10 +342,13 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     spark = docs.sparkSession
     seen = written(survey(docs, id_col, text_col), "survey")
     hot = spark.sparkContext.broadcast(frequent(seen))
-    own = seen.filter("chunk IS NULL").select("id", "set_key", "n")
-    # a class is named by its smallest document; its name also finds a text for it
+    own = seen.filter("chunk IS NULL").select("id", "set_key", "n", "mark")
+    # a class is named by its set until the end; its smallest id, if it has one, and a hash of the text find a text for it
+    first_doc = F.min(F.struct(F.col("id").isNull(), F.col("id").alias("doc"), "mark"))
     classes = written(
-        own.filter("n > 0 AND id IS NOT NULL").groupBy("set_key", "n").agg(F.min("id").alias("class")), "classes"
+        own.filter("n > 0").groupBy("set_key", "n").agg(first_doc.alias("d"))
+        .select("set_key", "n", F.xxhash64("set_key", "n").alias("class"), "d.doc", "d.mark"),
+        "classes",
     )
     blocks = max(BLOCKS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shared = written(lists(scatter(docs, hot, blocks, text_col)), "lists")
@@ -362,7 +369,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     meets = written(named(met("head")), "meets")
     enough = F.col("c") >= F.least(_slack("n"), _slack("head_n"))
-    texts = classes.select("class", F.col("class").alias("doc"))
+    texts = classes.select("class", "doc", "mark")
     often = [most(meets.select("set_key", "n", "head", "head_n", "c")), most(met("common")), most(met("last"))]
     first = meets.filter(enough & _fit("n", "head_n")).select(F.col("class").alias("a"), "b")
     for x in often:
@@ -402,7 +409,10 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         )
         links = links.unionByName(verified(pairs, texts, docs, id_col, text_col))
         parts = written(components(links), "parts")
-    out = own.join(name.join(parts, F.col("class") == F.col("node"), "left"), ["set_key", "n"], "left")
+    found = parts.join(texts.select(F.col("class").alias("node"), "doc"), "node")
+    least = written(found.groupBy("component").agg(F.min("doc").alias("least")), "least")
+    named_parts = parts.join(least, "component").select(F.col("node").alias("class"), "least")
+    out = own.join(classes.select("set_key", "n", "class", "doc").join(named_parts, "class", "left"), ["set_key", "n"], "left")
     return out.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "class", "id").alias("component_id")
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "doc", "id").alias("component_id")
     )

@@ -89,6 +89,31 @@ def test_repeats_and_nulls(spark, documents):
     assert jaccard.link(documents([])).count() == 0
 
 
+def test_near_copies_with_null_ids_and_an_id_on_two_texts(spark, documents):
+    r = random.Random(3)
+    base = [f"w{r.randrange(10**6)}" for _ in range(80)]
+    rows = [(100 + i, [*base[:k], f"x{i}", *base[k + 1 :]]) for i, k in enumerate([0, 79, 1, 78, 2, 77, 3, 76, 4, 75])]
+    # sets of null ids that are alike only to others, and an id on two texts that aren't alike
+    chain = [f"c{k}" for k in range(64)]
+    rows += [(3, chain[:50]), (201, chain[7:57]), (5, chain[14:64])]
+    rows += [(300, [f"y{k}" for k in range(40)]), (301, [f"z{k}" for k in range(40)]), (2, [f"y{k}" for k in range(41)])]
+    rows += [(1, [f"z{k}" for k in range(41)]), (400, [f"n{k}" for k in range(40)]), (401, [f"n{k}" for k in range(41)])]
+    texts = [(i, " ".join(x)) for i, x in rows]
+    for seed in range(3):
+        # surrogates of null ids over 1000; 300 and 301 become one id
+        nulls = {100 + i for i in r.sample(range(10), 6)} | {201, 400, 401}
+        real = {i: None if i in nulls else 300 if i == 301 else i for i, _ in texts}
+        want, least = brute(texts), {}
+        for i, (_, c) in want.items():
+            least.setdefault(c, []).append(real[i])
+        least = {c: min((i for i in ids if i is not None), default=None) for c, ids in least.items()}
+        got = jaccard.link(documents([(real[i], t) for i, t in texts])).collect()
+        key = lambda x: tuple(-1 if v is None else v for v in x)
+        assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in got), key=key) == sorted(
+            ((real[i], n, least[c]) for i, (n, c) in want.items()), key=key
+        )
+
+
 def test_whole_table(spark):
     d = "/root/testdata/sf0.01"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
