@@ -46,16 +46,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
-def same(a: DataFrame, b: DataFrame, *keys: str):
-    """Join condition of equal keys, where nulls equal nulls."""
-    cond = None
-    for k in keys:
-        c = a[k].eqNullSafe(b[k])
-        cond = c if cond is None else cond & c
-    return cond
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that no plan reads any more, as what came of them is written too."""
+    for t in tables:
+        session = t.sparkSession
+        path = session._jvm.org.apache.hadoop.fs.Path(t.written_to)
+        path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def file_system(uri: str):

@@ -339,6 +339,23 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id) of every document."""
+    return grouped(docs, id_col, text_col).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "doc", "id").alias("component_id")
+    )
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, mark): of each group of documents that links reach the one with the smallest id, nulls last; no empty one.
+
+    mark is xxhash64 of the text, by which an id that stands on several texts names each of them.
+    """
+    found = grouped(docs, id_col, text_col)
+    least = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "mark")).alias("d")
+    return found.filter("n > 0").groupBy(F.coalesce("component", "class")).agg(least).select("d.id", "d.mark")
+
+
+def grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, mark, n, class, doc, component, least) of every document; its component is null if it links with no other set."""
     spark = docs.sparkSession
     seen = written(survey(docs, id_col, text_col), "survey")
     hot = spark.sparkContext.broadcast(frequent(seen))
@@ -411,8 +428,6 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         parts = written(components(links), "parts")
     found = parts.join(texts.select(F.col("class").alias("node"), "doc"), "node")
     least = written(found.groupBy("component").agg(F.min("doc").alias("least")), "least")
-    named_parts = parts.join(least, "component").select(F.col("node").alias("class"), "least")
-    out = own.join(classes.select("set_key", "n", "class", "doc").join(named_parts, "class", "left"), ["set_key", "n"], "left")
-    return out.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "doc", "id").alias("component_id")
-    )
+    named_parts = parts.join(least, "component").select(F.col("node").alias("class"), "component", "least")
+    by_set = classes.select("set_key", "n", "class", "doc").join(named_parts, "class", "left")
+    return own.join(by_set, ["set_key", "n"], "left").drop("set_key")

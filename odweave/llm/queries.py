@@ -37,11 +37,14 @@ def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of 400-byte strings that start anywhere else."""
+    """Texts without the bytes of 400-byte strings that start anywhere else; after those, what goes as passages of over 50 words."""
     arrow_ready(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = _substrings.remove_repeats(docs)
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    out = _substrings.remove_repeats(docs, passage=_substrings.PASSAGE)
+    return out.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+        "n_passages", "passage_bytes", F.col("without_passages").alias("text"),
+    )
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:

@@ -14,6 +14,9 @@ A key with more than HOT contents (the edge of a passage that very many document
 shard. Its windows are counted one by one first, each under its own hash, and its segments are cut down to
 runs of windows that repeat; what differs around the passage is gone then, and copies collapse.
 
+Passages are found by shorter strings, of which those stay that touch PASSAGE_WORDS words or fewer. Where both
+are asked for, the longer strings are looked for only inside what the shorter ones cover.
+
 Defined results: null and empty texts, and texts shorter than LENGTH, lose nothing (null stays null); repeated
 rows are documents of their own and so repeat each other; ids may be null; other columns pass through, those
 named like the new ones are replaced; an empty table gives an empty one. Windows are filed by 64-bit hashes;
@@ -30,18 +33,25 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from odweave.llm.common import written
+from odweave.llm.common import discard, written
 from odweave.llm.jaccard import BYTE, mix, powers
 from odweave.llm.suffix_array import common_prefixes, suffix_array
 
 LENGTH = 400
-#: Bytes of texts in a block, window starts that are hashed at once, most windows of a segment, bytes of a shard.
+#: A passage is a removed run of PASSAGE-byte strings that touches more than PASSAGE_WORDS words. The bytes are
+#: fewer than so many words usually take, so that they find the passage and the words decide.
+PASSAGE = 200
+PASSAGE_WORDS = 50
+#: Bytes of texts in a block, and for each bucket.
 BLOCK = 5_000_000
+BUCKET = 32_000_000
+#: Window starts that are hashed at once, most windows of a segment, bytes of a shard.
 SLICE = 1 << 19
 MOST = 1024
 SHARD = 2_000_000
 #: Contents of a key from which its windows are counted one by one.
 HOT = 2_000
+#: Least number of buckets; it grows with the texts and with the session's shuffle partitions.
 BUCKETS = 64
 BREAK = b"\xff"
 #: Flags of a content: it repeats as a whole; it stands several times; it is to be sorted; this block sends it; hot.
@@ -51,6 +61,7 @@ OWN = 1 << 15
 
 ROWS = "block long, bucket int, data binary"
 NEW = "n_bytes long, n_removed long, n_spans long, span_starts array<bigint>, span_ends array<bigint>"
+PASSAGES = "n_passages long, passage_bytes long, without_passages string"
 
 
 def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
@@ -428,65 +439,150 @@ def sort_shards(sent: DataFrame, live: DataFrame, length: int, shard: int = SHAR
     return sent.groupBy("bucket").cogroup(live.filter("bucket >= 0").groupBy("bucket")).applyInArrow(run, ROWS)
 
 
-def remove_repeats(
-    docs: DataFrame, text_col: str = "text", length: int = LENGTH, hot: int = HOT, rewrite: bool = False
-) -> DataFrame:
-    """docs with ``kept`` (the bytes that are left), counts, and the removed spans of each text (byte places).
+def narrowed(texts: DataFrame, runs: DataFrame, text_col: str, shorter: int, length: int, buckets: int) -> DataFrame:
+    """The entries (block, bucket, data) of windows of length bytes inside runs of shorter strings that repeat.
 
-    With rewrite the text itself is what is left, without parts of characters, and there is no ``kept``.
+    A string that starts in two places holds shorter ones that do so, and they cover it: no other window repeats.
     """
-    new = NEW if rewrite else f"kept binary, {NEW}"
-    docs = docs.drop(*[f.split()[0] for f in new.split(", ")])
-    buckets = max(BUCKETS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = written(survey(docs, text_col, length, buckets), "blocks")
-    texts = rows.filter("bucket = -1")
-    live = written(judged(rows.filter("bucket >= 0"), hot), "live")
+
+    def run(text: pa.Table, found: pa.Table) -> pa.Table:
+        if not len(found):
+            return pa.Table.from_batches([_batch([])])
+        b, ends = _bytes(_restored(text["data"][0].as_py()), text_col)
+        start, stop = _spans(_covered(len(b), found["data"].to_pylist(), shorter), ends)
+        long = stop - start >= length
+        start, size = start[long], (stop - start)[long]
+        at = np.cumsum(size)
+        place, count, key, content = segments(b[ranges(start, size)], at, length)
+        place = place + (start - (at - size))[np.searchsorted(at, place, side="right")]
+        rows = _by_bucket(text["block"][0].as_py(), buckets, *grouped(key, content, count, place))
+        return pa.Table.from_batches([_batch(rows)])
+
+    return texts.groupBy("block").cogroup(runs.groupBy("block")).applyInArrow(run, ROWS)
+
+
+def _covered(n: int, found: list[bytes], length: int) -> np.ndarray:
+    """Whether each of n bytes is in a window that repeats."""
+    cover = np.zeros(n + 1, np.int32)
+    for data in found:
+        start, size = unpack(data, "<u4", "<u4")
+        np.add.at(cover, start, 1)
+        np.add.at(cover, start.astype(np.int64) + size + length - 1, -1)
+    return np.cumsum(cover)[:-1] > 0
+
+
+def _spans(gone: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, stops) of the maximal runs of bytes that are gone, inside texts that end at the given places."""
+    n = len(gone)
+    edge = np.zeros(n + 1, bool)
+    edge[ends] = True
+    edge[0] = True
+    first = np.flatnonzero(gone & (edge[:n] | ~np.append(False, gone[:-1])))
+    last = np.flatnonzero(gone & (edge[1:] | ~np.append(gone[1:], False))) + 1
+    return first, last
+
+
+def _touched(b: np.ndarray, ends: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The number of words that hold bytes of each span. White space and the ends of texts divide words."""
+    word = (b != 32) & ((b < 9) | (b > 13))
+    begin = word.copy()
+    begin[1:] &= ~word[:-1]
+    inner = ends[:-1][ends[:-1] < len(b)]
+    begin[inner] = word[inner]
+    total = np.append(0, np.cumsum(begin))
+    return total[stop] - total[start] + (word[start] & ~begin[start])
+
+
+def repeated_runs(texts: DataFrame, entries: DataFrame, text_col: str, length: int, hot: int, buckets: int) -> DataFrame:
+    """(block, bucket, data): of each block the runs of windows that repeat, from the blocks' entries."""
+    live = written(judged(entries, hot), "live")
 
     def too_many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array([bool((unpack(d, *REPLY)[3] & TOO_MANY).any()) for d in b.column("data").to_pylist()], pa.bool_()))
 
     hot_rows = live.mapInArrow(too_many, ROWS)
-    told = live
+    told, used = live, [live]
     if hot_rows.limit(1).count():
         some = texts.join(hot_rows.select("block").distinct(), "block", "left_semi")
-        told = live.unionByName(written(hot_windows(some, hot_rows, text_col, length, buckets), "windows"))
-    sent = written(pieces(texts, told, text_col, length), "pieces")
-    runs = sort_shards(sent, live, length)
+        used.append(written(hot_windows(some, hot_rows, text_col, length, buckets), "windows"))
+        told = live.unionByName(used[-1])
+    used.append(written(pieces(texts, told, text_col, length), "pieces"))
+    runs = written(sort_shards(used[-1], live, length), "runs")
+    discard(*used)
+    return runs
+
+
+def remove_repeats(
+    docs: DataFrame,
+    text_col: str = "text",
+    length: int = LENGTH,
+    hot: int = HOT,
+    rewrite: bool = False,
+    words: int = 0,
+    passage: int | None = None,
+) -> DataFrame:
+    """docs with ``kept`` (the bytes that are left), counts, and the removed spans of each text (byte places).
+
+    Spans that touch words or fewer words stay. With rewrite the text itself is what is left, without parts of
+    characters, and there is no ``kept``. With passage, strings of so many bytes are found too, and
+    ``n_passages``, ``passage_bytes`` and ``without_passages`` say what goes with those of their spans that touch
+    more than PASSAGE_WORDS words.
+    """
+    new = (NEW if rewrite else f"kept binary, {NEW}") + (f", {PASSAGES}" if passage else "")
+    docs = docs.drop(*[f.split()[0] for f in new.split(", ")])
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    buckets = max(BUCKETS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET)
+    rows = written(survey(docs, text_col, passage or length, buckets), "blocks")
+    texts = rows.filter("bucket = -1")
+    runs = repeated_runs(texts, rows.filter("bucket >= 0"), text_col, passage or length, hot, buckets)
+    found = runs.withColumn("bucket", F.lit(passage or length))
+    if passage:
+        runs = repeated_runs(texts, narrowed(texts, runs, text_col, passage, length, buckets), text_col, length, hot, buckets)
+        found = found.unionByName(runs.withColumn("bucket", F.lit(length)))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def apply(text: pa.Table, found: pa.Table) -> pa.Table:
         t = _restored(text["data"][0].as_py())
         b, ends = _bytes(t, text_col)
-        cover = np.zeros(len(b) + 1, np.int32)
-        for data in found["data"].to_pylist():
-            start, size = unpack(data, "<u4", "<u4")
-            np.add.at(cover, start, 1)
-            np.add.at(cover, start.astype(np.int64) + size + length - 1, -1)
-        gone = np.cumsum(cover)[:-1] > 0
-        edge = np.zeros(len(b) + 1, bool)
-        edge[1:-1] = gone[1:] != gone[:-1]
-        kept, counts, starts, stops = [], [], [], []
-        begin = 0
-        for end in ends.tolist():
-            own = gone[begin:end]
-            change = np.flatnonzero(np.diff(own, prepend=False, append=False))
-            kept.append(b[begin:end][~own].tobytes())
-            counts.append((end - begin, int(own.sum()), len(change) // 2))
-            starts.append(change[::2])
-            stops.append(change[1::2])
-            begin = end
+        begins = np.append(0, ends[:-1])
+        null = t[text_col].is_null().to_pylist()
+        by_length: dict[int, list[bytes]] = {}
+        for n, data in zip(found["bucket"].to_pylist(), found["data"].to_pylist(), strict=True):
+            by_length.setdefault(n, []).append(data)
+
+        def left(n: int, least: int) -> tuple:
+            """(bytes left of each text, spans, and where each text's spans begin)."""
+            start, stop = _spans(_covered(len(b), by_length.get(n, []), n), ends)
+            if least and len(start):
+                many = _touched(b, ends, start, stop) > least
+                start, stop = start[many], stop[many]
+            gone = np.zeros(len(b) + 1, np.int32)
+            gone[start] += 1
+            np.add.at(gone, stop, -1)
+            stay = np.cumsum(gone)[:-1] == 0
+            return [b[x:y][stay[x:y]].tobytes() for x, y in zip(begins, ends, strict=True)], start, stop, np.searchsorted(start, np.append(begins, len(b)))
+
+        def string(parts: list[bytes]) -> pa.Array:
+            return pa.array([None if x else k.decode("utf-8", "ignore") for k, x in zip(parts, null, strict=True)], pa.string())
+
+        kept, start, stop, at = left(length, words)
         if rewrite:
-            left = [None if null else k.decode("utf-8", "ignore") for k, null in zip(kept, t[text_col].is_null().to_pylist(), strict=True)]
-            t = t.set_column(t.schema.get_field_index(text_col), text_col, pa.array(left, pa.string()))
+            t = t.set_column(t.schema.get_field_index(text_col), text_col, string(kept))
         else:
             t = t.append_column("kept", pa.array(kept, pa.binary()))
-        for name, col in (
-            *((n, pa.array([c[i] for c in counts], pa.int64())) for i, n in enumerate(("n_bytes", "n_removed", "n_spans"))),
-            ("span_starts", pa.array(starts, pa.list_(pa.int64()))),
-            ("span_ends", pa.array(stops, pa.list_(pa.int64()))),
-        ):
-            t = t.append_column(name, col)
+        own = [start[x:y] - z for x, y, z in zip(at, at[1:], begins, strict=False)], [stop[x:y] - z for x, y, z in zip(at, at[1:], begins, strict=False)]
+        sizes = ends - begins
+        cols = [sizes, sizes - np.fromiter(map(len, kept), np.int64, len(kept)), np.diff(at)]
+        for name, col in zip(("n_bytes", "n_removed", "n_spans"), cols, strict=True):
+            t = t.append_column(name, pa.array(col, pa.int64()))
+        for name, col in zip(("span_starts", "span_ends"), own, strict=True):
+            t = t.append_column(name, pa.array(col, pa.list_(pa.int64())))
+        if passage:
+            kept, _, _, at = left(passage, PASSAGE_WORDS)
+            t = t.append_column("n_passages", pa.array(np.diff(at), pa.int64()))
+            t = t.append_column("passage_bytes", pa.array(sizes - np.fromiter(map(len, kept), np.int64, len(kept)), pa.int64()))
+            t = t.append_column("without_passages", string(kept))
         return t
 
-    return texts.groupBy("block").cogroup(runs.groupBy("block")).applyInArrow(apply, f"{fields}, {new}")
+    return texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(apply, f"{fields}, {new}")

@@ -7,7 +7,7 @@ import pytest
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
-from tests.llm.test_substring_dedup import brute  # noqa: E402
+from tests.llm.test_substring_dedup import brute_passages  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -65,10 +65,31 @@ def test_near_copies(stages):
 
 def test_repeats(stages):
     rows, after = stages[3].collect(), {r.doc_id: r.text for r in stages[4].collect()}
-    for r, (kept, _, _) in zip(rows, brute([r.text for r in rows], 400), strict=True):
+    for r, (kept, _, _) in zip(rows, brute_passages([r.text for r in rows], 200, 50), strict=True):
         assert after[r.doc_id] == kept.decode("utf-8", "ignore")
 
 
+def test_short_passages_go_and_clean_documents_stay(spark, documents):
+    r = np.random.default_rng(5)
+    vocabulary = ["".join(chr(97 + c) for c in r.integers(0, 26, r.integers(2, 9))) for _ in range(3000)]
+    text = lambda n: list(r.choice(vocabulary, n))
+    passages = {n: " ".join(text(n)) for n in range(51, 61)}
+    rows, planted = [], {}
+    for n, p in passages.items():
+        for _ in range(3):
+            i = len(rows)
+            rows.append((i, f"{' '.join(text(80))} | {p} | {' '.join(text(90))}"))
+            planted[i] = p
+    clean = {len(rows) + k: " ".join(text(200)) for k in range(40)}
+    # 30 words that two clean documents share are no passage
+    first, second, *_ = clean
+    clean[second] += " | " + " ".join(clean[first].split()[50:80])
+    docs = documents([*rows, *clean.items()])
+    got = {x.doc_id: x.text for x in pipeline.repeats(spark, docs, SF).collect()}
+    assert all(p not in got[i] and got[i] == rows[i][1].replace(f" | {p} | ", "") for i, p in planted.items())
+    assert all(got[i] == t for i, t in clean.items())
+
+
 def test_windows(stages):
     pieces = stages[5].collect()
     assert {p.doc_id for p in pieces} == {r.doc_id for r in stages[4].collect()}
@@ -85,5 +106,15 @@ def test_odd_rows(spark, stages):
     for _, stage in pipeline.STAGES[1:4]:
         docs = stage(spark, docs, SF)
     assert sorted((r.doc_id or 0, r.text or "") for r in docs.collect()) == [(0, ""), (0, "x y"), (5, "same words are here now ok")]
+    # an id on two texts that aren't alike names two documents; null ids give way to ids, and texts without words stay
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, near), (7, "another text of six words here"), (None, near + " x"), (9, near + " y"), (None, None), (None, " "), (None, None)]
+    kept = pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted(map(str, kept)) == sorted(f"Row(doc_id={i!r}, text={t!r})" for i, t in [rows[0], rows[1], *rows[4:]])
+    long = [(1, "x" * 300_000), (2, "word " * 100_000), (3, "a line\n" * 20_000)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in long], stages[0].schema)
+    for _, stage in pipeline.STAGES[1:]:
+        docs = stage(spark, docs, SF)
+    assert {r.doc_id for r in docs.collect()} == {1, 2, 3}
     for _, stage in pipeline.STAGES[:4]:
         assert stage(spark, stages[0].limit(0), SF).count() == 0

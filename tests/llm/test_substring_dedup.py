@@ -1,10 +1,12 @@
 """Suffix arrays against sorted suffixes; removal of repeats against counting every window."""
 
+import hashlib
 from collections import Counter
 
 import numpy as np
 import pytest
 
+from odweave.llm import queries
 from odweave.llm.substring_dedup import remove_repeats
 from odweave.llm.suffix_array import common_prefixes, suffix_array
 
@@ -24,6 +26,27 @@ def brute(texts, length):
     return out
 
 
+def brute_passages(texts, length, words):
+    """As brute, but of the spans only those that touch more than so many words."""
+    data = [(t or "").encode() for t in texts]
+    count = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
+    out = []
+    for d in data:
+        gone = np.zeros(len(d), bool)
+        for i in range(len(d) - length + 1):
+            if count[d[i : i + length]] > 1:
+                gone[i : i + length] = True
+        edge = np.flatnonzero(np.diff(gone, prepend=False, append=False))
+        spans = [(a, z) for a, z in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if len(d[a:z].split()) > words]
+        kept, at = [], 0
+        for a, z in spans:
+            kept.append(d[at:a])
+            at = z
+        kept = b"".join([*kept, d[at:]])
+        out.append((kept, len(d) - len(kept), len(spans)))
+    return out
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_suffix_array_and_prefixes(seed):
     r = np.random.default_rng(seed)
@@ -65,6 +88,30 @@ def test_matches_brute_force(documents, seed, length, hot):
         assert got[i].text == texts[i] and sum(got[i].span_ends) - sum(got[i].span_starts) == removed
 
 
+@pytest.mark.parametrize("hot", [2000, 2])
+def test_passages_beside_longer_strings(documents, hot):
+    texts = corpus(5)
+    got = {r.doc_id: r for r in remove_repeats(documents(list(enumerate(texts))).repartition(3), hot=hot, passage=200).collect()}
+    plain, short = brute(texts, 400), brute_passages(texts, 200, 50)
+    assert len(got) == len(texts) and any(a[1] != b[1] for a, b in zip(plain, short, strict=True))
+    for i, t in enumerate(texts):
+        assert (bytes(got[i].kept), got[i].n_removed, got[i].n_spans) == plain[i], i
+        assert (got[i].passage_bytes, got[i].n_passages) == short[i][1:], i
+        assert got[i].without_passages == (None if t is None else short[i][0].decode("utf-8", "ignore"))
+
+
+def test_the_query_on_a_table(spark):
+    d = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{d}/documents.parquet").collect()
+    got = {r.doc_id: r for r in queries.op3_suffix_array_dedup(spark, d).collect()}
+    plain, short = (f([r.text for r in rows], *a) for f, a in ((brute, [400]), (brute_passages, [200, 50])))
+    for r, (kept, removed, spans), (left, _, passages) in zip(rows, plain, short, strict=True):
+        g = got[r.doc_id]
+        assert (g.n_bytes, g.n_removed, g.n_spans) == (len((r.text or "").encode()), removed, spans)
+        assert (g.kept_sha256, g.n_passages) == (hashlib.sha256(kept).hexdigest(), passages)
+        assert g.text == (None if r.text is None else left.decode("utf-8", "ignore"))
+
+
 def test_edges(spark, documents):
     same = "x y z " * 100
     docs = documents([(None, same), (7, same), (7, same), (8, None), (9, "")])
