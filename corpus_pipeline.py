@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from odweave.llm import jaccard, line_dedup, packing, substring_dedup
 from odweave.llm import toxicity as toxic
 from odweave.llm.bpe import vocabulary
-from odweave.llm.common import arrow_ready, table, written
+from odweave.llm.common import arrow_ready, discard, table, written
 
 #: Score from which a document is rejected.
 REJECT = 0.5
@@ -46,21 +46,26 @@ def line_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the smallest id.
+    """Of each group of similar documents the one with the smallest id; a null id is larger than any.
 
-    Rows that repeat an id are one document, of which one row stays; rows with a null id stay.
+    Rows that repeat an id with the same text are one document, of which the row with the smallest hash stays; with
+    other texts they are documents of their own. Texts without words are similar to nothing, and all stay.
     """
     arrow_ready(spark)
-    linked = jaccard.link(docs.select("doc_id", "text"))
-    stay = linked.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    said = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    stay = jaccard.representatives(docs.select("doc_id", "text")).withColumnRenamed("id", "_id")
+    marked = docs.filter(said).withColumn("_mark", F.xxhash64("text"))
+    kept = marked.join(stay, marked["doc_id"].cast("long").eqNullSafe(stay["_id"]) & (marked["_mark"] == stay["mark"]), "left_semi")
+    order = F.xxhash64(*[f.name for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    once = kept.groupBy(F.col("doc_id").alias("_id"), "_mark").agg(F.min_by(F.struct(*docs.columns), order).alias("_row"))
+    return once.select("_row.*").unionByName(docs.filter(~said))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes of strings that start anywhere else, nor parts of characters."""
+    """All documents, without passages of over 50 words that stand anywhere else, nor parts of characters."""
     arrow_ready(spark)
-    return _counted(substring_dedup.remove_repeats(docs, rewrite=True), docs.columns)
+    cut = substring_dedup.remove_repeats(docs, length=substring_dedup.PASSAGE, words=substring_dedup.PASSAGE_WORDS, rewrite=True)
+    return _counted(cut, docs.columns)
 
 
 def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -82,5 +87,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another, over documents."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if hasattr(before, "written_to"):
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
