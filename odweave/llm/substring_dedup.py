@@ -44,15 +44,15 @@ PASSAGE = 200
 PASSAGE_WORDS = 50
 #: Bytes of texts in a block, and for each bucket.
 BLOCK = 5_000_000
-BUCKET = 32_000_000
+BUCKET = 8_000_000
 #: Window starts that are hashed at once, most windows of a segment, bytes of a shard.
 SLICE = 1 << 19
 MOST = 1024
 SHARD = 2_000_000
 #: Contents of a key from which its windows are counted one by one.
 HOT = 2_000
-#: Least number of buckets; it grows with the texts and with the session's shuffle partitions.
-BUCKETS = 64
+#: Tasks of a stage over buckets at most; with more buckets, a task takes several, one after another.
+TASKS = 20_000
 BREAK = b"\xff"
 #: Flags of a content: it repeats as a whole; it stands several times; it is to be sorted; this block sends it; hot.
 WHOLE, SEVERAL, SORT, SEND, TOO_MANY = 1, 2, 4, 8, 16
@@ -227,7 +227,7 @@ def survey(docs: DataFrame, text_col: str, length: int, buckets: int) -> DataFra
     return docs.mapInArrow(run, ROWS)
 
 
-def judged(entries: DataFrame, hot: int = HOT) -> DataFrame:
+def judged(entries: DataFrame, buckets: int, hot: int = HOT) -> DataFrame:
     """The entries (block, bucket, data) that aren't unique, with flags."""
 
     def judge(t: pa.Table) -> pa.Table:
@@ -258,7 +258,12 @@ def judged(entries: DataFrame, hot: int = HOT) -> DataFrame:
                 rows.append((block, t["bucket"][0].as_py(), pack(g[0][keep], g[1][keep], g[2][keep] & (OWN - 1), mine[keep], g[3][keep], where)))
         return pa.Table.from_batches([_batch(rows)])
 
-    return entries.groupBy("bucket").applyInArrow(judge, ROWS)
+    return _dealt(entries, buckets).groupBy("bucket").applyInArrow(judge, ROWS)
+
+
+def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
+    """rows by bucket. Sorting costs far more than its bytes tell, so that the tasks are as many as the buckets."""
+    return rows.repartition(min(buckets, TASKS), "bucket")
 
 
 def _pieces(b: np.ndarray, replies: list[bytes], repeated: np.ndarray, length: int) -> dict[int, list[tuple]]:
@@ -379,7 +384,7 @@ def repeats(contents: list[bytes], several: np.ndarray, length: int) -> list[tup
     return [(start[x:y] - begin[i], stop[x:y] - start[x:y]) for i, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False))]
 
 
-def sort_shards(sent: DataFrame, live: DataFrame, length: int, shard: int = SHARD) -> DataFrame:
+def sort_shards(sent: DataFrame, live: DataFrame, length: int, buckets: int, shard: int = SHARD) -> DataFrame:
     """(block, bucket, data): for each block the runs of repeated windows of its contents."""
 
     def run(own: pa.Table, replies: pa.Table) -> pa.Table:
@@ -436,7 +441,8 @@ def sort_shards(sent: DataFrame, live: DataFrame, length: int, shard: int = SHAR
             rows.append((block, None, pack(start.astype("<u4"), size.astype("<u4"))))
         return pa.Table.from_batches([_batch(rows)])
 
-    return sent.groupBy("bucket").cogroup(live.filter("bucket >= 0").groupBy("bucket")).applyInArrow(run, ROWS)
+    own, replies = _dealt(sent, buckets), _dealt(live, buckets)
+    return own.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(run, ROWS)
 
 
 def narrowed(texts: DataFrame, runs: DataFrame, text_col: str, shorter: int, length: int, buckets: int) -> DataFrame:
@@ -495,7 +501,7 @@ def _touched(b: np.ndarray, ends: np.ndarray, start: np.ndarray, stop: np.ndarra
 
 def repeated_runs(texts: DataFrame, entries: DataFrame, text_col: str, length: int, hot: int, buckets: int) -> DataFrame:
     """(block, bucket, data): of each block the runs of windows that repeat, from the blocks' entries."""
-    live = written(judged(entries, hot), "live")
+    live = written(judged(entries, buckets, hot), "live")
 
     def too_many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -508,7 +514,7 @@ def repeated_runs(texts: DataFrame, entries: DataFrame, text_col: str, length: i
         used.append(written(hot_windows(some, hot_rows, text_col, length, buckets), "windows"))
         told = live.unionByName(used[-1])
     used.append(written(pieces(texts, told, text_col, length), "pieces"))
-    runs = written(sort_shards(used[-1], live, length), "runs")
+    runs = written(sort_shards(used[-1], live, length, buckets), "runs")
     discard(*used)
     return runs
 
@@ -532,7 +538,7 @@ def remove_repeats(
     new = (NEW if rewrite else f"kept binary, {NEW}") + (f", {PASSAGES}" if passage else "")
     docs = docs.drop(*[f.split()[0] for f in new.split(", ")])
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    buckets = max(BUCKETS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET)
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET)
     rows = written(survey(docs, text_col, passage or length, buckets), "blocks")
     texts = rows.filter("bucket = -1")
     runs = repeated_runs(texts, rows.filter("bucket >= 0"), text_col, passage or length, hot, buckets)
