@@ -2,10 +2,13 @@
 
 ``store`` puts a payload into the ancillary bytes of silent MPEG-1 Layer III frames, with an ID3v2 tag,
 a variable-bitrate table and a CRC in each frame. ``scan`` reads a stream of any MPEG version and layer:
-it parses the tags, resynchronises on frame headers, verifies checksums and the variable-bitrate table,
-and gives the exact duration and the byte offset of each frame.
+it parses the tags, resynchronises on frame headers, verifies the checksums of all three layers and the
+variable-bitrate table (Xing, Info or VBRI), and gives the exact duration, as a fraction of seconds that also
+holds where the sample rate changes, and the byte offset of each frame. An ID3v2 tag counts when its header
+and all of its frames are well-formed; other bytes ahead of audio are junk. Not read: frames of free bit rate,
+and what encoders put behind a Xing table.
 
-Defined results: a null text is an empty one and stored as 192 spaces; equal texts give equal values;
+Columns named like those that are added are replaced. Defined results: a null text is an empty one and stored as 192 spaces; equal texts give equal values;
 bytes that aren't MPEG audio scan to zero frames; other columns pass through.
 """
 
@@ -122,28 +125,121 @@ def store(payload: bytes) -> bytes:
     return b"".join((b"ID3\x04\0\0", _syncsafe(len(tag)), tag, _frame(vbr), *body))
 
 
+def _syncsafe_int(data: bytes) -> int | None:
+    """The number in bytes of seven bits each, or None if a byte has eight."""
+    n = 0
+    for b in data:
+        if b & 0x80:
+            return None
+        n = n << 7 | b
+    return n
+
+
+def id3v2(data: bytes) -> tuple[int, dict[str, bytes]] | None:
+    """(bytes, frames) of a tag at the start of data, or None if none is there that is well-formed."""
+    if data[:3] != b"ID3" or len(data) < 10 or data[3] not in (2, 3, 4) or data[4] == 0xFF:
+        return None
+    version, flags, size = data[3], data[5], _syncsafe_int(data[6:10])
+    if size is None or 10 + size > len(data):
+        return None
+    at, stop, found = 10, 10 + size, {}
+    if flags & 0x40 and version > 2:
+        extended = _syncsafe_int(data[10:14]) if version == 4 else int.from_bytes(data[10:14], "big") + 4
+        if extended is None or extended > size:
+            return None
+        at += extended
+    width = 3 if version == 2 else 4
+    head = 6 if version == 2 else 10
+    while at + head <= stop and data[at]:
+        name, said = data[at : at + width], data[at + width : at + 2 * width]
+        n = _syncsafe_int(said) if version == 4 else int.from_bytes(said, "big")
+        if not all(48 <= b <= 57 or 65 <= b <= 90 for b in name) or n is None or at + head + n > stop:
+            return None
+        found[name.decode()] = data[at + head : at + head + n]
+        at += head + n
+    if data[at:stop].strip(b"\0"):
+        return None
+    return stop + (10 if version == 4 and flags & 0x10 else 0), found
+
+
 def _tags(data: bytes) -> tuple[int, int, dict[str, bytes]]:
-    """Where audio starts and ends, and the frames of an ID3v2 tag."""
+    """Where audio starts and ends, and the frames of an ID3v2 tag and an ID3v1 tag."""
     start, end, found = 0, len(data), {}
-    if data[:3] == b"ID3" and len(data) >= 10:
-        size = 0
-        for b in data[6:10]:
-            size = size << 7 | b & 0x7F
-        start, at, stop = 10 + size + (10 if data[5] & 0x10 else 0), 10, min(10 + size, len(data))
-        old = data[3] < 4
-        while at + 10 <= stop and data[at]:
-            n = 0
-            for b in data[at + 4 : at + 8]:
-                n = n << (8 if old else 7) | b
-            found[data[at : at + 4].decode("latin-1")] = data[at + 10 : at + 10 + n]
-            at += 10 + n
-        start = min(start, len(data))
+    if got := id3v2(data):
+        start, found = min(got[0], end), dict(got[1])
     if end - start >= 128 and data[end - 128 : end - 125] == b"TAG":
         found["TAG"] = data[end - 128 :]
         end -= 128
     return start, end, found
 
 
+def _allocation_widths(version: float, hz: int, kbps: int, channels: int) -> list[int]:
+    """Bits of each subband's allocation in a Layer II frame. Fixed values of the format."""
+    if version != 1:
+        return [4] * 4 + [3] * 7 + [2] * 19
+    each = kbps // channels
+    if each < 56:
+        return [4] * 2 + [3] * (10 if hz == 32_000 else 6)
+    return [4] * 11 + [3] * 12 + [2] * (4 if hz == 48_000 or each <= 80 else 7)
+
+
+def protected_bits(frame: bytes) -> int | None:
+    """How many bits behind the checksum of a frame it covers, or None if the frame is too short for them.
+
+    Layer I covers the allocation of 32 subbands, 4 bits each; Layer II that of its subbands and 2 bits for each
+    channel of a subband that has any; Layer III the side information. Above the bound of joint stereo both
+    channels share an allocation.
+    """
+    size, _, hz, version, layer, _, side = header_fields(*frame[1:4])
+    if layer == 3:
+        return 8 * side
+    mode = frame[3] >> 6
+    channels = 1 if mode == 3 else 2
+    bound = 4 * ((frame[3] >> 4 & 3) + 1) if mode == 1 else 32
+    if layer == 1:
+        return 4 * (channels * min(bound, 32) + (32 - min(bound, 32)))
+    widths = _allocation_widths(version, hz, KBPS[1 if version == 1 else 2, 2][frame[2] >> 4], channels)
+    bits, left, scales = int.from_bytes(frame[6:size], "big"), 8 * (size - 6), 0
+    total = left
+    for band, width in enumerate(widths):
+        for _ in range(channels if band < bound else 1):
+            left -= width
+            if left < 0:
+                return None
+            scales += bool(bits >> left & (1 << width) - 1) * (1 if band < bound else channels)
+    return total - left + 2 * scales
+
+
+def checksum(frame: bytes) -> int | None:
+    """The checksum that a frame ought to have."""
+    n = protected_bits(frame)
+    if n is None or n > 8 * (len(frame) - 6):
+        return None
+    v = crc16(frame[2:4] + frame[6 : 6 + n // 8])
+    for k in range(n % 8):
+        bit = frame[6 + n // 8] >> (7 - k) & 1
+        v = (v << 1 ^ (0x8005 if (v >> 15) ^ bit else 0)) & 0xFFFF
+    return v
+
+
+def vbr_table(frame: bytes, body: int) -> dict | None:
+    """The variable-bitrate table of a frame whose main data begins at body."""
+    if frame[body : body + 4] in (b"Xing", b"Info"):
+        flags, at = int.from_bytes(frame[body + 4 : body + 8], "big"), body + 8
+        out = {"frames": None, "bytes": None, "toc": None}
+        for bit, key, width in ((1, "frames", 4), (2, "bytes", 4), (4, "toc", 100)):
+            if flags & bit:
+                part = frame[at : at + width]
+                out[key] = part if key == "toc" else int.from_bytes(part, "big")
+                at += width
+        return out
+    if frame[36:40] == b"VBRI" and len(frame) >= 62:
+        size, frames, entries, scale, width, _ = struct.unpack(">IIHHHH", frame[46:62])
+        toc = [int.from_bytes(frame[62 + k * width : 62 + (k + 1) * width], "big") * scale for k in range(entries)]
+        return {"frames": frames, "bytes": size, "toc": toc}
+    return None
+
+
 def scan(data: bytes) -> dict:
     """What a stream holds. A frame counts when another one or the stream's end follows it."""
     start, end, tags = _tags(data)
@@ -156,34 +252,28 @@ def scan(data: bytes) -> dict:
             at[i] = f
     starts = [i for i in sorted(at) if i + at[i][0] == end or i + at[i][0] in at]
     offsets, bodies, lost, good, bad, unchecked, vbr = [], [], 0, 0, 0, 0, None
-    pos, k = start, 0
+    pos, k, synced, follows = start, 0, False, set(starts)
     duration, rate, samples = Fraction(0), 0, 0
     while pos < end:
         f = at.get(pos)
-        if f is None or pos + f[0] > end:
+        if f is None or pos + f[0] > end or not (synced or pos in follows):
             while k < len(starts) and starts[k] <= pos:
                 k += 1
             to = starts[k] if k < len(starts) else end
-            lost, pos = lost + to - pos, to
+            lost, pos, synced = lost + to - pos, to, True
             continue
+        synced = True
         size, n, hz, _, layer, crc, side = f
         body = pos + 4 + 2 * crc + side
-        if crc and layer == 3:
-            want = int.from_bytes(data[pos + 4 : pos + 6], "big")
-            if crc16(data[pos + 2 : pos + 4] + data[pos + 6 : body]) == want:
-                good += 1
-            else:
-                bad += 1
+        frame = data[pos : pos + size]
+        if crc:
+            right = checksum(frame) == int.from_bytes(data[pos + 4 : pos + 6], "big")
+            good, bad = good + right, bad + (not right)
         else:
             unchecked += 1
-        if not offsets and vbr is None and data[body : body + 4] in (b"Xing", b"Info"):
-            flags, here = int.from_bytes(data[body + 4 : body + 8], "big"), body + 8
-            vbr = {"frames": None, "bytes": None, "toc": None, "at": pos}
-            for bit, key, width in ((1, "frames", 4), (2, "bytes", 4), (4, "toc", 100)):
-                if flags & bit:
-                    part = data[here : here + width]
-                    vbr[key] = part if key == "toc" else int.from_bytes(part, "big")
-                    here += width
+        table = vbr_table(frame, body - pos) if layer == 3 and not offsets and vbr is None else None
+        if table:
+            vbr = table | {"at": pos}
         else:
             offsets.append(pos)
             bodies.append((body, pos + size))
@@ -192,7 +282,9 @@ def scan(data: bytes) -> dict:
         pos += size
     out = {"offsets": offsets, "lost": lost, "crc_good": good, "crc_bad": bad, "crc_unchecked": unchecked}
     out |= {"samples": samples, "rate": rate, "duration": duration, "tags": tags, "vbr": vbr}
-    out["vbr_ok"] = vbr is not None and vbr["frames"] == len(offsets) and vbr["bytes"] == end - vbr["at"]
+    # some encoders count the table's own frame
+    counts = (len(offsets),) if lost else (len(offsets), len(offsets) + 1)
+    out["vbr_ok"] = vbr is not None and vbr["frames"] in counts and vbr["bytes"] == end - vbr["at"]
     out["payload"] = _payload(data, bodies, tags.get("PRIV", b""))
     return out
 
@@ -235,8 +327,8 @@ def media_column(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 #: Columns that ``scan_column`` adds.
 SCANNED = (
-    "payload binary, feature string, n_frames long, duration_samples long, sample_rate long, crc_bad long,"
-    " lost_bytes long, vbr_ok boolean, seek_offsets array<bigint>"
+    "payload binary, feature string, n_frames long, duration_samples long, sample_rate long, duration_num long,"
+    " duration_den long, crc_bad long, lost_bytes long, vbr_ok boolean, seek_offsets array<bigint>"
 )
 
 
@@ -249,7 +341,7 @@ def scan_column(media: DataFrame, media_col: str = "media") -> DataFrame:
             cols = [
                 pa.array([x["payload"] for x in got], pa.binary()),
                 pa.array([feature(x) for x in got], pa.string()),
-                *[pa.array([f(x) for x in got], pa.int64()) for f in (lambda x: len(x["offsets"]), lambda x: x["samples"], lambda x: x["rate"], lambda x: x["crc_bad"], lambda x: x["lost"])],
+                *[pa.array([f(x) for x in got], pa.int64()) for f in (lambda x: len(x["offsets"]), lambda x: x["samples"], lambda x: x["rate"], lambda x: x["duration"].numerator, lambda x: x["duration"].denominator, lambda x: x["crc_bad"], lambda x: x["lost"])],
                 pa.array([x["vbr_ok"] for x in got], pa.bool_()),
                 pa.array([x["offsets"] for x in got], pa.list_(pa.int64())),
             ]
@@ -275,6 +367,8 @@ def digests(scanned: DataFrame) -> DataFrame:
         "n_frames",
         "duration_samples",
         "sample_rate",
+        "duration_num",
+        "duration_den",
         "crc_bad",
         "seek_offsets",
     )
