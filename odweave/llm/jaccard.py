@@ -44,9 +44,13 @@ SKETCH = 23
 CHUNKS = 64
 #: Classes that a verification's group holds besides the one they are compared with.
 GROUP = 256
-#: Rows of a table that is broadcast (under 64 MB); a count checks them, and more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
-BLOCKS = 32
+#: Rows and pairs of a table that is broadcast: at most 250,000 rows of 28 bytes and 500,000 entries of 16, 15 MB. A count
+#: checks them, and more are joined by a shuffle.
+BROADCAST_ROWS = 250_000
+#: Bytes of texts for each block of shingles.
+BLOCK = 8_000_000
+#: Tasks of a stage over blocks at most; with more blocks, a task takes several.
+TASKS = 20_000
 
 _rng = np.random.default_rng(9)
 BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
@@ -220,7 +224,7 @@ def _unpack(data: bytes) -> tuple[np.ndarray, ...]:
 LIST_COLUMNS = ["shingle", "set_key", "n", "place", "head", "head_n", "common", "common_n", "last", "last_n"]
 
 
-def lists(scattered: DataFrame) -> DataFrame:
+def lists(scattered: DataFrame, blocks: int) -> DataFrame:
     """LIST_COLUMNS: the classes of each shingle that several share, and the smallest, that with the
     largest share of frequent shingles, and the largest of them.
 
@@ -229,40 +233,47 @@ def lists(scattered: DataFrame) -> DataFrame:
     Only 48 bits of a shingle and its block are kept: two that agree in these add to counts, which are verified.
     """
 
+    def made(k: int, parts: list) -> Iterator[pa.RecordBatch]:
+        key, n, share, g, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
+        order = np.argsort(g, kind="stable")
+        same = g[order][1:] == g[order][:-1]
+        several = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        order = order[several]
+        key, n, share, g, place = key[order], n[order].astype(np.int64), share[order], g[order], place[order]
+        order = np.lexsort((n, key, g))
+        key, n, share, g, place = key[order], n[order], share[order], g[order], place[order]
+        once = np.ones(len(g), bool)
+        once[1:] = (g[1:] != g[:-1]) | (key[1:] != key[:-1]) | (n[1:] != n[:-1])
+        key, n, share, g, place = key[once], n[once], share[once], g[once], place[once].astype(np.int16)
+        first = np.ones(len(g), bool)
+        first[1:] = g[1:] != g[:-1]
+        size = np.diff(np.append(np.flatnonzero(first), len(g)))
+        start = np.flatnonzero(first)
+        most = np.lexsort((share, g))[start + size - 1]
+        heads = [np.repeat(x, size) for x in (start, most, start + size - 1)]
+        keep = np.repeat(size > 1, size)
+        heads = [h[keep] for h in heads]
+        whole = (g[keep] << np.uint64(14) | np.uint64(k & 0x3FFF)).astype(np.int64)
+        for a in range(0, len(whole), 100_000):
+            s = slice(a, a + 100_000)
+            cols = [whole[s], key[keep][s], n[keep][s], place[keep][s], *(x[h[s]] for h in heads for x in (key, n))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=LIST_COLUMNS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks: dict[int, list] = {}
+        block, parts = None, []
         for b in batches:
             for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                blocks.setdefault(k, []).append(_unpack(data))
-        for k, parts in blocks.items():
-            key, n, share, g, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-            parts.clear()
-            order = np.argsort(g, kind="stable")
-            same = g[order][1:] == g[order][:-1]
-            several = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-            order = order[several]
-            key, n, share, g, place = key[order], n[order].astype(np.int64), share[order], g[order], place[order]
-            order = np.lexsort((n, key, g))
-            key, n, share, g, place = key[order], n[order], share[order], g[order], place[order]
-            once = np.ones(len(g), bool)
-            once[1:] = (g[1:] != g[:-1]) | (key[1:] != key[:-1]) | (n[1:] != n[:-1])
-            key, n, share, g, place = key[once], n[once], share[once], g[once], place[once].astype(np.int16)
-            first = np.ones(len(g), bool)
-            first[1:] = g[1:] != g[:-1]
-            size = np.diff(np.append(np.flatnonzero(first), len(g)))
-            start = np.flatnonzero(first)
-            most = np.lexsort((share, g))[start + size - 1]
-            heads = [np.repeat(x, size) for x in (start, most, start + size - 1)]
-            keep = np.repeat(size > 1, size)
-            heads = [h[keep] for h in heads]
-            whole = (g[keep] << np.uint64(14) | np.uint64(k & 0x3FFF)).astype(np.int64)
-            for a in range(0, len(whole), 100_000):
-                s = slice(a, a + 100_000)
-                cols = [whole[s], key[keep][s], n[keep][s], place[keep][s], *(x[h[s]] for h in heads for x in (key, n))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=LIST_COLUMNS)
+                if k != block and parts:
+                    yield from made(block, parts)
+                    parts = []
+                block = k
+                parts.append(_unpack(data))
+        if parts:
+            yield from made(block, parts)
 
     kinds = ", ".join(f"{c} {'short' if c == 'place' else 'long'}" for c in LIST_COLUMNS)
-    return scattered.repartition("block").mapInArrow(run, kinds)
+    return scattered.repartition(min(blocks, TASKS), "block").sortWithinPartitions("block").mapInArrow(run, kinds)
 
 
 def _slack(c: str):
@@ -367,8 +378,9 @@ def grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         .select("set_key", "n", F.xxhash64("set_key", "n").alias("class"), "d.doc", "d.mark"),
         "classes",
     )
-    blocks = max(BLOCKS, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    shared = written(lists(scatter(docs, hot, blocks, text_col)), "lists")
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BLOCK)
+    shared = written(lists(scatter(docs, hot, blocks, text_col), blocks), "lists")
     name = classes.select("set_key", "n", "class")
     heads = name.select(F.col("set_key").alias("head"), F.col("n").alias("head_n"), F.col("class").alias("b"))
 
@@ -414,6 +426,9 @@ def grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         full = full.join(name, ["set_key", "n"]).join(of, "class", "left").select(
             "shingle", F.col("n").alias("m"), F.col("class").alias("other"), F.coalesce("p", "class").alias("q"), F.col("place").alias("there")
         )
+        # a list of one component makes no pair, however long it is
+        several = full.groupBy("shingle").agg(F.min("q").alias("low"), F.max("q").alias("high")).filter("low <> high").select("shingle")
+        full, mine = (x.join(several, "shingle", "left_semi") for x in (full, mine))
         # sets of n and m that link share t shingles, and so share k of those that stand before n - t + k and m - t + k
         k, t = F.expr("greatest(1, least(n, m) div 60)"), F.expr("(3 * (n + m) + 6) div 7")
         sent_n, sent_m = (F.expr(f"{x} - (3 * {x} + 3) div 4 + greatest(1, {x} div 10)") for x in ("n", "m"))
