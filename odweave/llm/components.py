@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from odweave.llm.common import written
+from odweave.llm.common import discard, written
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -48,7 +48,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = small.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             small.select("u", F.col("m").alias("v"))
         )
-        now = written(small.distinct(), "edges")
+        before, now = now, written(small.distinct(), "edges")
+        discard(before)
         if (new := _state(now)) == state:
             break
         state = new

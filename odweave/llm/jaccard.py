@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from odweave.llm.common import written
+from odweave.llm.common import discard, written
 from odweave.llm.components import components
 
 WORDS = 5
@@ -345,7 +345,9 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
     sets = rows.select("class", "_text", "jobs", "groups").mapInArrow(send, "b long, g int, a long, data binary")
     # a class may have several documents of the same id and text; one of them is enough, and more do no harm
     sets = sets.repartition("b", "g").sortWithinPartitions(F.col("b"), F.col("g"), F.col("a").asc_nulls_first())
-    return written(sets.mapInArrow(compare, "a long, b long").distinct(), "links")
+    links = written(sets.mapInArrow(compare, "a long, b long").distinct(), "links")
+    discard(pairs, wanted)
+    return links
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -441,6 +443,7 @@ def grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         )
         links = links.unionByName(verified(pairs, texts, docs, id_col, text_col))
         parts = written(components(links), "parts")
+    discard(shared, meets, active)
     found = parts.join(texts.select(F.col("class").alias("node"), "doc"), "node")
     least = written(found.groupBy("component").agg(F.min("doc").alias("least")), "least")
     named_parts = parts.join(least, "component").select(F.col("node").alias("class"), "component", "least")
