@@ -45,12 +45,12 @@ PASSAGE_WORDS = 50
 #: Bytes of texts in a block, and for each bucket.
 BLOCK = 5_000_000
 BUCKET = 8_000_000
-#: Window starts that are hashed at once, most windows of a segment, bytes of a shard.
+#: Window starts that are hashed at once, most windows of a segment, bytes of a shard (sorting takes 170 times as much memory).
 SLICE = 1 << 19
 MOST = 1024
-SHARD = 2_000_000
+SHARD = 500_000
 #: Contents of a key from which its windows are counted one by one.
-HOT = 2_000
+HOT = 500
 #: Tasks of a stage over buckets at most; with more buckets, a task takes several, one after another.
 TASKS = 20_000
 BREAK = b"\xff"
