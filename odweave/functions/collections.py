@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +51,16 @@ def missing_items(a: DataFrame, b: DataFrame, column: str) -> tuple[DataFrame, D
     return x.join(y, "item", "left_anti"), y.join(x, "item", "left_anti")
 
 
+def without_items(items: Column, gone: Sequence, strict: bool = False) -> Column:
+    """An array without these items; strict raises where one of them isn't there."""
+    out = items
+    for x in gone:
+        less = F.array_remove(out, x)
+        lacks = F.raise_error(F.lit(f"{x!r} isn't in the array"))
+        out = F.when(F.array_contains(items, x), less).otherwise(lacks) if strict else less
+    return out
+
+
 def combine_maps(df: DataFrame, column: str, order: str, operation: Callable[[Column, Column], Column], by: str | None = None) -> DataFrame:
     """(key, value): maps of numbers folded key by key in an order; a key that a fold starts with counts from 0.
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from odweave.operators.translate import clean
 
@@ -80,3 +81,10 @@ def rmse(pairs: DataFrame, target: str, achieved: str) -> DataFrame:
 def nan_report(df: DataFrame, keys: Sequence[str], output: str, inputs: Sequence[str]) -> DataFrame:
     """Keys, output and inputs of the rows whose output is null or NaN."""
     return df.filter(clean(output).isNull()).select(*keys, output, *inputs)
+
+
+def require_numbers(df: DataFrame, columns: Sequence[str]) -> None:
+    """Raise ValueError unless all these columns are of numbers."""
+    odd = [c for c in columns if not isinstance(df.schema[c].dataType, NumericType)]
+    if odd:
+        raise ValueError(f"columns that aren't of numbers: {', '.join(odd)}")

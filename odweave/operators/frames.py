@@ -71,7 +71,7 @@ def numbered(df: DataFrame, key: str, ties: Sequence[str] = (), name: str = "row
     """df with each row's place, from 0, in the order of a numeric key and then of ties; nulls come first.
 
     Rows are numbered range by range. Bounds of ranges come from the key's quantiles, and a table of RANGES
-    counts gives each range's first number, so that no task sees all rows.
+    counts gives each range's first number. A range holds all rows of a key value: take a key of many values.
     """
     k = F.col(key)
     bounds = df.agg(F.percentile_approx(k, [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0] or []
@@ -95,7 +95,11 @@ def chunked(df: DataFrame, size: int, key: str, ties: Sequence[str] = ()) -> Dat
 
 def chunks(df: DataFrame, size: int, key: str, ties: Sequence[str] = ()) -> Iterator[DataFrame]:
     """The chunks one after another, each a lazy DataFrame."""
-    all_ = chunked(df, size, key, ties)
-    last = all_.agg(F.max("chunk_id")).first()[0]
-    for i in range(-1 if last is None else last + 1):
-        yield all_.filter(F.col("chunk_id") == i).drop("chunk_id")
+    # numbered once for all chunks, and kept as long as they are asked for
+    all_ = chunked(df, size, key, ties).persist()
+    try:
+        last = all_.agg(F.max("chunk_id")).first()[0]
+        for i in range(0 if last is None else last + 1):
+            yield all_.filter(F.col("chunk_id") == i).drop("chunk_id")
+    finally:
+        all_.unpersist()

@@ -6,7 +6,7 @@ import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from odweave.operators.correspondence import Correspondence
@@ -106,8 +106,12 @@ def paired(a: DataFrame, b: DataFrame, value: str = "value") -> DataFrame:
 
 
 def abs_difference(a: DataFrame, b: DataFrame, lookup: Correspondence, value: str = "value") -> DataFrame:
-    """Absolute differences of cells, translated and with margins: opposite differences don't cancel out."""
-    cells = paired(a, b, value).select(*OD, F.abs(F.col("a") - F.col("b")).alias(value))
+    """Absolute differences of cells, translated and with margins: opposite differences don't cancel out.
+
+    A cell that a matrix lacks, or that is null or NaN there, is 0.
+    """
+    x, y = (F.coalesce(c, F.lit(0)) for c in ("a", "b"))
+    cells = paired(a, b, value).select(*OD, F.abs(x - y).alias(value))
     return margins(translate_matrix(cells, lookup, value=value), value)
 
 
@@ -140,6 +144,13 @@ class MatrixReport:
     def __post_init__(self):
         self.translated = translate_matrix(self.matrix, self.lookup, value=self.value)
 
+    @classmethod
+    def from_file(cls, spark: SparkSession, matrix: str, correspondence: str, **columns) -> MatrixReport:
+        """A report on a CSV matrix in long or square form, by a CSV correspondence."""
+        from odweave.sources.ingest import read_correspondence, read_matrix
+
+        return cls(read_matrix(spark, matrix), read_correspondence(spark, correspondence, **columns))
+
     @property
     def sector_matrix(self) -> DataFrame:
         """The translated matrix with margins."""
@@ -177,14 +188,17 @@ class MatrixReport:
     def compare(self, other: MatrixReport, names: tuple[str, str] = ("a", "b")) -> dict[str, DataFrame]:
         """Comparisons of the sector matrices, statistics, trip ends, and what both have of the rest."""
         a, b = names
-        stats = self.describe().select("statistic", F.col("translated_matrix").alias(a))
+        stats = [describe(r.matrix, r.value).withColumnRenamed("value", n) for r, n in ((self, a), (other, b))]
+        gap = abs_difference(self.matrix, other.matrix, self.lookup, self.value)
+        over = self.sector_matrix.select(*OD, F.col(self.value).cast("double").alias("_over"))
         ends = self.trip_ends.join(other.trip_ends.withColumnsRenamed({"row_sum": "row_b", "column_sum": "column_b"}), "zone")
         out = {
             f"{a} matrix": self.sector_matrix,
             f"{b} matrix": other.sector_matrix,
             "cells": compare(self.sector_matrix, other.sector_matrix, self.value),
-            "abs difference": abs_difference(self.matrix, other.matrix, self.lookup, self.value),
-            "stats": stats.join(other.describe().select("statistic", F.col("translated_matrix").alias(b)), "statistic"),
+            "abs difference": gap,
+            "abs percentage": gap.join(over, list(OD)).select(*OD, F.try_divide(F.col(self.value).cast("double"), "_over").alias(self.value)),
+            "stats": stats[0].join(stats[1], "statistic"),
             "Trip Ends": ends.withColumns(
                 {
                     "row_difference": F.col("row_sum") - F.col("row_b"),

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -118,13 +119,21 @@ def to_array(data: DataFrame, keys: Sequence[str], value: str, maps: Mapping[str
     return out, maps
 
 
+def explode_array(data: DataFrame, keys: Sequence[str], column: str, names: Sequence[str], value: str = "value", drop_zeros: bool = False) -> DataFrame:
+    """A row for each cell of a column of arrays, nested once for each of names, with keys and the cell's places."""
+    out = data.select(*keys, F.col(column).alias(value))
+    for n, name in enumerate(names):
+        out = out.select(*keys, *names[:n], F.posexplode(value).alias(name, value))
+    return out.filter(F.col(value) != 0) if drop_zeros else out
+
+
 def from_array(spark: SparkSession, array: np.ndarray, keys: Mapping[str, Sequence], value: str = "value", drop_zeros: bool = False) -> DataFrame:
     """A row for each cell of an array whose axes have these names and values."""
     if array.shape != tuple(len(v) for v in keys.values()):
         raise ValueError("the array's shape doesn't fit the values of its axes")
     at = np.nonzero(array) if drop_zeros else tuple(x.ravel() for x in np.indices(array.shape))
-    rows = [(*[v[i] for v, i in zip(keys.values(), place, strict=True)], array[place].item()) for place in zip(*(a.tolist() for a in at), strict=True)]
-    return spark.createDataFrame(rows, [*keys, value])
+    columns = {k: pa.array([*v]).take(pa.array(i)) for (k, v), i in zip(keys.items(), at, strict=True)}
+    return spark.createDataFrame(pa.table(columns | {value: pa.array(array[at])}))
 
 
 def square_zones(matrix: DataFrame, origin: str = "origin", destination: str = "destination", value: str = "value") -> DataFrame:

@@ -71,6 +71,13 @@ def translate_matrix_two_lookups(spark, d):
     return translate.translate_matrix(trips(spark, d), to_regions(spark, d), to_regions(spark, d, 0.5, 2), dense=False)
 
 
+@query('SELECT a."to" AS origin, b."to" AS destination, CAST(sum(t.value * a.factors * b.factors) AS BIGINT) AS value FROM (SELECT origin, destination, CAST(trunc(sum(value) * 0.37) AS BIGINT) AS value FROM trips GROUP BY 1, 2) t JOIN (SELECT "from", "to", CAST(trunc(factors * 4) AS BIGINT) AS factors FROM regions) a ON origin = a."from" JOIN (SELECT "from", "to", CAST(trunc(factors * 4) AS BIGINT) AS factors FROM regions) b ON destination = b."from" GROUP BY 1, 2')
+def translate_matrix_dtype(spark, d):
+    """Values and factors cut to whole numbers before they are multiplied."""
+    four = Correspondence(to_regions(spark, d).table.withColumn("factors", F.col("factors") * 4 + 0.5))
+    return translate.translate_matrix(trips(spark, d).withColumn("value", F.col("value").cast("double") * 0.37), four, dtype="bigint")
+
+
 @query('SELECT origin, destination, CAST(sum(CAST(value * 16 AS BIGINT)) AS BIGINT) AS value FROM sector_trips GROUP BY 1, 2')
 def translate_matrix_typed(spark, d):
     """The same sums as whole numbers of sixteenths."""
@@ -118,8 +125,8 @@ def _cells(spark, d):
     return report.with_costs(trips(spark, d), costs(spark, d))
 
 
-def _rounded(df, *columns):
-    return df.withColumns({c: F.round(c, 9) for c in columns})
+def _rounded(df, *columns, digits=9):
+    return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
 @query(f"SELECT bin, min, max, avg, trips FROM ({DIST})")
@@ -263,14 +270,44 @@ def abs_difference(spark, d):
     return report.abs_difference(_by_flag(spark, d, "A"), _by_flag(spark, d, "R"), to_regions(spark, d))
 
 
+@query(MARGINS.format("""(SELECT s.origin, s.destination, coalesce(sum(abs(coalesce(a, 0) - coalesce(b, 0)) * x.factors * y.factors), 0) AS value FROM spine s LEFT JOIN
+(SELECT origin, destination, a.value AS a, b.value AS b FROM (SELECT * FROM trips WHERE (origin + destination) % 3 > 0) a FULL JOIN (SELECT * FROM trips WHERE (origin * destination) % 2 = 0) b USING (origin, destination)) p
+JOIN regions x ON p.origin = x."from" JOIN regions y ON p.destination = y."from" ON s.origin = x."to" AND s.destination = y."to" GROUP BY 1, 2)"""))
+def abs_difference_sparse(spark, d):
+    """Absolute differences of two matrices that lack different cells, each of which is 0 there."""
+    all_ = trips(spark, d)
+    a, b = all_.filter("(origin + destination) % 3 > 0"), all_.filter("(origin * destination) % 2 = 0")
+    return report.abs_difference(a, b, to_regions(spark, d))
+
+
+def _compared(spark, d):
+    a, b = (report.MatrixReport(_by_flag(spark, d, f), to_regions(spark, d)) for f in "AR")
+    return a.compare(b)
+
+
+@query(f"SELECT statistic, x.value AS a, y.value AS b FROM ({DESCRIBE.format(BY_FLAG.format('A'))}) x JOIN ({DESCRIBE.format(BY_FLAG.format('R'))}) y USING (statistic)")
+def report_stats(spark, d):
+    """Statistics of two matrices side by side."""
+    return _rounded(_compared(spark, d)["stats"], "a", "b", digits=6)
+
+
+SECTORS_OF = """(SELECT s.origin, s.destination, coalesce(sum({1} * x.factors * y.factors), 0) AS value FROM spine s LEFT JOIN ({0} p
+JOIN regions x ON p.origin = x."from" JOIN regions y ON p.destination = y."from") ON s.origin = x."to" AND s.destination = y."to" GROUP BY 1, 2)"""
+
+
+@query(f"SELECT origin, destination, round(d.value / nullif(m.value, 0), 9) AS value FROM ({MARGINS.format(SECTORS_OF.format(PAIRED, 'abs(a - b)'))}) d JOIN ({MARGINS.format(SECTORS_OF.format(BY_FLAG.format('A'), 'value'))}) m USING (origin, destination)")
+def abs_percentage(spark, d):
+    """Absolute differences of cells, by sectors, over the first matrix by sectors."""
+    return _rounded(_compared(spark, d)["abs percentage"], "value")
+
+
 # Reshaping
 
-BRANDS = "(SELECT p_brand, p_size, sum(CAST(p_partkey % 7 AS DOUBLE)) AS value FROM part WHERE p_size <= 20 GROUP BY 1, 2)"
+BRANDS = "(SELECT p_brand, p_size, sum(CAST(p_partkey % 7 AS DOUBLE)) AS value FROM part GROUP BY 1, 2)"
 
 
 def _brands(spark, d):
-    parts = table(spark, d, "part").filter("p_size <= 20")
-    return parts.groupBy("p_brand", "p_size").agg(F.sum((F.col("p_partkey") % 7).cast("double")).alias("value"))
+    return table(spark, d, "part").groupBy("p_brand", "p_size").agg(F.sum((F.col("p_partkey") % 7).cast("double")).alias("value"))
 
 
 @query(f"SELECT a.p_brand, b.p_size, coalesce(value, -1) AS value FROM (SELECT DISTINCT p_brand FROM {BRANDS}) a CROSS JOIN (SELECT DISTINCT p_size FROM {BRANDS}) b LEFT JOIN {BRANDS} c ON c.p_brand = a.p_brand AND c.p_size = b.p_size", False)
@@ -279,16 +316,18 @@ def product_infill(spark, d):
     return reshape.product_infill(_brands(spark, d), ["p_brand", "p_size"], -1)
 
 
-WIDE = ", ".join(f'coalesce(sum(value) FILTER (p_size = {s}), 0) AS "{s}"' for s in (1, 2, 3, 5, 8))
+SIZES = list(range(1, 51))
+WIDE = ", ".join(f'coalesce(sum(value) FILTER (p_size = {s}), 0) AS "{s}"' for s in SIZES)
+NAMES, CELLS = (", ".join(f"{q}{s}{q}" for s in SIZES) for q in ("'", '"'))
 
 
 @query(f"SELECT p_brand, {WIDE} FROM {BRANDS} GROUP BY 1", False)
 def long_to_wide(spark, d):
     """Sizes as columns."""
-    return reshape.long_to_wide(_brands(spark, d), "p_brand", "p_size", "value", [1, 2, 3, 5, 8])
+    return reshape.long_to_wide(_brands(spark, d), "p_brand", "p_size", "value", SIZES)
 
 
-@query(f"SELECT p_brand, unnest(['1', '2', '3', '5', '8']) AS p_size, unnest([\"1\", \"2\", \"3\", \"5\", \"8\"]) AS value FROM (SELECT p_brand, {WIDE} FROM {BRANDS} GROUP BY 1)", False)
+@query(f"SELECT p_brand, unnest([{NAMES}]) AS p_size, unnest([{CELLS}]) AS value FROM (SELECT p_brand, {WIDE} FROM {BRANDS} GROUP BY 1)", False)
 def wide_to_long(spark, d):
     """Columns as rows."""
     return reshape.wide_to_long(long_to_wide(spark, d), "p_brand", "p_size", "value")
@@ -303,7 +342,7 @@ def nd_coordinates(spark, d):
 @query("SELECT vec_id, CAST(i - 1 AS INTEGER) AS i, embedding[i] AS value FROM embeddings, generate_series(1, 512) g(i) WHERE i <= len(embedding) AND embedding[i] <> 0", False)
 def array_to_rows(spark, d):
     """Vectors as coordinates, zeros left out."""
-    return table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "value")).filter("value <> 0")
+    return reshape.explode_array(table(spark, d, "embeddings"), ["vec_id"], "embedding", ["i"], drop_zeros=True)
 
 
 @query(f"SELECT n_rows, cells, n_rows / cells AS utilisation, n_rows / cells < 1.0 / 3 AS feasible FROM (SELECT count(*) AS n_rows, CAST(count(DISTINCT p_brand) AS DOUBLE) * count(DISTINCT p_size) AS cells FROM {BRANDS})", False)

@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from odweave.functions.scalars import normalised_name
 from odweave.operators.correspondence import Correspondence
@@ -106,8 +107,9 @@ def write_csv(df: DataFrame, path: str, attempts: int = 5, wait: float = 1.0) ->
         try:
             df.write.mode("overwrite").option("header", True).csv(path)
             return
-        except PermissionError:
-            if n + 1 == attempts:
+        except Exception as e:
+            # the JVM's refusals come as errors of Spark
+            if n + 1 == attempts or "permission denied" not in str(e).lower() and not isinstance(e, PermissionError):
                 raise
             warnings.warn(f"{path} can't be written yet", stacklevel=2)
             time.sleep(wait)
@@ -117,7 +119,7 @@ def translate_vector_file(spark: SparkSession, vector: str, correspondence: str,
     """A CSV vector's numeric columns, translated into another CSV."""
     raw, lookup = read_csv(spark, vector), read_correspondence(spark, correspondence, **columns)
     zone = raw.columns[zone] if isinstance(zone, int) else zone
-    values = [c for c, kind in raw.dtypes if c != zone and kind in ("int", "bigint", "double", "float")]
+    values = [f.name for f in raw.schema if f.name != zone and isinstance(f.dataType, NumericType)]
     if not values:
         warnings.warn("the vector has no columns of numbers", stacklevel=2)
         return

@@ -162,3 +162,39 @@ def test_generators(spark):
     with warnings.catch_warnings():
         warnings.simplefilter("error")
         assert generate.unique_ids(spark, "id", 3, 5).agg(F.min("id"), F.max("id")).first() == (5, 7)
+
+
+def test_report_from_files_and_comparison(spark, tmp_path):
+    cells = {("1", "1"): 4, ("1", "2"): 6, ("2", "1"): 1, ("3", "3"): 9}
+    (tmp_path / "m.csv").write_text("origin,destination,value\n" + "\n".join(f"{o},{d},{v}" for (o, d), v in cells.items()))
+    (tmp_path / "other.csv").write_text("origin,destination,value\n1,1,1\n2,2,5\n3,3,9\n")
+    (tmp_path / "c.csv").write_text("from,to,factors\n1,10,1\n2,10,1\n3,20,1\n")
+    a, b = (report.MatrixReport.from_file(spark, str(tmp_path / n), str(tmp_path / "c.csv")) for n in ("m.csv", "other.csv"))
+    out = a.compare(b)
+    stats = {r.statistic: (r.a, r.b) for r in out["stats"].collect()}
+    assert stats["sum"] == (20, 15) and stats["max"] == (9, 9)
+    gap = {(r.origin, r.destination): r.value for r in out["abs difference"].collect()}
+    assert (gap["10", "10"], gap["20", "20"], gap["sum", "sum"]) == (3 + 6 + 1 + 5, 0, 15)
+    share = {(r.origin, r.destination): r.value for r in out["abs percentage"].collect()}
+    assert share["10", "10"] == 15 / 11 and share["10", "20"] is None and share["sum", "sum"] == 15 / 20
+    paths = report.write_frames(a.frames(), str(tmp_path / "report"), "one")
+    assert {r.origin for r in spark.read.parquet(paths[-1]).collect()} == {"10", "20", "sum"}
+
+
+def test_chunks_numbers_and_items(spark):
+    df = spark.range(25).withColumn("x", F.col("id") % 7)
+    got = [sorted(r.id for r in c.collect()) for c in frames.chunks(df, 10, "x", ["id"])]
+    want = sorted(range(25), key=lambda i: (i % 7, i))
+    assert got == [sorted(want[:10]), sorted(want[10:20]), sorted(want[20:])]
+    scalars.require_numbers(df, ["id", "x"])
+    with pytest.raises(ValueError, match="name"):
+        scalars.require_numbers(df.withColumn("name", F.lit("a")), ["id", "name"])
+    one = spark.createDataFrame([([1, 2, 3, 2],)], "items array<int>")
+    assert one.select(sets.without_items(F.col("items"), [2, 9])).first()[0] == [1, 3]
+    with pytest.raises(Exception, match="isn't in the array"):
+        one.select(sets.without_items(F.col("items"), [9], strict=True)).collect()
+    cube = np.arange(8).reshape(2, 2, 2)
+    rows = reshape.from_array(spark, cube, {"a": ["x", "y"], "b": [1, 2], "c": [5, 6]}, drop_zeros=True).collect()
+    assert {(r.a, r.b, r.c): r.value for r in rows} == {("xy"[i], j + 1, k + 5): 4 * i + 2 * j + k for i in range(2) for j in range(2) for k in range(2) if i + j + k}
+    nested = spark.createDataFrame([(1, [[0, 3], [4]])], "id int, m array<array<int>>")
+    assert sorted(map(tuple, reshape.explode_array(nested, ["id"], "m", ["i", "j"], drop_zeros=True).collect())) == [(1, 0, 1, 3), (1, 1, 0, 4)]
