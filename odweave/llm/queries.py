@@ -131,6 +131,56 @@ FROM pages p LEFT JOIN joined j USING (page)
 """
 
 
+#: Components by reaching along links, for a table of nodes (id) and one of links (a, b), both ways.
+REACH = """reach(id, other) AS (SELECT id, id FROM nodes UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.other = l.a),
+parts AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)"""
+
+OP5_SQL = f"""
+WITH RECURSIVE good AS (
+  SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+links AS (
+  SELECT a.id AS a, b.id AS b FROM good a JOIN good b ON a.id <> b.id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= {_vectors.LEAST}
+),
+nodes AS (SELECT id FROM good),
+{REACH}
+SELECT vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links, coalesce(component_id, vec_id) AS component_id,
+       coalesce(component_id, vec_id) = vec_id AS kept
+FROM embeddings e LEFT JOIN parts ON parts.id = e.vec_id
+"""
+
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+OP9_SQL = f"""
+WITH RECURSIVE split AS (
+  SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), '{LETTERS}', '{LETTERS.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+),
+sets AS (
+  SELECT id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM split
+),
+each AS (SELECT id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS (
+  SELECT x.id AS a, y.id AS b FROM each x JOIN each y ON x.g = y.g AND x.id <> y.id GROUP BY x.id, y.id, x.n, y.n
+  HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))
+),
+nodes AS (SELECT id FROM sets),
+{REACH}
+SELECT id AS doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM sets JOIN parts USING (id)
+"""
+
+OP10_SQL = """
+WITH bodies AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+),
+roles AS (SELECT *, max(page_id) OVER (PARTITION BY hex, payload_bytes) AS main FROM bodies)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         ((CAST('0x' || substr(hex, 5 * (i // 4) + 1, 5) AS INTEGER) >> (15 - 5 * (i % 4))) & 31) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = main THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> main THEN main END AS refers_to
+FROM roles
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this subpackage."""
     return {"op1_line_dedup": op1_line_dedup, "op2_mpeg_audio": op2_mpeg_audio, "op3_suffix_array_dedup": op3_suffix_array_dedup, "op4_byte_bpe": op4_byte_bpe, "op5_embedding_dedup": op5_embedding_dedup, "op6_packing": op6_packing, "op7_toxicity": op7_toxicity, "op8_token_counts": op8_token_counts, "op9_jaccard_join": op9_jaccard_join, "op10_warc": op10_warc}
@@ -138,4 +188,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that it can express."""
-    return {"op1_line_dedup": OP1_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op5_embedding_dedup": OP5_SQL, "op9_jaccard_join": OP9_SQL, "op10_warc": OP10_SQL}
