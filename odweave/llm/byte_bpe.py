@@ -28,14 +28,20 @@ from pyspark.sql import functions as F
 
 from odweave.llm.bpe import byte_bpe
 
-#: Characters of texts in a block.
+#: Characters of texts in a block, and bytes of texts for each bucket that words are dealt to.
 BLOCK = 5_000_000
-#: Least number of buckets that words are dealt to; it grows with the session's shuffle partitions.
-BUCKETS = 64
+BUCKET = 16_000_000
+#: Tasks of a stage over buckets at most; with more buckets, a task takes several.
+TASKS = 20_000
 
 PACKED = "block long, bucket int, crc long, data binary"
 
 
+def _id_type(ranks: dict[bytes, int]) -> str:
+    """The type in which ids travel: 16 bits where they hold the vocabulary's."""
+    return "<u2" if max(ranks.values(), default=0) < 1 << 16 else "<u4"
+
+
 def _squeeze(*parts: bytes) -> bytes:
     return zstandard.compress(b"".join(parts), 3)
 
@@ -101,22 +107,22 @@ def explode_words(docs: DataFrame, raw: bytes, pattern: str, id_col: str, text_c
     return _blocks(docs, make, id_col, text_col)
 
 
-def encode_words(words: DataFrame, raw: bytes, pattern: str) -> DataFrame:
+def encode_words(words: DataFrame, raw: bytes, pattern: str, buckets: int) -> DataFrame:
     """words with the ids of each word in its place; a bucket's task encodes each of its words once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, done = byte_bpe(raw, pattern).encode_piece, {}
+        encode, done, kind = byte_bpe(raw, pattern).encode_piece, {}, _id_type(byte_bpe(raw, pattern).ranks)
         for b in batches:
             out = []
             for data in b.column("data").to_pylist():
                 own = _unlist(data)
                 for w in own:
                     if w not in done:
-                        done[w] = np.array(encode(w), "<u2").tobytes()
+                        done[w] = np.array(encode(w), kind).tobytes()
                 out.append(_list([done[w] for w in own]))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.binary())], names=b.schema.names)
 
-    return words.repartition("bucket").mapInArrow(run, PACKED)
+    return words.repartition(min(buckets, TASKS), "bucket").mapInArrow(run, PACKED)
 
 
 def gather(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -132,7 +138,8 @@ def _texts(block: int, crc: int, ids: list, texts: list[bytes]) -> list[tuple]:
 
 def encode(docs: DataFrame, raw: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_tokens, ids) of every text; ids are little-endian unsigned 32-bit integers."""
-    buckets = max(BUCKETS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET)
 
     def assemble(head: pa.Table, body: pa.Table) -> pa.Table:
         body = body.sort_by("bucket")
@@ -143,10 +150,11 @@ def encode(docs: DataFrame, raw: bytes, pattern: str, id_col: str = "doc_id", te
         made = [x for data in body["data"].to_pylist() for x in _unlist(data)]
         size = np.empty(len(words), np.int64)
         order = np.argsort(bucket, kind="stable")
-        lengths = np.fromiter(map(len, made), np.int64, len(made)) // 2
+        kind = _id_type(byte_bpe(raw, pattern).ranks)
+        lengths = np.fromiter(map(len, made), np.int64, len(made)) // np.dtype(kind).itemsize
         start = np.empty(len(words), np.int64)
         start[order], size[order] = np.cumsum(lengths) - lengths, lengths
-        flat, index = np.frombuffer(b"".join(made), "<u2"), {w.decode(): i for i, w in enumerate(words)}
+        flat, index = np.frombuffer(b"".join(made), kind), {w.decode(): i for i, w in enumerate(words)}
         out, counts = [], []
         for own in tokens:
             code = np.fromiter(map(index.__getitem__, own), np.int64, len(own))
@@ -161,7 +169,7 @@ def encode(docs: DataFrame, raw: bytes, pattern: str, id_col: str = "doc_id", te
             }
         )
 
-    ids = encode_words(explode_words(docs, raw, pattern, id_col, text_col, buckets), raw, pattern)
+    ids = encode_words(explode_words(docs, raw, pattern, id_col, text_col, buckets), raw, pattern, buckets)
     blocks = _blocks(docs, _texts, id_col, text_col).groupBy("block").cogroup(ids.groupBy("block"))
     return blocks.applyInArrow(assemble, "id long, n_tokens long, ids binary").withColumnRenamed("id", id_col)
 

@@ -5,7 +5,7 @@ pages of the host. Lines above ``max_ratio`` are boilerplate and leave every pag
 
 Defined results: a null host is a host of its own; a null text stays null and counts as a page; blank
 lines are never boilerplate; a line that a page repeats counts once for it; repeated rows are pages of
-their own; ids may be null or repeat; other columns pass through; an empty table gives an empty table.
+their own; ids may be null or repeat; other columns pass through, those named n_lines or n_dropped are replaced; an empty table gives an empty table.
 A page whose lines all go keeps an empty text.
 """
 
@@ -72,7 +72,6 @@ def line_dedup(
     A line goes when more than max_ratio of its host's pages, and at least min_pages of them, hold it.
     Texts are shuffled once, at the end; up to there only digests of lines are.
     """
-    own = set(pages.columns)
     bad = _salted(boilerplate(pages, host_col, text_col, max_ratio, min_pages))
     each = (
         pages.select(
@@ -113,4 +112,4 @@ def line_dedup(
             F.when(F.col("_drop").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col(text_col)),
         )
     )
-    return out.select(*[c for c in pages.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped") if own else out
+    return out.select(*[c for c in pages.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")

@@ -1,5 +1,6 @@
 """Byte-level BPE and packing against the libraries themselves."""
 
+import base64
 import hashlib
 import zlib
 
@@ -108,3 +109,11 @@ def test_queries_have_the_contract_columns(spark):
         ids = np.array(own.encode_ordinary(texts[r.doc_id]), "<u4").tobytes()
         assert r.ids_sha256 == hashlib.sha256(ids).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_byte_bpe_ids_of_32_bits(documents):
+    ranks = b"\n".join(base64.b64encode(bytes([b])) + b" " + str(b * 300).encode() for b in range(256))
+    docs = written(documents([(1, "abc é"), (2, None)]), "docs")
+    out = byte_bpe.decode(byte_bpe.encode(docs, ranks, PATTERN), ranks, PATTERN).collect()
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in out} == {1: [b * 300 for b in "abc é".encode()], 2: []}
+    assert {r.doc_id: bytes(r.decoded) for r in out} == {1: "abc é".encode(), 2: b""}

@@ -4,6 +4,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from odweave.llm import token_counts
 from odweave.llm.bpe import vocabulary
 from odweave.llm.token_counts import documents_counted
 
@@ -19,3 +20,10 @@ def test_counts(documents, block):
     want = [(i, len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in rows]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert documents_counted(documents([]), vocabulary(path)).count() == 0
+
+
+def test_ids_of_32_bits(documents):
+    raw = vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+    assert token_counts.id_type(raw, 49407) == "<u2" and token_counts.id_type(raw, 70_000) == "<u4"
+    got = documents_counted(documents([(1, "a few plain words"), (2, "")]), raw, separator=70_000, block=64).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == {1: 4, 2: 0}
