@@ -424,13 +424,15 @@ def grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     active = written(active.join(of, "class", "left").select("set_key", "n", "class", F.coalesce("p", "class").alias("p")), "active")
     if active.limit(1).count():
         mine = shared.select("shingle", "set_key", "n", "place").join(active, ["set_key", "n"]).select("shingle", "n", "class", "p", "place")
+        mine = written(mine, "mine")
         full = shared.select("shingle", "set_key", "n", "place").join(mine.select("shingle").distinct(), "shingle", "left_semi")
         full = full.join(name, ["set_key", "n"]).join(of, "class", "left").select(
             "shingle", F.col("n").alias("m"), F.col("class").alias("other"), F.coalesce("p", "class").alias("q"), F.col("place").alias("there")
         )
+        full = written(full, "full")
         # a list of one component makes no pair, however long it is
         several = full.groupBy("shingle").agg(F.min("q").alias("low"), F.max("q").alias("high")).filter("low <> high").select("shingle")
-        full, mine = (x.join(several, "shingle", "left_semi") for x in (full, mine))
+        full = full.join(several, "shingle", "left_semi")
         # sets of n and m that link share t shingles, and so share k of those that stand before n - t + k and m - t + k
         k, t = F.expr("greatest(1, least(n, m) div 60)"), F.expr("(3 * (n + m) + 6) div 7")
         sent_n, sent_m = (F.expr(f"{x} - (3 * {x} + 3) div 4 + greatest(1, {x} div 10)") for x in ("n", "m"))
