@@ -66,13 +66,23 @@ def to_numeric(df: DataFrame, column: str, errors: str = "raise", kind: str = "d
 
 
 def duration(ms: Column) -> Column:
-    """Milliseconds as hours, minutes and seconds."""
-    s = ms / 1000
+    """Milliseconds as hours, minutes and seconds; negative ones raise."""
+    s = F.when(ms < 0, F.raise_error(F.lit("a duration is not negative")).cast("double")).otherwise(ms / 1000)
     h, m = F.floor(s / 3600), F.floor(s % 3600 / 60)
     text = F.format_string("%.2fs", s % 60)
     return F.when(h > 0, F.format_string("%dhrs %dm %.2fs", h, m, s % 60)).when(m > 0, F.format_string("%dm %.2fs", m, s % 60)).otherwise(text)
 
 
+def clock(format: str = "yyyy-MM-dd HH:mm:ss", at: Column | None = None) -> Column:
+    """A time, by default when the query began, as text."""
+    return F.date_format(F.current_timestamp() if at is None else at, format)
+
+
+def milliseconds(at: Column | None = None) -> Column:
+    """A time, by default when the query began, as milliseconds since 1970."""
+    return F.unix_millis(F.current_timestamp() if at is None else at)
+
+
 def rmse(pairs: DataFrame, target: str, achieved: str) -> DataFrame:
     """(rmse) over all rows."""
     return pairs.agg(F.sqrt(F.avg(F.pow(F.col(target).cast("double") - F.col(achieved).cast("double"), 2))).alias("rmse"))

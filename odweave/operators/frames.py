@@ -70,18 +70,29 @@ def join_strings(columns: Sequence[str], separator: str = "_") -> Column:
 def numbered(df: DataFrame, key: str, ties: Sequence[str] = (), name: str = "row") -> DataFrame:
     """df with each row's place, from 0, in the order of a numeric key and then of ties; nulls come first.
 
-    Rows are numbered range by range. Bounds of ranges come from the key's quantiles, and a table of RANGES
-    counts gives each range's first number. A range holds all rows of a key value: take a key of many values.
+    Rows are numbered range by range. Bounds of ranges come from the key's quantiles. A key value that is several
+    quantiles has a range of its own, as nulls have, and such ranges are cut by the quantiles of the first of ties if
+    that is a number; otherwise their rows share a task. The tables of bounds and counts, of at most RANGES squared
+    entries, are broadcast.
     """
-    k = F.col(key)
-    bounds = df.agg(F.percentile_approx(k, [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0] or []
-    bounds = F.array(*[F.lit(b) for b in sorted(set(bounds))]) if bounds else F.array().cast("array<double>")
-    at = F.when(k.isNull(), -1).otherwise(F.size(F.filter(bounds, lambda b: b < k)))
-    ranged = df.withColumn("_range", at)
-    count = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    first = count.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_first"))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(k.asc_nulls_first(), *ties)) - 1
-    return ranged.withColumn("_place", place).join(first, "_range").withColumn(name, F.col("_first") + F.col("_place")).select(*df.columns, name)
+    k, shares = F.col(key), [i / RANGES for i in range(1, RANGES)]
+    got = df.agg(F.percentile_approx(k, shares, 10_000), F.count_if(k.isNull())).first()
+    found = got[0] or []
+    heavy = sorted({a for a, b in zip(found, found[1:], strict=False) if a == b})
+    bounds = F.array(*[F.lit(b) for b in sorted(set(found))]) if found else F.array().cast("array<double>")
+    at = F.when(k.isNull(), -1).otherwise(2 * F.size(F.filter(bounds, lambda b: b < k)) + F.coalesce(k.isin(heavy), F.lit(False)).cast("int"))
+    ranged = df.withColumns({"_range": at, "_part": F.lit(0)})
+    if (heavy or got[1]) and ties and isinstance(df.schema[ties[0]].dataType, NumericType):
+        t = F.col(ties[0])
+        cuts = ranged.filter("pmod(_range, 2) = 1").groupBy("_range").agg(F.percentile_approx(t, shares, 10_000).alias("_cuts"))
+        part = F.when(F.col("_cuts").isNull(), 0).when(t.isNull(), -1).otherwise(F.size(F.filter("_cuts", lambda b: b < t)))
+        ranged = ranged.join(F.broadcast(cuts), "_range", "left").withColumn("_part", part)
+    of = ["_range", "_part"]
+    count = ranged.groupBy(*of).agg(F.count("*").alias("_n"))
+    first = count.select(*of, (F.sum("_n").over(Window.orderBy(*of)) - F.col("_n")).alias("_first"))
+    place = F.row_number().over(Window.partitionBy(*of).orderBy(k.asc_nulls_first(), *ties)) - 1
+    numbers = ranged.withColumn("_place", place).join(F.broadcast(first), of)
+    return numbers.withColumn(name, F.col("_first") + F.col("_place")).select(*df.columns, name)
 
 
 def chunked(df: DataFrame, size: int, key: str, ties: Sequence[str] = ()) -> DataFrame:

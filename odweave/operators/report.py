@@ -19,11 +19,13 @@ QUANTILES = {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
 SHEET, PREFIX = 31, 19
 
 
-def describe(matrix: DataFrame, value: str = "value", almost_zero: float | None = None) -> DataFrame:
+def describe(matrix: DataFrame, value: str = "value", almost_zero: float | None = None, accuracy: int | None = None) -> DataFrame:
     """(statistic, value) of a long matrix, from one aggregate.
 
     Missing cells count only as such, whether they have no row, or null or NaN. almost_zero is the value under which
-    a cell is almost zero, by default one over the matrix's size; zeros and negatives are under it.
+    a cell is almost zero, by default one over the matrix's size; zeros and negatives are under it. Exact percentiles
+    hold all distinct values in one task; accuracy, for matrices with too many, takes values of the matrix instead whose
+    ranks are off by one in accuracy at most.
     """
     v = clean(F.col(value).cast("double"))
     size = F.count_distinct("origin") * F.count_distinct("destination")
@@ -34,12 +36,13 @@ def describe(matrix: DataFrame, value: str = "value", almost_zero: float | None
         sized = sized.join(limit)
     else:
         sized = sized.withColumn("_limit", F.lit(float(almost_zero)))
+    shares = F.array(*[F.lit(q) for q in QUANTILES.values()])
     row = sized.agg(
         F.count("_v").cast("double").alias("count"),
         F.avg("_v").alias("mean"),
         F.stddev_samp("_v").alias("std"),
         F.min("_v").alias("min"),
-        F.percentile("_v", F.array(*[F.lit(q) for q in QUANTILES.values()])).alias("_p"),
+        (F.percentile("_v", shares) if accuracy is None else F.percentile_approx("_v", shares, accuracy)).alias("_p"),
         F.max("_v").alias("max"),
         F.count_distinct("destination").cast("double").alias("columns"),
         F.count_distinct("origin").cast("double").alias("rows"),
@@ -137,12 +140,14 @@ class MatrixReport:
     matrix: DataFrame
     lookup: Correspondence
     value: str = "value"
+    #: Whether to warn of zones that the translation leaves out, and of a changed total, which runs jobs.
+    check: bool = False
     #: What vehicle_kms and length_distribution have been asked for last.
     vkms: DataFrame | None = field(default=None, init=False)
     distribution: DataFrame | None = field(default=None, init=False)
 
     def __post_init__(self):
-        self.translated = translate_matrix(self.matrix, self.lookup, value=self.value)
+        self.translated = translate_matrix(self.matrix, self.lookup, value=self.value, check=self.check)
 
     @classmethod
     def from_file(cls, spark: SparkSession, matrix: str, correspondence: str, **columns) -> MatrixReport:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from odweave.operators.translate import clean
+from odweave.operators.translate import clean, totals
 
 #: Most cells of an array that is brought to the driver.
 DENSE_CELLS = 50_000_000
@@ -51,11 +51,13 @@ def product_infill(
 
 
 def long_to_wide(
-    data: DataFrame, row: str, column: str, value: str, columns: Sequence | None = None, infill=0, check: bool = False
+    data: DataFrame, row: str, column: str, value: str, columns: Sequence | None = None, infill=0, check: bool = False, rows: Sequence | None = None, check_total: bool = False
 ) -> DataFrame:
     """A row for each value of row and a column for each value of column; combinations without a row get infill.
 
-    Without the list of columns one pass over the data finds it. check raises ValueError for repeated cells.
+    Without the list of columns one pass over the data finds it. check raises ValueError for repeated cells. With both
+    rows and columns given the result has just these, and cells that are null get infill too. check_total warns
+    of a total that isn't the data's.
     """
     if columns is None:
         columns = sorted(r[0] for r in data.select(column).distinct().collect() if r[0] is not None)
@@ -64,12 +66,26 @@ def long_to_wide(
     wide = data.groupBy(row).pivot(column, list(columns)).agg(F.first(F.struct(F.col(value).alias("v"))))
     # a cell that has a row keeps its null
     filled = [F.when(F.col(f"`{c}`").isNull(), F.lit(infill)).otherwise(F.col(f"`{c}`.v")).alias(str(c)) for c in columns]
-    return wide.select(row, *filled)
-
-
-def wide_to_long(wide: DataFrame, row: str, column: str = "destination", value: str = "val") -> DataFrame:
-    """A row for each cell; nulls stay."""
-    return wide.unpivot([row], [c for c in wide.columns if c != row], column, value)
+    if rows is not None:
+        spine = full_index(data.sparkSession, {row: rows}).select(F.col(row).cast(data.schema[row].dataType).alias(row))
+        wide = spine.join(wide, row, "left")
+        filled = [F.coalesce(clean(F.col(f"`{c}`.v")), F.lit(infill)).alias(str(c)) for c in columns]
+    out = wide.select(row, *filled)
+    if check_total:
+        was = totals(data, wide_to_long(out, row, "_column", value), value).first()
+        if not was.equal:
+            warnings.warn(f"the total was {was.before} and is {was.after} in the wide form", stacklevel=2)
+    return out
+
+
+def wide_to_long(
+    wide: DataFrame, row: str, column: str = "destination", value: str = "val", rows: Sequence | None = None, columns: Sequence | None = None, infill=None
+) -> DataFrame:
+    """A row for each cell; nulls stay. With both rows and columns given there are just their cells, and nulls get infill."""
+    long = wide.unpivot([row], [c for c in wide.columns if c != row], column, value)
+    if rows is None or columns is None:
+        return long
+    return product_infill(long, [row, column], infill, {row: rows, column: [str(c) for c in columns]})
 
 
 def transpose(matrix: DataFrame, origin: str = "origin", destination: str = "destination") -> DataFrame:
@@ -85,9 +101,14 @@ def positions(data: DataFrame, key: str) -> DataFrame:
 
 
 def to_coordinates(
-    data: DataFrame, keys: Sequence[str], value: str, maps: Mapping[str, Sequence] | None = None, drop: float | None = None
+    data: DataFrame, keys: Sequence[str], value: str, maps: Mapping[str, Sequence] | None = None, drop: float | None = None, strict: bool = False
 ) -> DataFrame:
-    """(i0, i1, ..., value): cells by the positions of their keys, in given lists or in order; drop leaves a value out."""
+    """(i0, i1, ..., value): cells by the positions of their keys, in given lists or in order; drop leaves a value out.
+
+    Cells with a null key are left out; strict raises ValueError for them.
+    """
+    if strict and not data.filter(" OR ".join(f"`{k}` IS NULL" for k in keys)).isEmpty():
+        raise ValueError(f"some cells have no {' or '.join(keys)}")
     out = data if drop is None else data.filter(F.col(value) != drop)
     for n, k in enumerate(keys):
         if maps and k in maps:
@@ -119,6 +140,18 @@ def to_array(data: DataFrame, keys: Sequence[str], value: str, maps: Mapping[str
     return out, maps
 
 
+def array_or_coordinates(
+    data: DataFrame, keys: Sequence[str], value: str, sparse: str = "disallow", maps: Mapping[str, Sequence] | None = None, fill: float = np.nan
+) -> tuple[np.ndarray, dict] | DataFrame:
+    """to_array's result, or to_coordinates' if sparse forces it, finds it feasible, or allows it for want of room."""
+    if sparse not in ("disallow", "allow", "feasible", "force"):
+        raise ValueError("sparse is disallow, allow, feasible or force")
+    told = sparse_feasible(data, keys).first() if sparse in ("allow", "feasible") else None
+    if sparse == "force" or sparse == "feasible" and told.feasible or sparse == "allow" and told.cells > DENSE_CELLS:
+        return to_coordinates(data, keys, value, maps, strict=True)
+    return to_array(data, keys, value, maps, fill)
+
+
 def explode_array(data: DataFrame, keys: Sequence[str], column: str, names: Sequence[str], value: str = "value", drop_zeros: bool = False) -> DataFrame:
     """A row for each cell of a column of arrays, nested once for each of names, with keys and the cell's places."""
     out = data.select(*keys, F.col(column).alias(value))

@@ -9,7 +9,8 @@ Missing values count as 0, null zones are left out, repeated keys add up.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import warnings
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,11 +58,12 @@ def translate_vector(
     values: Sequence[str],
     segments: Sequence[str] = (),
     dtype: str | None = None,
+    check: bool = False,
 ) -> DataFrame:
     """Sums of value times factor by target zone, and by segments if there are any.
 
     Without segments every target zone of the lookup has a row, 0 where nothing arrives; with segments only
-    what arrives has one. dtype is the type that values and factors are cast to first.
+    what arrives has one. dtype is the type that values and factors are cast to first. check warns of losses.
     """
     cast = (lambda c: c.cast(dtype)) if dtype else (lambda c: c)
     data, pairs = _keyed(vector, zone, lookup)
@@ -75,7 +77,10 @@ def translate_vector(
     if not segments:
         out = lookup.targets("_to").join(out, "_to", "left").select("_to", *[F.coalesce(v, F.lit(0)).alias(v) for v in values])
     out = out.withColumnRenamed("_to", lookup.target)
-    return out.select(lookup.target, *segments, *[cast(F.col(v)).alias(v) for v in values])
+    out = out.select(lookup.target, *segments, *[cast(F.col(v)).alias(v) for v in values])
+    for v in values if check else ():
+        warn_of_losses(vector, out, {zone: lookup}, v)
+    return out
 
 
 def translate_matrix(
@@ -88,11 +93,12 @@ def translate_matrix(
     out_names: tuple[str, str] | None = None,
     dtype: str | None = None,
     dense: bool = True,
+    check: bool = False,
 ) -> DataFrame:
     """A long matrix by the target zones of lookup (rows) and of columns (the same lookup by default).
 
     dense gives every pair of target zones a row, 0 where nothing arrives; that product is the result's own
-    size. dtype is the type that values and factors are cast to first.
+    size. dtype is the type that values and factors are cast to first. check warns of losses on either side.
     """
     columns = columns or lookup
     names = out_names or (origin, destination)
@@ -104,9 +110,12 @@ def translate_matrix(
     if dense:
         spine = lookup.targets("_row").crossJoin(columns.targets("_col"))
         both = spine.join(both, ["_row", "_col"], "left")
-    return both.select(
+    out = both.select(
         F.col("_row").alias(names[0]), F.col("_col").alias(names[1]), F.coalesce(value, F.lit(0)).alias(value)
     )
+    if check:
+        warn_of_losses(matrix, out, {origin: lookup, destination: columns}, value)
+    return out
 
 
 def dropped_zones(data: DataFrame, lookup: Correspondence, zone: str, value: str) -> DataFrame:
@@ -128,6 +137,17 @@ def totals(before: DataFrame, after: DataFrame, value: str, tolerance: float = T
     return a.join(b).withColumn("equal", close)
 
 
+def warn_of_losses(before: DataFrame, after: DataFrame, sides: Mapping[str, Correspondence], value: str) -> None:
+    """Warn of the zones of each side that lead nowhere, and of a total that isn't the same; a job for each."""
+    for zone, lookup in sides.items():
+        lost = dropped_zones(before, lookup, zone, value).first()
+        if lost.zones:
+            warnings.warn(f"{lost.zones} values of {zone} lead nowhere; {lost.value} of {value} is left out", stacklevel=3)
+    row = totals(before, after, value).first()
+    if not row.equal:
+        warnings.warn(f"the total of {value} was {row.before} and is {row.after} after translation", stacklevel=3)
+
+
 def require_totals(before: DataFrame, after: DataFrame, value: str, tolerance: float = TOLERANCE) -> DataFrame:
     """after, once its total is known to equal before's; ValueError otherwise."""
     row = totals(before, after, value, tolerance).first()

@@ -38,18 +38,23 @@ def read_csv(
     types: Mapping[str, str] | None = None,
     name: str | None = None,
     normalise: bool = False,
+    similar: bool = False,
 ) -> DataFrame:
     """A CSV file's columns, by name or place, in given types.
 
     normalise brings names to their plain form, in which columns and types are given then; two that become one
-    raise. A value that isn't of its type raises when it is read; bad_values tells which columns hold such.
+    raise. A value that isn't of its type raises when it is read; bad_values tells which columns hold such. similar
+    takes a local file of the same stem with another suffix if there is no such file.
     """
+    path = str(find_similar(path)) if similar else path
     raw = spark.read.option("header", True).option("inferSchema", types is None).csv(path)
     if normalise:
         names = [normalised_name(c) for c in raw.columns]
         if twice := sorted({n for n in names if names.count(n) > 1}):
             raise ValueError(f"columns that have the same plain name: {', '.join(twice)}")
         raw = raw.toDF(*names)
+    if normalise and (odd := [c for c in [*(columns or []), *(types or {})] if isinstance(c, str) and c != normalised_name(c)]):
+        raise ValueError(f"names that aren't in their plain form: {', '.join(odd)}")
     wanted = [raw.columns[c] if isinstance(c, int) else c for c in columns] if columns is not None else raw.columns
     if lacking := [c for c in [*wanted, *(types or {})] if c not in raw.columns]:
         raise MissingColumnsError(name or path, lacking)
@@ -64,11 +69,16 @@ def bad_values(spark: SparkSession, path: str, types: Mapping[str, str]) -> Data
     return row.unpivot([], list(types), "column", "n").filter("n > 0")
 
 
-def read_matrix(spark: SparkSession, path: str, form: str | None = None, header: bool = True) -> DataFrame:
+def read_matrix(spark: SparkSession, path: str, form: str | None = None, header: bool | None = None, similar: bool = False) -> DataFrame:
     """(origin, destination, value) from a CSV file, long (three columns) or square (more, the first of zones).
 
-    Ids become integers if all can; zones on one side only warn and get null cells.
+    Unless told, a square file has a header, and a long one has if its first line begins as one. Ids become integers
+    if all can; zones on one side only warn and get null cells. similar is as in read_csv.
     """
+    path = str(find_similar(path)) if similar else path
+    if header is None:
+        first = spark.read.text(path).first()
+        header = first is None or len(first[0].split(",")) != 3 or has_header(first[0])
     raw = spark.read.option("header", header).csv(path)
     form = form or ("long" if len(raw.columns) == 3 else "square" if len(raw.columns) > 3 else None)
     if form not in ("long", "square"):
@@ -88,9 +98,9 @@ def has_header(first_line: str) -> bool:
 
 
 def read_correspondence(
-    spark: SparkSession, path: str, source: str | int = 0, target: str | int = 1, factor: str | int | None = 2, generic: bool = False
+    spark: SparkSession, path: str, source: str | int = 0, target: str | int = 1, factor: str | int | None = 2, generic: bool = False, check: bool = False
 ) -> Correspondence:
-    """A correspondence from a CSV file; without a factor column every factor is 1."""
+    """A correspondence from a CSV file; without a factor column every factor is 1. check warns of factors over 1 or under 0."""
     raw = read_csv(spark, path)
     at = lambda c: raw.columns[c] if isinstance(c, int) else c
     names = [at(source), at(target), *([at(factor)] if factor is not None else [])]
@@ -98,6 +108,11 @@ def read_correspondence(
         raise MissingColumnsError(path, lacking)
     value = F.col(f"`{names[2]}`").cast("double") if factor is not None else F.lit(1.0)
     table = raw.select(F.col(f"`{names[0]}`"), F.col(f"`{names[1]}`"), value.alias("factors"))
+    if check:
+        wrong = table.agg(F.count_if(F.col("factors") > 1).alias("over"), F.count_if(F.col("factors") < 0).alias("under")).first()
+        for n, what in ((wrong.over, "over 1"), (wrong.under, "under 0")):
+            if n:
+                warnings.warn(f"{n} factors of {path} are {what}", stacklevel=2)
     return Correspondence(table.toDF("from", "to", "factors")) if generic else Correspondence(table, names[0], names[1], "factors")
 
 
@@ -131,6 +146,13 @@ def translate_matrix_file(spark: SparkSession, matrix: str, correspondence: str,
     write_csv(translate_matrix(read_matrix(spark, matrix), read_correspondence(spark, correspondence, **columns)), out)
 
 
+def require_file(path: str | Path) -> Path:
+    """The path of a local file; FileNotFoundError if there is none."""
+    if not (path := Path(path)).is_file():
+        raise FileNotFoundError(path)
+    return path
+
+
 def without_suffixes(path: str | Path) -> Path:
     """A path without any of its suffixes."""
     path = Path(path)

@@ -5,7 +5,10 @@ from __future__ import annotations
 import getpass
 import logging
 import platform
+import re
 import subprocess
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 from datetime import datetime
 from pathlib import Path
@@ -51,6 +54,53 @@ class System:
         return cls(getpass.getuser(), platform.node(), platform.python_version(), platform.platform(), platform.machine(), spark.version if spark else None)
 
 
+@dataclass(frozen=True)
+class PackageFilter:
+    """Lets only the records of some packages, and of the modules in them, through a handler."""
+
+    packages: tuple[str, ...]
+
+    def filter(self, record: logging.LogRecord) -> bool:
+        """Whether the record's logger is one of theirs."""
+        return any(re.match(rf"{re.escape(p)}(\.|$)", record.name) for p in self.packages)
+
+
+def handler(path: str | Path | None = None, level: int = logging.DEBUG, packages: tuple[str, ...] = ()) -> logging.Handler:
+    """A handler that writes to a file, or to the console without one, whatever the packages (or all) record."""
+    made = logging.FileHandler(path, encoding="utf-8") if path else logging.StreamHandler()
+    made.setLevel(level)
+    made.setFormatter(logging.Formatter(FORMAT))
+    if packages:
+        made.addFilter(PackageFilter(packages))
+    return made
+
+
+def get_logger(name: str, path: str | Path | None = None, console: bool = True, level: int = logging.DEBUG) -> logging.Logger:
+    """A logger with handlers of its own, which replace those that an earlier call gave it."""
+    logger = logging.getLogger(name)
+    for h in list(logger.handlers):
+        logger.removeHandler(h)
+        h.close()
+    logger.setLevel(level)
+    if console:
+        logger.addHandler(handler(level=logging.INFO))
+    if path:
+        logger.addHandler(handler(path, level))
+    return logger
+
+
+@contextmanager
+def temporary_log(logger: logging.Logger, path: str | Path, level: int = logging.DEBUG) -> Iterator[logging.Handler]:
+    """For the time of a block, what a logger records goes to one more file."""
+    extra = handler(path, level)
+    logger.addHandler(extra)
+    try:
+        yield extra
+    finally:
+        logger.removeHandler(extra)
+        extra.close()
+
+
 class RunLog:
     """A context in which a package's records and warnings go to the console and a file; errors are recorded."""
 
@@ -64,6 +114,12 @@ class RunLog:
         for h in self.handlers:
             h.setFormatter(logging.Formatter(FORMAT))
 
+    def add(self, extra: logging.Handler) -> None:
+        """One more handler, for the rest of the run."""
+        self.handlers.append(extra)
+        self.logger.addHandler(extra)
+        logging.getLogger("py.warnings").addHandler(extra)
+
     def __enter__(self) -> logging.Logger:
         self.level = self.logger.level
         self.logger.setLevel(logging.DEBUG)

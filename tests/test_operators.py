@@ -198,3 +198,59 @@ def test_chunks_numbers_and_items(spark):
     assert {(r.a, r.b, r.c): r.value for r in rows} == {("xy"[i], j + 1, k + 5): 4 * i + 2 * j + k for i in range(2) for j in range(2) for k in range(2) if i + j + k}
     nested = spark.createDataFrame([(1, [[0, 3], [4]])], "id int, m array<array<int>>")
     assert sorted(map(tuple, reshape.explode_array(nested, ["id"], "m", ["i", "j"], drop_zeros=True).collect())) == [(1, 0, 1, 3), (1, 1, 0, 4)]
+
+
+def test_numbers_of_hot_keys(spark):
+    rows = [(None if i % 10 == 0 else 7 if i % 3 else i, i * 37 % 1009) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k int, t int").withColumn("id", F.monotonically_increasing_id())
+    got = frames.numbered(df, "k", ["t", "id"]).collect()
+    want = sorted(got, key=lambda r: (r.k is not None, r.k or 0, r.t, r.id))
+    assert [r.row for r in want] == list(range(3000))
+    text = frames.numbered(df.withColumn("t", F.col("t").cast("string")), "k", ["t", "id"]).collect()
+    assert sorted(r.row for r in text) == list(range(3000))
+
+
+def test_warnings_of_losses(spark, lookup):
+    m = spark.createDataFrame([(1, 2, 5.0), (9, 1, 2.0), (1, 8, 1.0)], "origin int, destination int, value double")
+    with pytest.warns(UserWarning) as seen:
+        translate.translate_matrix(m, lookup, check=True)
+    text = " ".join(str(w.message) for w in seen)
+    assert "of origin lead nowhere; 2.0" in text and "of destination lead nowhere; 1.0" in text and "was 8.0 and is 5.0" in text
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        report.MatrixReport(m.limit(0).union(spark.createDataFrame([(1, 2, 5.0)], m.schema)), lookup, check=True)
+
+
+def test_infill_of_given_cells(spark):
+    cells = spark.createDataFrame([(1, 1, 5.0), (1, 2, None), (2, 2, 7.0)], "o int, d int, v double")
+    wide = reshape.long_to_wide(cells, "o", "d", "v", [1, 2], rows=[1, 3])
+    assert sorted(map(tuple, wide.collect())) == [(1, 5, 0), (3, 0, 0)]
+    with pytest.warns(UserWarning, match="was 12.0 and is 5.0"):
+        reshape.long_to_wide(cells, "o", "d", "v", [1, 2], rows=[1, 3], check_total=True)
+    long = reshape.wide_to_long(wide, "o", "d", "v", rows=[1, 4], columns=[1, 2], infill=-1)
+    assert {(r.o, r.d): r.v for r in long.collect()} == {(1, "1"): 5, (1, "2"): 0, (4, "1"): -1, (4, "2"): -1}
+    assert reshape.array_or_coordinates(cells, ["o", "d"], "v", "feasible")[0].shape == (2, 2)
+    assert reshape.array_or_coordinates(cells, ["o", "d"], "v", "force").count() == 3
+    with pytest.raises(ValueError, match="no o or d"):
+        reshape.array_or_coordinates(cells.union(spark.createDataFrame([(None, 1, 1.0)], cells.schema)), ["o", "d"], "v", "force")
+    near = {r.statistic: r.value for r in report.describe(spark.range(1, 10_001).select(F.lit(1).alias("origin"), F.col("id").alias("destination"), F.col("id").alias("value")), accuracy=1000).collect()}
+    assert abs(near["p25"] - 2500) <= 10 and near["count"] == 10_000
+
+
+def test_files_without_header_and_checks(spark, tmp_path):
+    (tmp_path / "bare.csv").write_text("1,1,4\n1,2,6\n2,1,1\n2,2,3\n")
+    assert ingest.read_matrix(spark, str(tmp_path / "bare.txt"), similar=True).agg(F.sum("value")).first()[0] == 14
+    (tmp_path / "named.csv").write_text("O,D,trips\n1,1,4\n1,2,6\n2,1,1\n2,2,3\n")
+    assert ingest.read_matrix(spark, str(tmp_path / "named.csv")).agg(F.sum("value")).first()[0] == 14
+    (tmp_path / "c.csv").write_text("from,to,factors\n1,10,1.5\n2,10,-1\n")
+    with pytest.warns(UserWarning) as seen:
+        ingest.read_correspondence(spark, str(tmp_path / "c.csv"), check=True)
+    said = [str(w.message) for w in seen if w.category is UserWarning]
+    assert len(said) == 2 and "over 1" in said[0] and "under 0" in said[1]
+    with pytest.raises(ValueError, match="plain form"):
+        ingest.read_csv(spark, str(tmp_path / "named.csv"), ["Trips"], normalise=True)
+    with pytest.raises(FileNotFoundError):
+        ingest.require_file(tmp_path / "none.csv")
+    with pytest.raises(Exception, match="not negative"):
+        spark.range(1).select(scalars.duration(F.lit(-5))).collect()
+    assert spark.range(1).select(scalars.clock("yyyy", F.lit("2024-05-06").cast("timestamp")), scalars.milliseconds(F.lit("1970-01-02").cast("timestamp"))).first() == ("2024", 86_400_000)

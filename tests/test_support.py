@@ -45,3 +45,18 @@ def test_logs(tmp_path):
     assert "version: '1.0'" in logs.write_metadata(tmp_path, tool, extra=1).read_text()
     with pytest.raises(NotADirectoryError):
         logs.write_metadata(tmp_path / "none", tool)
+
+
+def test_loggers(tmp_path):
+    log = logs.get_logger("some.tool", tmp_path / "all.log", console=False)
+    assert len(logs.get_logger("some.tool", tmp_path / "all.log", console=False).handlers) == 1
+    with logs.temporary_log(log, tmp_path / "block.log"):
+        log.debug("inside")
+    log.debug("outside")
+    assert "inside" in (tmp_path / "block.log").read_text() and "outside" not in (tmp_path / "block.log").read_text()
+    assert "outside" in (tmp_path / "all.log").read_text()
+    only = logs.PackageFilter(("some",))
+    named = lambda name: logging.LogRecord(name, logging.INFO, "", 0, "", None, None)
+    assert only.filter(named("some.tool")) and only.filter(named("some")) and not only.filter(named("something"))
+    assert only == logs.PackageFilter(("some",)) and len({only, logs.PackageFilter(("some",))}) == 1
+    logs.get_logger("some.tool", console=False)
