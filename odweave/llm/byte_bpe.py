@@ -12,6 +12,7 @@ Defined results: null and empty texts have no ids; repeated rows and null ids st
 in one block. A block is what a task reads one after another, twice: once for its words and once for its
 texts. Both readings carry a checksum of the texts, and a difference between them (an input whose order
 changes between attempts, which files don't) stops the job; write such an input as a table first.
+Ids are integers: they are cast, and one that can't be raises.
 """
 
 from __future__ import annotations

@@ -12,6 +12,7 @@ Defined results: vectors that are null, empty, zero, or hold null or non-finite
 nothing, and neither do rows with a null id (their component is null); rows that repeat an id are vectors of
 their own, with the id as their name; vectors of different length link with nothing; an empty table gives an
 empty table.
+Ids are integers: they are cast, and one that can't be raises.
 """
 
 from __future__ import annotations

@@ -21,6 +21,7 @@ texts of one to four words have one shingle; rows that repeat an id with the sam
 with other texts documents of their own, with the id as their name; a row with a null id links as any other,
 and names no component (one of null ids only is null); an empty table gives an empty one.
 Shingles and sets are compared by 64-bit hashes, and sets by their sizes too.
+Ids are integers: they are cast, and one that can't be raises.
 """
 
 from __future__ import annotations

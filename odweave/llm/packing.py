@@ -8,6 +8,7 @@ Defined results: a null text is an empty one and still has its end token; repeat
 documents of their own; an empty table gives no pieces. Groups are partitions of the shuffle; a group costs
 24 bytes a piece in its task. Its windows are as full as that many pieces allow: some hundred documents
 leave under 1 % of padding.
+Ids are integers: they are cast, and one that can't be raises.
 """
 
 from __future__ import annotations

@@ -9,6 +9,7 @@ documents before it and where the open one began, which stitches documents that
 Defined results: null and empty texts have 0 tokens; the separator isn't counted; repeated rows and null ids
 are documents of their own; tokens behind a file's last separator belong to no document; an empty table makes
 no files.
+Ids are integers: they are cast, and one that can't be raises.
 """
 
 from __future__ import annotations

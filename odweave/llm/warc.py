@@ -28,7 +28,8 @@ MAGIC = b"WARC/1.0\r\n"
 BLOCK = 8 << 20
 ARCHIVE = 256 << 20
 HEADER = 16 << 10
-#: Revisits known to be at most so many are broadcast to the writers (16 bytes each); more are joined by a shuffle.
+#: Revisits known to be at most so many are broadcast to the writers (two ids and a digest of 40 letters, some 80 bytes
+#: each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
