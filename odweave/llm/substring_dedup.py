@@ -2,7 +2,7 @@
 
 1. Every window of LENGTH bytes is filed under the smallest hash of the grams (a quarter of it) inside it.
    Equal windows have equal keys. A maximal run of windows of one key is a segment; copies of a segment in a
-   block of documents are one entry, with their places.
+   block of documents are one entry, with their places. The block's columns go to a file, which later steps read.
 2. All entries of a key meet in one bucket. Windows whose key stands once in the corpus are unique, unless it stands
    twice inside a segment. A key's only content that stands several times repeats as a whole. What is left, several contents of one key, is
    to be sorted, and one block sends the bytes of each such content.
@@ -25,6 +25,7 @@ bytes decide between contents of a key.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from odweave.llm.common import discard, written
+from odweave.llm.common import attempt_name, discard, file_system, scratch, written
 from odweave.llm.jaccard import BYTE, mix, powers
 from odweave.llm.suffix_array import common_prefixes, suffix_array
 
@@ -196,33 +197,50 @@ def _stored(t: pa.Table) -> bytes:
     return zstandard.compress(sink.getvalue().to_pybytes(), 3)
 
 
-def _restored(data: bytes) -> pa.Table:
+def _restored(place: bytes) -> pa.Table:
+    """The columns of a block, from where survey has put them."""
+    path, start, size = json.loads(place)
+    fs, path = file_system(path)
+    with fs.open_input_file(path) as f:
+        f.seek(start)
+        data = f.read(size)
     with pa.ipc.open_stream(zstandard.decompress(data)) as r:
         return r.read_all()
 
 
-def survey(docs: DataFrame, text_col: str, length: int, buckets: int) -> DataFrame:
-    """Of each block of documents a row with its columns (bucket -1), and rows with its entries."""
+def survey(docs: DataFrame, text_col: str, length: int, buckets: int, folder: str) -> DataFrame:
+    """Of each block of documents a row that says where its columns are (bucket -1), and rows with its entries.
+
+    A task writes its blocks into one file of the shared folder, so that no later step shuffles texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        block, held, size = TaskContext.get().partitionId() << 32, [], 0
+        fs, base = file_system(folder)
+        fs.create_dir(base, recursive=True)
+        block, held, size, at, name = TaskContext.get().partitionId() << 32, [], 0, 0, attempt_name()
 
-        def made() -> pa.RecordBatch:
+        def made(out) -> pa.RecordBatch:
+            nonlocal at
             t = pa.Table.from_batches(held).combine_chunks()
+            data = _stored(t)
+            out.write(data)
+            place = json.dumps([f"{folder}/{name}", at, len(data)]).encode()
+            at += len(data)
             b, ends = _bytes(t, text_col)
             start, count, key, content = segments(b, ends, length)
-            return _batch([(block, -1, _stored(t)), *_by_bucket(block, buckets, *grouped(key, content, count, start))])
-
-        for b in batches:
-            held.append(b)
-            size += b.column(b.schema.get_field_index(text_col)).nbytes
-            if size >= BLOCK:
-                yield made()
-                block, held, size = block + 1, [], 0
-        if held:
-            yield made()
+            return _batch([(block, -1, place), *_by_bucket(block, buckets, *grouped(key, content, count, start))])
+
+        with fs.open_output_stream(f"{base}/{name}") as out:
+            for b in batches:
+                held.append(b)
+                size += b.column(b.schema.get_field_index(text_col)).nbytes
+                if size >= BLOCK:
+                    yield made(out)
+                    block, held, size = block + 1, [], 0
+            if held:
+                yield made(out)
 
     return docs.mapInArrow(run, ROWS)
 
@@ -266,6 +284,12 @@ def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.repartition(min(buckets, TASKS), "bucket")
 
 
+def _beside(texts: DataFrame, rows: DataFrame, buckets: int, run, kinds: str) -> DataFrame:
+    """What run makes of each block's text and rows. The texts themselves are read by the tasks, which are as many as the buckets."""
+    own, rows = (x.repartition(min(buckets, TASKS), "block") for x in (texts, rows))
+    return own.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(run, kinds)
+
+
 def _pieces(b: np.ndarray, replies: list[bytes], repeated: np.ndarray, length: int) -> dict[int, list[tuple]]:
     """By bucket the pieces (key, content, flags, occurrences, places, bytes) that a block sends to be sorted."""
     out: dict[int, list] = {}
@@ -298,6 +322,8 @@ def hot_windows(texts: DataFrame, hot: DataFrame, text_col: str, length: int, bu
     """(block, bucket -2, data): those windows of a block's hot segments that repeat in the corpus."""
 
     def each(text: pa.Table, replies: pa.Table) -> pa.Table:
+        if not len(replies):
+            return pa.Table.from_batches([_batch([])])
         b, _ = _bytes(_restored(text["data"][0].as_py()), text_col)
         seen, block = [], text["block"][0].as_py()
         for data in replies["data"].to_pylist():
@@ -323,11 +349,10 @@ def hot_windows(texts: DataFrame, hot: DataFrame, text_col: str, length: int, bu
                 rows.append((block, -2, pack(mine)))
         return pa.Table.from_batches([_batch(rows)])
 
-    windows = texts.groupBy("block").cogroup(hot.groupBy("block")).applyInArrow(each, ROWS)
-    return windows.groupBy("bucket").applyInArrow(count, ROWS)
+    return _dealt(_beside(texts, hot, buckets, each, ROWS), buckets).groupBy("bucket").applyInArrow(count, ROWS)
 
 
-def pieces(texts: DataFrame, live: DataFrame, text_col: str, length: int) -> DataFrame:
+def pieces(texts: DataFrame, live: DataFrame, text_col: str, length: int, buckets: int) -> DataFrame:
     """(block, bucket, data): the bytes of contents that are to be sorted."""
 
     def send(text: pa.Table, replies: pa.Table) -> pa.Table:
@@ -358,7 +383,7 @@ def pieces(texts: DataFrame, live: DataFrame, text_col: str, length: int) -> Dat
             out.append((block, bucket, pack(key, content, flags, size, np.frombuffer(b"".join(cut), "u1"), occurs, places, level=3)))
         return pa.Table.from_batches([_batch(out)])
 
-    return texts.groupBy("block").cogroup(live.groupBy("block")).applyInArrow(send, ROWS)
+    return _beside(texts, live, buckets, send, ROWS)
 
 
 def repeats(contents: list[bytes], several: np.ndarray, length: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -464,7 +489,7 @@ def narrowed(texts: DataFrame, runs: DataFrame, text_col: str, shorter: int, len
         rows = _by_bucket(text["block"][0].as_py(), buckets, *grouped(key, content, count, place))
         return pa.Table.from_batches([_batch(rows)])
 
-    return texts.groupBy("block").cogroup(runs.groupBy("block")).applyInArrow(run, ROWS)
+    return _beside(texts, runs, buckets, run, ROWS)
 
 
 def _covered(n: int, found: list[bytes], length: int) -> np.ndarray:
@@ -510,10 +535,9 @@ def repeated_runs(texts: DataFrame, entries: DataFrame, text_col: str, length: i
     hot_rows = live.mapInArrow(too_many, ROWS)
     told, used = live, [live]
     if hot_rows.limit(1).count():
-        some = texts.join(hot_rows.select("block").distinct(), "block", "left_semi")
-        used.append(written(hot_windows(some, hot_rows, text_col, length, buckets), "windows"))
+        used.append(written(hot_windows(texts, hot_rows, text_col, length, buckets), "windows"))
         told = live.unionByName(used[-1])
-    used.append(written(pieces(texts, told, text_col, length), "pieces"))
+    used.append(written(pieces(texts, told, text_col, length, buckets), "pieces"))
     runs = written(sort_shards(used[-1], live, length, buckets), "runs")
     discard(*used)
     return runs
@@ -539,7 +563,8 @@ def remove_repeats(
     docs = docs.drop(*[f.split()[0] for f in new.split(", ")])
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET)
-    rows = written(survey(docs, text_col, passage or length, buckets), "blocks")
+    folder = scratch(docs.sparkSession, "texts")
+    rows = written(survey(docs, text_col, passage or length, buckets, folder), "blocks")
     texts = rows.filter("bucket = -1")
     runs = repeated_runs(texts, rows.filter("bucket >= 0"), text_col, passage or length, hot, buckets)
     found = runs.withColumn("bucket", F.lit(passage or length))
@@ -591,4 +616,4 @@ def remove_repeats(
             t = t.append_column("without_passages", string(kept))
         return t
 
-    return texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(apply, f"{fields}, {new}")
+    return _beside(texts, found, buckets, apply, f"{fields}, {new}")
