@@ -13,6 +13,7 @@ from odweave.llm import byte_bpe as _bytes
 from odweave.llm import embedding_dedup as _vectors
 from odweave.llm import jaccard as _jaccard
 from odweave.llm import line_dedup as _lines
+from odweave.llm import merkle as _merkle
 from odweave.llm import mpeg_audio as _mpeg
 from odweave.llm import packing as _packing
 from odweave.llm import substring_dedup as _substrings
@@ -103,6 +104,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with their place in a Merkle tree, and what their proofs say after some were tampered with."""
+    return _merkle.verified_rows(table(spark, sf_dir, "documents").select(*_merkle.FIELDS))
+
+
 OP1_SQL = f"""
 WITH pages AS (SELECT row_number() OVER () AS page, doc_id, source, text FROM documents),
 each AS (
@@ -181,11 +187,56 @@ FROM roles
 """
 
 
+def merkle_sql(levels: int = 6) -> str:
+    """op11 in SQL, for groups and a number of groups of at most 16 ** levels each."""
+    field = lambda x: f"coalesce(CAST(octet_length(encode(CAST({x} AS VARCHAR))) AS VARCHAR) || ':' || CAST({x} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field(text if c == "text" else c) for c in _merkle.FIELDS) + ")"
+    low = f"translate(text, '{_merkle.UPPER}', '{_merkle.LOWER}')"
+    step = "list_reduce(list_prepend(xor(c, b), range(0, 8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    codes = "list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda k: CAST(ascii(substr(CAST(doc_id AS VARCHAR), k, 1)) AS BIGINT))"
+    crc = f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: {step}), 4294967295)"
+    out = [f"""docs AS (
+  SELECT row_number() OVER () AS doc, doc_id, source, {leaf("text")} AS leaf,
+         CASE WHEN {crc} % 5 = 0 THEN {leaf(low)} ELSE {leaf("text")} END AS tampered FROM documents
+),
+n0 AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf AS h, count(*) OVER (PARTITION BY source) AS n FROM docs
+),
+p0 AS (SELECT doc, doc_id, source, leaf, i, n, '' AS proof, tampered AS folded FROM n0)"""]
+
+    def tree(nodes: str, paths: str) -> None:
+        for k in range(levels):
+            out.append(f"{nodes}r{k} AS (SELECT source, i // 16 AS i, n, list(h ORDER BY i) AS hs FROM {nodes}{k} GROUP BY source, i // 16, n)")
+            up = "CASE WHEN n > 1 THEN sha256(array_to_string(hs, '')) ELSE hs[1] END"
+            out.append(f"{nodes}{k + 1} AS (SELECT source, i, {up} AS h, (n + 15) // 16 AS n FROM {nodes}r{k})")
+            before, behind = "array_to_string(hs[1:p.i % 16], '')", "array_to_string(hs[p.i % 16 + 2:], '')"
+            out.append(f"""{paths}{k + 1} AS (
+  SELECT doc, doc_id, p.source, leaf, p.i // 16 AS i, (p.n + 15) // 16 AS n, CASE WHEN p.n > 1 THEN proof || {before} || {behind} ELSE proof END AS proof,
+         CASE WHEN p.n > 1 THEN sha256({before} || folded || {behind}) ELSE folded END AS folded{", subroot" * (paths == "q")}
+  FROM {paths}{k} p JOIN {nodes}r{k} r ON p.source IS NOT DISTINCT FROM r.source AND p.i // 16 = r.i
+)""")
+
+    tree("n", "p")
+    out.append(f"""m0 AS (
+  SELECT '' AS source, source AS name, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, h, count(*) OVER () AS n FROM n{levels}
+),
+q0 AS (
+  SELECT doc, doc_id, '' AS source, leaf, m0.i, m0.n, proof, folded, h AS subroot FROM p{levels} p JOIN m0 ON p.source IS NOT DISTINCT FROM m0.name
+)""")
+    tree("m", "q")
+    return f"""WITH {", ".join(out)}
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = h AS verified FROM q{levels}, m{levels}
+"""
+
+
+OP11_SQL = merkle_sql()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this subpackage."""
-    return {"op1_line_dedup": op1_line_dedup, "op2_mpeg_audio": op2_mpeg_audio, "op3_suffix_array_dedup": op3_suffix_array_dedup, "op4_byte_bpe": op4_byte_bpe, "op5_embedding_dedup": op5_embedding_dedup, "op6_packing": op6_packing, "op7_toxicity": op7_toxicity, "op8_token_counts": op8_token_counts, "op9_jaccard_join": op9_jaccard_join, "op10_warc": op10_warc}
+    return {"op1_line_dedup": op1_line_dedup, "op2_mpeg_audio": op2_mpeg_audio, "op3_suffix_array_dedup": op3_suffix_array_dedup, "op4_byte_bpe": op4_byte_bpe, "op5_embedding_dedup": op5_embedding_dedup, "op6_packing": op6_packing, "op7_toxicity": op7_toxicity, "op8_token_counts": op8_token_counts, "op9_jaccard_join": op9_jaccard_join, "op10_warc": op10_warc, "op11_merkle": op11_merkle}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that it can express."""
-    return {"op1_line_dedup": OP1_SQL, "op5_embedding_dedup": OP5_SQL, "op9_jaccard_join": OP9_SQL, "op10_warc": OP10_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op5_embedding_dedup": OP5_SQL, "op9_jaccard_join": OP9_SQL, "op10_warc": OP10_SQL, "op11_merkle": OP11_SQL}
