@@ -18,6 +18,7 @@ from odweave.llm import mpeg_audio as _mpeg
 from odweave.llm import packing as _packing
 from odweave.llm import substring_dedup as _substrings
 from odweave.llm import token_counts as _counts
+from odweave.llm import token_orc as _orc
 from odweave.llm import toxicity as _toxicity
 from odweave.llm import warc as _warc
 from odweave.llm.bpe import vocabulary
@@ -109,6 +110,13 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _merkle.verified_rows(table(spark, sf_dir, "documents").select(*_merkle.FIELDS))
 
 
+def op12_token_orc(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Texts as tokens in ORC files, and what is read back from those."""
+    arrow_ready(spark)
+    raw = vocabulary(path or public_tokenizers.path("byte_bpe_50k.json"))
+    return _orc.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), raw)
+
+
 OP1_SQL = f"""
 WITH pages AS (SELECT row_number() OVER () AS page, doc_id, source, text FROM documents),
 each AS (
@@ -234,7 +242,7 @@ OP11_SQL = merkle_sql()
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this subpackage."""
-    return {"op1_line_dedup": op1_line_dedup, "op2_mpeg_audio": op2_mpeg_audio, "op3_suffix_array_dedup": op3_suffix_array_dedup, "op4_byte_bpe": op4_byte_bpe, "op5_embedding_dedup": op5_embedding_dedup, "op6_packing": op6_packing, "op7_toxicity": op7_toxicity, "op8_token_counts": op8_token_counts, "op9_jaccard_join": op9_jaccard_join, "op10_warc": op10_warc, "op11_merkle": op11_merkle}
+    return {"op1_line_dedup": op1_line_dedup, "op2_mpeg_audio": op2_mpeg_audio, "op3_suffix_array_dedup": op3_suffix_array_dedup, "op4_byte_bpe": op4_byte_bpe, "op5_embedding_dedup": op5_embedding_dedup, "op6_packing": op6_packing, "op7_toxicity": op7_toxicity, "op8_token_counts": op8_token_counts, "op9_jaccard_join": op9_jaccard_join, "op10_warc": op10_warc, "op11_merkle": op11_merkle, "op12_token_orc": op12_token_orc}
 
 
 def oracle_sql() -> dict[str, str]:
