@@ -11,6 +11,7 @@ import public_tokenizers
 
 from odweave.llm import byte_bpe as _bytes
 from odweave.llm import embedding_dedup as _vectors
+from odweave.llm import hard_negatives as _negatives
 from odweave.llm import jaccard as _jaccard
 from odweave.llm import line_dedup as _lines
 from odweave.llm import merkle as _merkle
@@ -117,6 +118,12 @@ def op12_token_orc(spark: SparkSession, sf_dir: str, path: str | None = None) ->
     return _orc.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), raw)
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first wrongly labelled vectors that score nearly as high as each anchor's positives."""
+    arrow_ready(spark)
+    return _negatives.hard_negatives(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 OP1_SQL = f"""
 WITH pages AS (SELECT row_number() OVER () AS page, doc_id, source, text FROM documents),
 each AS (
@@ -195,6 +202,30 @@ FROM roles
 """
 
 
+OP13_SQL = """
+WITH good AS (
+  SELECT row_number() OVER () AS uid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scores AS (
+  SELECT a.uid, a.vec_id AS anchor_id, b.uid AS other, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM good a JOIN good b ON a.uid <> b.uid AND len(a.v) = len(b.v) WHERE a.vec_id % 50 = 0
+),
+positives AS (
+  SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id, other) AS place FROM scores WHERE same
+  QUALIFY place <= 5
+),
+negatives AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, n.vec_id AS negative_id, n.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY p.uid, p.place ORDER BY n.score DESC, n.vec_id, n.other) AS INTEGER) AS rank
+  FROM positives p JOIN scores n ON p.uid = n.uid AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 3
+"""
+
+
 def merkle_sql(levels: int = 6) -> str:
     """op11 in SQL, for groups and a number of groups of at most 16 ** levels each."""
     field = lambda x: f"coalesce(CAST(octet_length(encode(CAST({x} AS VARCHAR))) AS VARCHAR) || ':' || CAST({x} AS VARCHAR), '-')"
@@ -242,9 +273,9 @@ OP11_SQL = merkle_sql()
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this subpackage."""
-    return {"op1_line_dedup": op1_line_dedup, "op2_mpeg_audio": op2_mpeg_audio, "op3_suffix_array_dedup": op3_suffix_array_dedup, "op4_byte_bpe": op4_byte_bpe, "op5_embedding_dedup": op5_embedding_dedup, "op6_packing": op6_packing, "op7_toxicity": op7_toxicity, "op8_token_counts": op8_token_counts, "op9_jaccard_join": op9_jaccard_join, "op10_warc": op10_warc, "op11_merkle": op11_merkle, "op12_token_orc": op12_token_orc}
+    return {"op1_line_dedup": op1_line_dedup, "op2_mpeg_audio": op2_mpeg_audio, "op3_suffix_array_dedup": op3_suffix_array_dedup, "op4_byte_bpe": op4_byte_bpe, "op5_embedding_dedup": op5_embedding_dedup, "op6_packing": op6_packing, "op7_toxicity": op7_toxicity, "op8_token_counts": op8_token_counts, "op9_jaccard_join": op9_jaccard_join, "op10_warc": op10_warc, "op11_merkle": op11_merkle, "op12_token_orc": op12_token_orc, "op13_hard_negatives": op13_hard_negatives}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that it can express."""
-    return {"op1_line_dedup": OP1_SQL, "op5_embedding_dedup": OP5_SQL, "op9_jaccard_join": OP9_SQL, "op10_warc": OP10_SQL, "op11_merkle": OP11_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op5_embedding_dedup": OP5_SQL, "op9_jaccard_join": OP9_SQL, "op10_warc": OP10_SQL, "op11_merkle": OP11_SQL, "op13_hard_negatives": OP13_SQL}
