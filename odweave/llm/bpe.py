@@ -53,15 +53,17 @@ class WordBpe:
 
     MARK = 255
 
-    def __init__(self, raw: bytes):
+    def __init__(self, raw: bytes, specials: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         import tiktoken
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(raw.decode())
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = specials == "text"
         spec = json.loads(raw)
+        #: Texts with such a name go to the library, which knows what the name stands for.
+        self.names = [t["content"] for t in spec.get("added_tokens", []) if specials != "text" or not t["special"]]
         vocab, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
         chars = byte_alphabet()
         back = {c: b for b, c in chars.items()}
@@ -101,11 +103,11 @@ class WordBpe:
 
         White space splits a text into chunks, and a worker remembers the ids of chunks. Python also splits
         at U+001C to U+001F, which the library takes for ordinary characters: texts that hold one go to the
-        library whole.
+        library whole, and so do those with a name of an added token.
         """
         out = []
         for t in texts:
-            if any(map(t.__contains__, "\x1c\x1d\x1e\x1f")):
+            if any(map(t.__contains__, ("\x1c", "\x1d", "\x1e", "\x1f", *self.names))):
                 out.append(self._whole(t))
                 continue
             if len(self.chunks) > REMEMBERED:
@@ -182,9 +184,11 @@ def byte_bpe(raw: bytes, pattern: str) -> ByteBpe:
     return _once(ByteBpe, raw, pattern)
 
 
-def word_bpe(raw: bytes) -> WordBpe:
-    """The vocabulary of a tokenizers file."""
-    return _once(WordBpe, raw)
+def word_bpe(raw: bytes, specials: str = "ids") -> WordBpe:
+    """The vocabulary of a tokenizers file. The names of its special tokens are their ids, or ordinary text."""
+    if specials not in ("ids", "text"):
+        raise ValueError("special tokens are ids or text")
+    return _once(WordBpe, raw, specials)
 
 
 def level_bpe(raw: bytes) -> LevelBpe:

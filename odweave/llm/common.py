@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in one Arrow batch. Texts of 100 KB are common, so batches stay small.
@@ -28,17 +30,33 @@ def arrow_ready(spark: SparkSession) -> None:
         env["PYTHONPATH"] = f"{root}:{env['PYTHONPATH']}" if env.get("PYTHONPATH") else root
 
 
+#: The folders of applications in local mode that name none.
+_local: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the driver and all executors share.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. Only where it is unset (in tests) a
-    temporary folder of this machine is taken, and kept for the session.
+    The cluster names that folder in ``spark.checkpoint.dir``. Only in local mode, as in tests, a temporary folder
+    of this machine takes its place where it is unset, one for each application; a cluster without it raises.
+    A folder without a scheme is on Spark's default file system, which the path then names: tasks that open files
+    themselves go where Spark goes.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that the driver and all executors share")
+        of = spark.sparkContext.applicationId
+        base = _local[of] = _local.get(of) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    return qualified(spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme of its file system, which is Spark's default one where it has none."""
+    if "://" in path:
+        return path
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(own).toString()
 
 
 #: Spark's setting by which a query's shuffle files go when it has ended.
@@ -65,9 +83,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``written`` that no plan reads any more, as what came of them is written too."""
     for t in tables:
-        session = t.sparkSession
-        path = session._jvm.org.apache.hadoop.fs.Path(t.written_to)
-        path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
+        remove(t.sparkSession, t.written_to)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of ``scratch`` with all that is in it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stretches(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, start, end) of each run of a sorted array: the work grows with the values that occur, not with their range."""
+    starts = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+    yield from zip(values[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(values)], strict=True) if len(values) else ()
 
 
 def file_system(uri: str):
@@ -77,7 +105,7 @@ def file_system(uri: str):
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri[len("file:") :].lstrip("/")
     if "://" not in uri:
-        return fs.LocalFileSystem(), uri
+        raise ValueError(f"{uri} doesn't name its file system")
     return fs.FileSystem.from_uri(uri)
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from odweave.llm.bpe import word_bpe
-from odweave.llm.common import attempt_name, file_system, scratch, written
+from odweave.llm.common import attempt_name, file_system, remove, scratch, written
 
 SEPARATOR = 49407
 #: Bytes of a block, and of a file before the next is begun.
@@ -44,7 +44,7 @@ def write_tokens(docs: DataFrame, raw: bytes, folder: str, id_col: str, text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = file_system(folder)
         fs.create_dir(base, recursive=True)
-        encode, end = word_bpe(raw).encode, np.array([separator], kind).tobytes()
+        encode, end = word_bpe(raw, "text").encode, np.array([separator], kind).tobytes()
         name, out, ids, size, k = attempt_name(), None, [], 0, 0
 
         def close() -> pa.RecordBatch:
@@ -113,6 +113,7 @@ def documents_counted(docs: DataFrame, raw: bytes, id_col: str = "doc_id", text_
     folder, kind = scratch(docs.sparkSession, "tokens"), id_type(raw, separator)
     files = write_tokens(docs, raw, folder, id_col, text_col, separator, kind)
     ids = files.select("file", F.posexplode("ids").alias("_i", id_col)).withColumn("ordinal", F.col("_i").cast("long"))
-    counts = count_tokens(files.select("file", "size"), folder, separator, block, kind)
+    counts = written(count_tokens(files.select("file", "size"), folder, separator, block, kind), "token-counts")
+    remove(docs.sparkSession, folder)
     # ids compress well, and would be broadcast for their small files
     return ids.join(counts.hint("merge"), ["file", "ordinal"], "left").select(id_col, "n_tokens")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from odweave.llm.bpe import level_bpe
-from odweave.llm.common import discard, scratch, written
+from odweave.llm.common import remove, scratch, written
 
 END = 0
 #: Ids of a row at most.
@@ -162,6 +162,5 @@ def round_trip(docs: DataFrame, raw: bytes, id_col: str = "doc_id", text_col: st
     write_tokens(docs, raw, folder, id_col, text_col, end)
     tokens = read_tokens(spark, folder)
     out = documents_read(tokens)
-    tokens.written_to = folder
-    discard(tokens)
+    remove(spark, folder)  # what is left to do reads the documents' counts
     return out.withColumnRenamed("doc_id", id_col)

@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 from hypothesis import given
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from odweave.llm import byte_bpe, packing
 from odweave.llm.bpe import ByteBpe, WordBpe, vocabulary
@@ -51,16 +52,27 @@ def test_lists_round_trip(values):
 
 
 def test_word_ids_match_the_library():
-    own = WordBpe(WORDS)
-    texts = [t or "" for _, t in ODD]
-    want = [np.array(own.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-    assert own.encode(texts) == want
+    library = Tokenizer.from_str(WORDS.decode())
+    texts = [*(t or "" for _, t in ODD), "a b <|endoftext|> c d", "x<|startoftext|>Y<|endoftext|>", "<|EndOfText|> <| endoftext |>"]
+    for specials in ("ids", "text"):
+        library.encode_special_tokens = specials == "text"
+        want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert WordBpe(WORDS, specials).encode(texts) == want
+
+
+def test_packing_takes_special_tokens_as_the_untouched_library(documents):
+    texts = ["a b <|endoftext|> c d", "<|startoftext|>", "plain", "", None]
+    library = Tokenizer.from_str(WORDS.decode())
+    want = {i: [*library.encode(t or "", add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+    assert 49407 in want[0] and 49406 in want[1]
+    got = packing.pack_documents(documents(list(enumerate(texts))), WORDS, keep_ids=True).collect()
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in got} == want
 
 
 def test_packing_covers_every_token_once(spark, documents):
     rows = [*ODD, *((100 + i, "words and more words " * (i % 90)) for i in range(300))]
     out = packing.pack_documents(documents(rows), WORDS, keep_ids=True).toPandas()
-    own = WordBpe(WORDS)
+    own = WordBpe(WORDS, "ids")
     by_doc = {}
     for i, t in rows:
         by_doc.setdefault(i, []).append(own.encode([t or ""])[0] + np.array([2], "<u4").tobytes())

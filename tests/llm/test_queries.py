@@ -30,7 +30,6 @@ def test_tokens_of_registered_queries(spark):
     """Pieces of op6 and counts of op8 by the tokenizer itself."""
     d = "/root/testdata/sf0.001"
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    library.encode_special_tokens = True
     ids = {r.doc_id: library.encode(r.text or "", add_special_tokens=False).ids for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
     assert {r.doc_id: r.n_tokens for r in queries.op8_token_counts(spark, d).collect()} == {i: len(x) for i, x in ids.items()}
     fill, seen = {}, {i: [] for i in ids}
