@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from odweave.llm.bpe import byte_bpe
+from odweave.llm.common import stretches
 
 #: Characters of texts in a block, and bytes of texts for each bucket that words are dealt to.
 BLOCK = 5_000_000
@@ -100,9 +101,8 @@ def explode_words(docs: DataFrame, raw: bytes, pattern: str, id_col: str, text_c
     def make(block: int, crc: int, ids: list, texts: list[bytes]) -> list[tuple]:
         _, words, bucket = _deal(texts, byte_bpe(raw, pattern).split, buckets)
         order = np.argsort(bucket, kind="stable")
-        ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
         ordered = [words[i] for i in order.tolist()]
-        parts = [(k, ordered[a:b]) for k, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if b > a]
+        parts = [(k, ordered[a:b]) for k, a, b in stretches(bucket[order])]
         return [(block, k, crc, _list(part)) for k, part in parts] or [(block, 0, crc, _list([]))]
 
     return _blocks(docs, make, id_col, text_col)

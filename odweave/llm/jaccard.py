@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from odweave.llm.common import discard, written
+from odweave.llm.common import ARROW_ROWS, discard, stretches, written
 from odweave.llm.components import components
 
 WORDS = 5
@@ -177,7 +177,7 @@ def scatter(docs: DataFrame, hot, blocks: int, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.frombuffer(hot.value, np.uint8)
-        for b in batches:
+        for b in (x.slice(at, ARROW_ROWS) for x in batches for at in range(0, len(x), ARROW_ROWS)):  # 16 bits number a batch's texts
             keys, ns, parts, shares, places, seen = [], [], [], [], [], set()
             for t in b.column(0).to_pylist():
                 s = shingles(t)
@@ -196,17 +196,16 @@ def scatter(docs: DataFrame, hot, blocks: int, text_col: str) -> DataFrame:
             who = np.repeat(np.arange(len(parts), dtype=np.uint16), [len(p) for p in parts])
             block = (g % np.uint64(blocks)).astype(np.int32)
             order = np.argsort(block, kind="stable")
-            ends = np.searchsorted(block[order], np.arange(blocks + 1))
+            block = block[order]
             g, who, place = (g // np.uint64(blocks))[order], who[order], np.concatenate(places)[order]
             key, n, share = np.array(keys, np.int64), np.array(ns, np.uint32), np.array(shares, np.uint8)
             made, at = [], []
-            for k, (x, y) in enumerate(zip(ends, ends[1:], strict=False)):
-                if y > x:
-                    own, index = np.unique(who[x:y], return_inverse=True)
-                    head = np.array([len(own), y - x], np.uint32).tobytes()
-                    low, high = g[x:y].astype(np.uint32), (g[x:y] >> np.uint64(32)).astype(np.uint16)
-                    made.append(b"".join((head, key[own].tobytes(), n[own].tobytes(), share[own].tobytes(), index.astype(np.uint16).tobytes(), low.tobytes(), high.tobytes(), place[x:y].tobytes())))
-                    at.append(k)
+            for k, x, y in stretches(block):
+                own, index = np.unique(who[x:y], return_inverse=True)
+                head = np.array([len(own), y - x], np.uint32).tobytes()
+                low, high = g[x:y].astype(np.uint32), (g[x:y] >> np.uint64(32)).astype(np.uint16)
+                made.append(b"".join((head, key[own].tobytes(), n[own].tobytes(), share[own].tobytes(), index.astype(np.uint16).tobytes(), low.tobytes(), high.tobytes(), place[x:y].tobytes())))
+                at.append(k)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(made, pa.binary())], names=["block", "data"])
 
     return docs.select(text_col).mapInArrow(run, "block int, data binary")

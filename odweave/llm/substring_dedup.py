@@ -14,7 +14,8 @@ A key with more than HOT contents (the edge of a passage that very many document
 shard. Its windows are counted one by one first, each under its own hash, and its segments are cut down to
 runs of windows that repeat; what differs around the passage is gone then, and copies collapse.
 
-Passages are found by shorter strings, of which those stay that touch PASSAGE_WORDS words or fewer. Where both
+Passages are found by shorter strings, of which those stay that have fewer than LENGTH bytes and touch PASSAGE_WORDS
+words or fewer; over 50 words that take less than 200 bytes together (of three letters and less) aren't found. Where both
 are asked for, the longer strings are looked for only inside what the shorter ones cover.
 
 Defined results: null and empty texts, and texts shorter than LENGTH, lose nothing (null stays null); repeated
@@ -34,13 +35,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from odweave.llm.common import attempt_name, discard, file_system, scratch, written
+from odweave.llm.common import attempt_name, discard, file_system, scratch, stretches, written
 from odweave.llm.jaccard import BYTE, mix, powers
 from odweave.llm.suffix_array import common_prefixes, suffix_array
 
 LENGTH = 400
-#: A passage is a removed run of PASSAGE-byte strings that touches more than PASSAGE_WORDS words. The bytes are
-#: fewer than so many words usually take, so that they find the passage and the words decide.
+#: A passage is a removed run of PASSAGE-byte strings that touches more than PASSAGE_WORDS words or has LENGTH bytes. The
+#: first are fewer bytes than so many words usually take, so that they find the passage; then words decide, and in
+#: writing without spaces, code or long links, which have few words, bytes do.
 PASSAGE = 200
 PASSAGE_WORDS = 50
 #: Bytes of texts in a block, and for each bucket.
@@ -168,13 +170,11 @@ def _by_bucket(block: int, buckets: int, key, content, count, occurs, start) ->
     """The rows of a block's entries."""
     of = (key % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(of, kind="stable")
-    edges = np.searchsorted(of[order], np.arange(buckets + 1))
     place, rows = np.cumsum(occurs) - occurs, []
-    for k, (x, y) in enumerate(zip(edges, edges[1:], strict=False)):
-        if y > x:
-            o = order[x:y]
-            where = start[ranges(place[o], occurs[o])]
-            rows.append((block, k, pack(key[o].astype("<u8"), content[o].astype("<u8"), count[o].astype("<u2"), occurs[o].astype("<u4"), where.astype("<u4"))))
+    for k, x, y in stretches(of[order]):
+        o = order[x:y]
+        where = start[ranges(place[o], occurs[o])]
+        rows.append((block, k, pack(key[o].astype("<u8"), content[o].astype("<u8"), count[o].astype("<u2"), occurs[o].astype("<u4"), where.astype("<u4"))))
     return rows
 
 
@@ -554,10 +554,10 @@ def remove_repeats(
 ) -> DataFrame:
     """docs with ``kept`` (the bytes that are left), counts, and the removed spans of each text (byte places).
 
-    Spans that touch words or fewer words stay. With rewrite the text itself is what is left, without parts of
+    Spans that touch words or fewer words and have fewer than LENGTH bytes stay. With rewrite the text itself is what is left, without parts of
     characters, and there is no ``kept``. With passage, strings of so many bytes are found too, and
     ``n_passages``, ``passage_bytes`` and ``without_passages`` say what goes with those of their spans that touch
-    more than PASSAGE_WORDS words.
+    more than PASSAGE_WORDS words or have LENGTH bytes.
     """
     new = (NEW if rewrite else f"kept binary, {NEW}") + (f", {PASSAGES}" if passage else "")
     docs = docs.drop(*[f.split()[0] for f in new.split(", ")])
@@ -586,7 +586,7 @@ def remove_repeats(
             """(bytes left of each text, spans, and where each text's spans begin)."""
             start, stop = _spans(_covered(len(b), by_length.get(n, []), n), ends)
             if least and len(start):
-                many = _touched(b, ends, start, stop) > least
+                many = (_touched(b, ends, start, stop) > least) | (stop - start >= LENGTH)
                 start, stop = start[many], stop[many]
             gone = np.zeros(len(b) + 1, np.int32)
             gone[start] += 1

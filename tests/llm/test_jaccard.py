@@ -3,6 +3,7 @@
 import random
 import re
 from collections import defaultdict
+from types import SimpleNamespace
 
 import pytest
 from hypothesis import given
@@ -119,3 +120,20 @@ def test_whole_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     out = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op9_jaccard_join(spark, d).collect()}
     assert out == brute(rows)
+
+
+def test_batches_of_more_rows_than_16_bits_number(spark):
+    """Every shingle stays with its own document, however many rows a batch has."""
+    n, blocks = 70_000, 4
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
+    docs = spark.range(n).selectExpr("concat('w', id, ' is one of many') AS text").coalesce(1)
+    none = SimpleNamespace(value=bytes((1 << jaccard.SKETCH) // 8))
+    got = {}
+    for r in jaccard.scatter(docs, none, blocks, "text").collect():
+        key, size, _, shingle, _ = jaccard._unpack(bytes(r.data))
+        got |= {(r.block, g): (k, m) for g, k, m in zip(shingle.tolist(), key.tolist(), size.tolist(), strict=True)}
+    assert len(got) == n
+    for i in [0, 1, 399, 400, 4463, 4464, 65_535, 65_536, 69_999]:
+        s = jaccard.shingles(f"w{i} is one of many")
+        g = int(s[0])
+        assert got[g % blocks, g // blocks & (1 << 48) - 1] == (jaccard.set_key(s), 1)

@@ -1,13 +1,15 @@
 """Suffix arrays against sorted suffixes; removal of repeats against counting every window."""
 
+import base64
 import hashlib
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 
 from odweave.llm import queries
-from odweave.llm.substring_dedup import remove_repeats
+from odweave.llm.substring_dedup import ENTRY, _by_bucket, remove_repeats, unpack
 from odweave.llm.suffix_array import common_prefixes, suffix_array
 
 
@@ -27,7 +29,7 @@ def brute(texts, length):
 
 
 def brute_passages(texts, length, words):
-    """As brute, but of the spans only those that touch more than so many words."""
+    """As brute, but of the spans only those that touch more than so many words or have 400 bytes."""
     data = [(t or "").encode() for t in texts]
     count = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
     out = []
@@ -37,7 +39,7 @@ def brute_passages(texts, length, words):
             if count[d[i : i + length]] > 1:
                 gone[i : i + length] = True
         edge = np.flatnonzero(np.diff(gone, prepend=False, append=False))
-        spans = [(a, z) for a, z in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if len(d[a:z].split()) > words]
+        spans = [(a, z) for a, z in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if len(d[a:z].split()) > words or z - a >= 400]
         kept, at = [], 0
         for a, z in spans:
             kept.append(d[at:a])
@@ -100,6 +102,35 @@ def test_passages_beside_longer_strings(documents, hot):
         assert got[i].without_passages == (None if t is None else short[i][0].decode("utf-8", "ignore"))
 
 
+JAPANESE = "".join(chr(0x3041 + k * k % 83) for k in range(2000))
+BASE64 = base64.b64encode(hashlib.sha512(b"x").digest() * 20).decode()
+CODE = "".join(f"f{k}=call(x+{k})*{k * k};" for k in range(60))
+
+
+@pytest.mark.parametrize("passage", [JAPANESE, BASE64, CODE, "https://example.org/" + "a1b2/" * 90])
+def test_passages_without_spaces(documents, passage):
+    r = np.random.default_rng(1)
+    own = lambda: " ".join("".join(chr(97 + c) for c in r.integers(0, 26, 7)) for _ in range(60))
+    texts = [f"{own()} | {passage} | {own()}", f"{own()}、{passage}", own(), "".join(chr(0x4E00 + c) for c in r.integers(0, 9000, 500))]
+    assert len(passage.split()) == 1
+    got = {x.doc_id: x for x in remove_repeats(documents(list(enumerate(texts))), length=200, words=50, rewrite=True).collect()}
+    want = brute_passages(texts, 200, 50)
+    assert [got[i].text for i in range(4)] == [w[0].decode("utf-8", "ignore") for w in want]
+    assert passage[100:-100] not in got[0].text + got[1].text and [got[i].n_removed for i in (2, 3)] == [0, 0]
+
+
+def test_buckets_cost_what_occurs():
+    """The entries of a block among a million buckets, whose number alone took seconds before."""
+    r = np.random.default_rng(3)
+    key = r.integers(0, 1 << 60, 2000).astype(np.uint64)
+    one = np.ones(2000, np.int64)
+    began = time.perf_counter()
+    rows = _by_bucket(7, 100_000_000, key, key, one, one, np.arange(2000))
+    assert time.perf_counter() - began < 1 and len(rows) == len({int(k) % 100_000_000 for k in key})
+    kept = [unpack(d, *ENTRY) for _, _, d in rows]
+    assert sorted(int(x) for g in kept for x in g[0]) == sorted(key.tolist()) and [k for _, k, _ in rows] == sorted(k for _, k, _ in rows)
+
+
 def test_the_query_on_a_table(spark):
     d = "/root/testdata/sf0.001"
     rows = spark.read.parquet(f"{d}/documents.parquet").collect()
