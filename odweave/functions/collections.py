@@ -61,21 +61,42 @@ def without_items(items: Column, gone: Sequence, strict: bool = False) -> Column
     return out
 
 
-def combine_maps(df: DataFrame, column: str, order: str, operation: Callable[[Column, Column], Column], by: str | None = None) -> DataFrame:
+def combine_maps(df: DataFrame, column: str, order: str, operation: Callable[[float, float], float], by: str | None = None) -> DataFrame:
     """(key, value): maps of numbers folded key by key in an order; a key that a fold starts with counts from 0.
 
-    The first map's values are taken as they are. A key's values meet in one task, in order, for operations
-    that depend on it; for sums use add_maps, which combines before the shuffle.
+    The first map's values are taken as they are. operation is called with two floats. A table function folds a
+    key's values in their order as they come, and holds one value; for sums use add_maps, which combines before the shuffle.
     """
     keys = [by] if by else []
     entries = df.select(*keys, F.col(order).alias("_o"), F.explode(column).alias("key", "_v"))
     first = df.groupBy(*keys).agg(F.min(order).alias("_first"))
     entries = entries.join(first, keys) if by else entries.join(first)
-    lists = entries.groupBy(*keys, "key").agg(F.array_sort(F.collect_list(F.struct("_o", "_v"))).alias("_l"), F.first("_first").alias("_first"))
-    starts = F.col("_l")[0]["_o"] == F.col("_first")
-    begin = F.when(starts, F.col("_l")[0]["_v"].cast("double")).otherwise(F.lit(0.0))
-    rest = F.when(starts, F.slice("_l", 2, F.size("_l"))).otherwise(F.col("_l"))
-    return lists.select(*keys, "key", F.aggregate(rest, begin, lambda acc, x: operation(acc, x["_v"].cast("double"))).alias("value"))
+    rows = entries.select(*keys, "key", F.col("_v").cast("double").alias("_v"), "_o", (F.col("_o") == F.col("_first")).alias("_begins"))
+    fields = ", ".join(f"`{c}` {entries.schema[c].dataType.simpleString()}" for c in [*keys, "key"])
+    return ordered_fold(operation, [*keys, "key"], fields)(rows.asTable().partitionBy(*keys, "key").orderBy("_o"))
+
+
+def ordered_fold(operation: Callable[[float, float], float], keys: Sequence[str], fields: str):
+    """A table function that folds ``_v`` of the rows of each partition, in order; it begins with the first value where
+    ``_begins`` says so, and from 0 otherwise, and gives (keys, value)."""
+
+    class Fold:
+        def __init__(self):
+            self.keys, self.value = None, None
+
+        def eval(self, row):
+            v = row["_v"]
+            if self.keys is None:
+                self.keys = tuple(row[k] for k in keys)
+                self.value = v if row["_begins"] else operation(0.0, v) if v is not None else None
+            else:
+                self.value = None if v is None or self.value is None else operation(self.value, v)
+
+        def terminate(self):
+            if self.keys is not None:
+                yield (*self.keys, self.value)
+
+    return F.udtf(Fold, returnType=f"{fields}, value double", useArrow=True)
 
 
 def add_maps(df: DataFrame, column: str) -> DataFrame:

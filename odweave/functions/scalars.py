@@ -41,12 +41,24 @@ def starts_with(x: Column, pattern: str) -> Column:
     return x.rlike(f"^(?:{pattern})")
 
 
+#: The characters that a plain name may have.
+NAME_CHARACTERS = "abcdefghijklmnopqrstuvwxyz0123456789!#$%£&-.<=>+^_~()"
+
+
 def normalised_name(name: str) -> str:
-    """A column name in lower case, spaces as underscores and dashes without space, of plain characters only."""
+    """A column name in lower case, spaces as underscores and dashes without space, of NAME_CHARACTERS only."""
     import re
 
     kept = re.sub(r"\s+", "_", re.sub(r"\s*-\s*", "-", name.strip().lower()))
-    return re.sub(r"[^\w\-()]", "", kept, flags=re.ASCII)
+    return "".join(c for c in kept if c in NAME_CHARACTERS)
+
+
+def plain_names(df: DataFrame) -> DataFrame:
+    """df with its columns' names in their plain form; two that become one raise."""
+    names = [normalised_name(c) for c in df.columns]
+    if twice := sorted({n for n in names if names.count(n) > 1}):
+        raise ValueError(f"columns that have the same plain name: {', '.join(twice)}")
+    return df.toDF(*names)
 
 
 def to_numeric(df: DataFrame, column: str, errors: str = "raise", kind: str = "double") -> DataFrame:

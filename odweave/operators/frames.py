@@ -105,12 +105,8 @@ def chunked(df: DataFrame, size: int, key: str, ties: Sequence[str] = ()) -> Dat
 
 
 def chunks(df: DataFrame, size: int, key: str, ties: Sequence[str] = ()) -> Iterator[DataFrame]:
-    """The chunks one after another, each a lazy DataFrame."""
-    # numbered once for all chunks, and kept as long as they are asked for
-    all_ = chunked(df, size, key, ties).persist()
-    try:
-        last = all_.agg(F.max("chunk_id")).first()[0]
-        for i in range(0 if last is None else last + 1):
-            yield all_.filter(F.col("chunk_id") == i).drop("chunk_id")
-    finally:
-        all_.unpersist()
+    """The chunks one after another, each a lazy DataFrame; they are written once, and deleted after the last."""
+    from odweave.sources.storage import Chunks
+
+    with Chunks(df, size, key, ties) as all_:
+        yield from all_

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from odweave.operators.correspondence import Correspondence
 from odweave.operators.distribution import cost_distribution
+from odweave.operators.quantiles import percentiles
 from odweave.operators.translate import clean, total, translate_matrix, translate_vector
 
 OD = ("origin", "destination")
@@ -20,12 +21,12 @@ SHEET, PREFIX = 31, 19
 
 
 def describe(matrix: DataFrame, value: str = "value", almost_zero: float | None = None, accuracy: int | None = None) -> DataFrame:
-    """(statistic, value) of a long matrix, from one aggregate.
+    """(statistic, value) of a long matrix.
 
     Missing cells count only as such, whether they have no row, or null or NaN. almost_zero is the value under which
     a cell is almost zero, by default one over the matrix's size; zeros and negatives are under it. Exact percentiles
-    hold all distinct values in one task; accuracy, for matrices with too many, takes values of the matrix instead whose
-    ranks are off by one in accuracy at most.
+    are found by counting passes over the matrix, which run at once; accuracy takes values of the matrix instead whose
+    ranks are off by one in accuracy at most, from the one aggregate that gives all else.
     """
     v = clean(F.col(value).cast("double"))
     size = F.count_distinct("origin") * F.count_distinct("destination")
@@ -36,13 +37,15 @@ def describe(matrix: DataFrame, value: str = "value", almost_zero: float | None
         sized = sized.join(limit)
     else:
         sized = sized.withColumn("_limit", F.lit(float(almost_zero)))
-    shares = F.array(*[F.lit(q) for q in QUANTILES.values()])
+    shares = list(QUANTILES.values())
+    if accuracy is None:
+        exact = F.array(*[F.lit(p).cast("double") for p in percentiles(sized, "_v", shares)])
     row = sized.agg(
         F.count("_v").cast("double").alias("count"),
         F.avg("_v").alias("mean"),
         F.stddev_samp("_v").alias("std"),
         F.min("_v").alias("min"),
-        (F.percentile("_v", shares) if accuracy is None else F.percentile_approx("_v", shares, accuracy)).alias("_p"),
+        (exact if accuracy is None else F.percentile_approx("_v", shares, accuracy)).alias("_p"),
         F.max("_v").alias("max"),
         F.count_distinct("destination").cast("double").alias("columns"),
         F.count_distinct("origin").cast("double").alias("rows"),
@@ -142,6 +145,8 @@ class MatrixReport:
     value: str = "value"
     #: Whether to warn of zones that the translation leaves out, and of a changed total, which runs jobs.
     check: bool = False
+    #: One over the share by which ranks of percentiles may be off; exact ones take passes of their own.
+    accuracy: int | None = None
     #: What vehicle_kms and length_distribution have been asked for last.
     vkms: DataFrame | None = field(default=None, init=False)
     distribution: DataFrame | None = field(default=None, init=False)
@@ -150,11 +155,11 @@ class MatrixReport:
         self.translated = translate_matrix(self.matrix, self.lookup, value=self.value, check=self.check)
 
     @classmethod
-    def from_file(cls, spark: SparkSession, matrix: str, correspondence: str, **columns) -> MatrixReport:
+    def from_file(cls, spark: SparkSession, matrix: str, correspondence: str, accuracy: int | None = None, **columns) -> MatrixReport:
         """A report on a CSV matrix in long or square form, by a CSV correspondence."""
         from odweave.sources.ingest import read_correspondence, read_matrix
 
-        return cls(read_matrix(spark, matrix), read_correspondence(spark, correspondence, **columns))
+        return cls(read_matrix(spark, matrix), read_correspondence(spark, correspondence, **columns), accuracy=accuracy)
 
     @property
     def sector_matrix(self) -> DataFrame:
@@ -168,8 +173,9 @@ class MatrixReport:
 
     def describe(self) -> DataFrame:
         """Statistics of the matrix and of the translated matrix, its margins included."""
-        own = describe(self.matrix, self.value).withColumnRenamed("value", "matrix")
-        return own.join(describe(self.sector_matrix, self.value).withColumnRenamed("value", "translated_matrix"), "statistic")
+        own = describe(self.matrix, self.value, accuracy=self.accuracy).withColumnRenamed("value", "matrix")
+        other = describe(self.sector_matrix, self.value, accuracy=self.accuracy)
+        return own.join(other.withColumnRenamed("value", "translated_matrix"), "statistic")
 
     def calc_vehicle_kms(self, costs: DataFrame, sectors: Correspondence | None = None) -> DataFrame:
         """Keep and return vehicle-kilometres."""
@@ -193,7 +199,7 @@ class MatrixReport:
     def compare(self, other: MatrixReport, names: tuple[str, str] = ("a", "b")) -> dict[str, DataFrame]:
         """Comparisons of the sector matrices, statistics, trip ends, and what both have of the rest."""
         a, b = names
-        stats = [describe(r.matrix, r.value).withColumnRenamed("value", n) for r, n in ((self, a), (other, b))]
+        stats = [describe(r.matrix, r.value, accuracy=r.accuracy).withColumnRenamed("value", n) for r, n in ((self, a), (other, b))]
         gap = abs_difference(self.matrix, other.matrix, self.lookup, self.value)
         over = self.sector_matrix.select(*OD, F.col(self.value).cast("double").alias("_over"))
         ends = self.trip_ends.join(other.trip_ends.withColumnsRenamed({"row_sum": "row_b", "column_sum": "column_b"}), "zone")

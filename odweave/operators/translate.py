@@ -10,9 +10,9 @@ Missing values count as 0, null zones are left out, repeated keys add up.
 from __future__ import annotations
 
 import warnings
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
@@ -51,6 +51,53 @@ def _keyed(data: DataFrame, zone: str, lookup: Correspondence) -> tuple[DataFram
     return data.withColumn("_zone", F.col(zone).cast(kind)), pairs.withColumn("_from", F.col("_from").cast(kind))
 
 
+class Losses:
+    """What translations leave out, counted by the job that runs them: hand it to check, run the result, and call warn.
+
+    Totals and the zones that lead nowhere are observed where the rows pass; there is no job but the caller's.
+    """
+
+    def __init__(self):
+        self._totals: dict[str, list[tuple[str, Observation]]] = {"before": [], "after": []}
+        self._sides: list[tuple[str, Sequence[str], Observation]] = []
+
+    def total(self, when: str, df: DataFrame, values: Sequence[str]) -> DataFrame:
+        """df, whose totals are observed as those before or after a translation."""
+        seen = Observation()
+        self._totals[when] += [(v, seen) for v in values]
+        return df.observe(seen, F.count(F.lit(1)).alias("_rows"), *[total(v).cast("double").alias(v) for v in values])
+
+    def side(self, joined: DataFrame, zone: str, values: Sequence[str]) -> DataFrame:
+        """Zones left-joined to their pairs, of which those without one are observed."""
+        seen, lost = Observation(), F.col("_from").isNull()
+        self._sides.append((zone, values, seen))
+        sums = [F.coalesce(F.sum(F.when(lost, F.col(v))), F.lit(0)).cast("double").alias(v) for v in values]
+        return joined.observe(seen, F.approx_count_distinct(F.when(lost, F.col("_zone")), 0.005).alias("_zones"), *sums)
+
+    def warn(self, stacklevel: int = 2) -> None:
+        """Warn of zones that lead nowhere and of changed totals; waits for the job that runs the translation."""
+        for zone, values, seen in self._sides:
+            row = seen.get
+            for v in values if row["_zones"] else ():
+                warnings.warn(f"{row['_zones']} values of {zone} lead nowhere; {row[v]} of {v} is left out", stacklevel=stacklevel)
+        for (v, before), (_, after) in zip(self._totals["before"], self._totals["after"], strict=True):
+            a, b = before.get[v], after.get[v]
+            if abs(a - b) > TOLERANCE * max(abs(a), abs(b)):
+                warnings.warn(f"the total of {v} was {a} and is {b} after translation", stacklevel=stacklevel)
+
+
+def _watched(check: bool | Losses) -> Losses | None:
+    return check if isinstance(check, Losses) else Losses() if check else None
+
+
+def _told(out: DataFrame, check: bool | Losses, losses: Losses | None) -> DataFrame:
+    """out, run once for its warnings if check is no Losses of the caller's."""
+    if losses is not None and losses is not check:
+        out.write.format("noop").mode("overwrite").save()
+        losses.warn(4)
+    return out
+
+
 def translate_vector(
     vector: DataFrame,
     lookup: Correspondence,
@@ -58,29 +105,39 @@ def translate_vector(
     values: Sequence[str],
     segments: Sequence[str] = (),
     dtype: str | None = None,
-    check: bool = False,
+    check: bool | Losses = False,
 ) -> DataFrame:
     """Sums of value times factor by target zone, and by segments if there are any.
 
     Without segments every target zone of the lookup has a row, 0 where nothing arrives; with segments only
-    what arrives has one. dtype is the type that values and factors are cast to first. check warns of losses.
+    what arrives has one. dtype is the type that values and factors are cast to first. check runs the translation once
+    and warns of losses; given a Losses, nothing runs, and its warn tells after the caller's own job.
     """
+    losses = _watched(check)
+    if losses:
+        vector = losses.total("before", vector, values)
+    out = _moved(vector, lookup, zone, values, segments, dtype, losses)
+    return _told(losses.total("after", out, values) if losses else out, check, losses)
+
+
+def _moved(vector: DataFrame, lookup: Correspondence, zone: str, values: Sequence[str], segments: Sequence[str], dtype: str | None, losses: Losses | None) -> DataFrame:
     cast = (lambda c: c.cast(dtype)) if dtype else (lambda c: c)
     data, pairs = _keyed(vector, zone, lookup)
     summed = data.filter(F.col("_zone").isNotNull()).groupBy("_zone", *segments).agg(
         *[F.sum(cast(clean(v))).alias(v) for v in values]
     )
-    moved = summed.join(pairs, F.col("_zone") == F.col("_from")).groupBy("_to", *segments)
+    if losses:
+        joined = losses.side(summed.join(pairs, F.col("_zone") == F.col("_from"), "left"), zone, values).filter(F.col("_from").isNotNull())
+    else:
+        joined = summed.join(pairs, F.col("_zone") == F.col("_from"))
+    moved = joined.groupBy("_to", *segments)
     out = moved.agg(*[total(F.col(v) * cast(F.col("_factor"))).alias(v) for v in values])
     for s in segments:
         out = out.filter(F.col(s).isNotNull())
     if not segments:
         out = lookup.targets("_to").join(out, "_to", "left").select("_to", *[F.coalesce(v, F.lit(0)).alias(v) for v in values])
     out = out.withColumnRenamed("_to", lookup.target)
-    out = out.select(lookup.target, *segments, *[cast(F.col(v)).alias(v) for v in values])
-    for v in values if check else ():
-        warn_of_losses(vector, out, {zone: lookup}, v)
-    return out
+    return out.select(lookup.target, *segments, *[cast(F.col(v)).alias(v) for v in values])
 
 
 def translate_matrix(
@@ -93,29 +150,31 @@ def translate_matrix(
     out_names: tuple[str, str] | None = None,
     dtype: str | None = None,
     dense: bool = True,
-    check: bool = False,
+    check: bool | Losses = False,
 ) -> DataFrame:
     """A long matrix by the target zones of lookup (rows) and of columns (the same lookup by default).
 
     dense gives every pair of target zones a row, 0 where nothing arrives; that product is the result's own
-    size. dtype is the type that values and factors are cast to first. check warns of losses on either side.
+    size. dtype is the type that values and factors are cast to first. check warns of losses on either side, as
+    in translate_vector.
     """
+    losses = _watched(check)
     columns = columns or lookup
     names = out_names or (origin, destination)
     if len(names) != 2 or None in names:
         raise ValueError("give both names of the result's zones or none")
-    by_row = translate_vector(matrix.filter(F.col(destination).isNotNull()), lookup, origin, [value], [destination], dtype)
+    if losses:
+        matrix = losses.total("before", matrix, [value])
+    by_row = _moved(matrix.filter(F.col(destination).isNotNull()), lookup, origin, [value], [destination], dtype, losses)
     by_row = by_row.withColumnRenamed(lookup.target, "_row")
-    both = translate_vector(by_row, columns, destination, [value], ["_row"], dtype).withColumnRenamed(columns.target, "_col")
+    both = _moved(by_row, columns, destination, [value], ["_row"], dtype, losses).withColumnRenamed(columns.target, "_col")
     if dense:
         spine = lookup.targets("_row").crossJoin(columns.targets("_col"))
         both = spine.join(both, ["_row", "_col"], "left")
     out = both.select(
         F.col("_row").alias(names[0]), F.col("_col").alias(names[1]), F.coalesce(value, F.lit(0)).alias(value)
     )
-    if check:
-        warn_of_losses(matrix, out, {origin: lookup, destination: columns}, value)
-    return out
+    return _told(losses.total("after", out, [value]) if losses else out, check, losses)
 
 
 def dropped_zones(data: DataFrame, lookup: Correspondence, zone: str, value: str) -> DataFrame:
@@ -137,17 +196,6 @@ def totals(before: DataFrame, after: DataFrame, value: str, tolerance: float = T
     return a.join(b).withColumn("equal", close)
 
 
-def warn_of_losses(before: DataFrame, after: DataFrame, sides: Mapping[str, Correspondence], value: str) -> None:
-    """Warn of the zones of each side that lead nowhere, and of a total that isn't the same; a job for each."""
-    for zone, lookup in sides.items():
-        lost = dropped_zones(before, lookup, zone, value).first()
-        if lost.zones:
-            warnings.warn(f"{lost.zones} values of {zone} lead nowhere; {lost.value} of {value} is left out", stacklevel=3)
-    row = totals(before, after, value).first()
-    if not row.equal:
-        warnings.warn(f"the total of {value} was {row.before} and is {row.after} after translation", stacklevel=3)
-
-
 def require_totals(before: DataFrame, after: DataFrame, value: str, tolerance: float = TOLERANCE) -> DataFrame:
     """after, once its total is known to equal before's; ValueError otherwise."""
     row = totals(before, after, value, tolerance).first()

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from odweave.functions import collections as sets
 from odweave.functions import scalars
-from odweave.operators import distribution, frames, masks, report, reshape, translate
+from odweave.operators import blocks, distribution, frames, masks, quantiles, report, reshape, sketches, temporal, translate
 from odweave.operators.correspondence import Correspondence
 from odweave.plans.base import costs, sectors, table, to_regions, trips, with_tables
-from odweave.sources import generate
+from odweave.sources import archives, generate, storage
+from odweave.sources.shared import shared_folder
+from odweave.streaming.sessions import append_files, stream_sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -520,6 +522,23 @@ def none_like(spark, d):
     )
 
 
+@query('SELECT p_partkey, p_retailprice AS "price_£", p_size AS "size<=50_&_>0", p_retailprice * 0.2 AS "tax_20%_(v1.2)-net" FROM part', False)
+def plain_names(spark, d):
+    """Parts under plain forms of unruly names."""
+    p = table(spark, d, "part")
+    return scalars.plain_names(p.select("p_partkey", F.col("p_retailprice").alias("  Price  £ "), F.col("p_size").alias("Size<=50 & >0"), (F.col("p_retailprice") * 0.2).alias("Tax 20% (v1.2)  -  NET")))
+
+
+SHARES = [0.0, 0.001, 0.05, 0.25, 0.5, 0.75, 0.95, 0.999, 1.0]
+
+
+@query(f"SELECT unnest(CAST({SHARES} AS DOUBLE[])) AS share, round(unnest(quantile_cont(l_extendedprice, {SHARES})), 6) AS price FROM lineitem", False)
+def exact_percentiles(spark, d):
+    """Percentiles of prices by counting passes, with few values left for the last one."""
+    found = quantiles.percentiles(table(spark, d, "lineitem"), "l_extendedprice", SHARES, limit=50, bins=64)
+    return spark.createDataFrame([(s, round(p, 6)) for s, p in zip(SHARES, found, strict=True)], "share double, price double")
+
+
 @query("SELECT p_partkey, TRY_CAST(substr(p_brand, 7) AS DOUBLE) AS number FROM part", False)
 def to_numeric(spark, d):
     """Numbers of brands, null where there is none."""
@@ -538,3 +557,115 @@ def generated_values(spark, d):
     """Random values; tests check their properties."""
     n = 1000
     return generate.table_of(spark, n, 7, {"choice": generate.Choice(["a", "b", "c"], all_values=True), "x": generate.Float(0, 5), "k": generate.Int(3, 9)})
+
+
+# Time
+
+
+@query("""SELECT c.event_id, v.event_id AS view_id, v.value AS view_value FROM (SELECT * FROM events WHERE event_type = 'click') c
+ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON c.user_id = v.user_id AND c.ts >= v.ts""", False)
+def asof_views(spark, d):
+    """The last view of each click's user."""
+    e = table(spark, d, "events")
+    views = e.filter("event_type = 'view'").select("user_id", F.col("ts").alias("view_ts"), F.col("event_id").alias("view_id"), F.col("value").alias("view_value"))
+    return temporal.asof_join(e.filter("event_type = 'click'"), views, "ts", "view_ts", ["user_id"], ["view_id", "view_value"], ["view_id"]).select("event_id", "view_id", "view_value")
+
+
+@query("""SELECT o_orderkey, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids
+FROM (SELECT o_orderkey, o_custkey, TIMESTAMP '2024-01-01' + to_minutes(o_orderkey * 7919 % 43200) AS a, TIMESTAMP '2024-01-01' + to_minutes(o_orderkey * 7919 % 43200 + (o_custkey % 97) * (o_custkey % 97)) AS b FROM orders) o
+JOIN (SELECT event_id, user_id, ts AS x, ts + to_minutes(event_id % 50) AS y FROM events) e ON user_id = o_custkey AND a <= y AND x <= b GROUP BY 1""", False)
+def order_windows(spark, d):
+    """Events whose span meets the time that an order of the same customer is open, from minutes to a week."""
+    start = "TIMESTAMP_NTZ'2024-01-01' + make_dt_interval(0, 0, {})"
+    o = table(spark, d, "orders").selectExpr("o_orderkey", "o_custkey AS user_id", f"{start.format('o_orderkey * 7919 % 43200')} AS a", f"{start.format('o_orderkey * 7919 % 43200 + (o_custkey % 97) * (o_custkey % 97)')} AS b")
+    e = table(spark, d, "events").selectExpr("event_id", "user_id", "ts AS x", "ts + make_dt_interval(0, 0, event_id % 50) AS y")
+    met = temporal.interval_join(o, e, ("a", "b"), ("x", "y"), ["user_id"])
+    return met.groupBy("o_orderkey").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+SESSIONS = """SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM (
+  SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM (
+    SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOURS THEN 0 ELSE 1 END AS new FROM events)) GROUP BY 1, 2"""
+
+
+@query(SESSIONS, False)
+def event_sessions(spark, d):
+    """Sessions of users, each after six hours without an event."""
+    own = temporal.sessions(table(spark, d, "events"), ["user_id"], "ts", 6 * 3600 * 10**6)
+    return own.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+@query(f"SELECT user_id, n, first_ts, last_ts FROM ({SESSIONS}) WHERE last_ts + INTERVAL 6 HOURS < (SELECT max(ts) FROM events) - INTERVAL 1 DAY", False)
+def streamed_sessions(spark, d):
+    """Those sessions that a stream of events has closed, with rows allowed to be a day late."""
+    path, folder = f"{d}/events.parquet", shared_folder(spark, "sessions")
+    # a pattern, as a stream takes no single file otherwise
+    e = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{d}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+    closed = stream_sessions(e, ["user_id"], "ts", "6 hours", "1 day", {"n": F.count("*")})
+    append_files(closed, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    out = spark.read.schema(closed.schema).parquet(f"{folder}/out")
+    return out.select("user_id", "n", F.col("start").cast("timestamp_ntz").alias("first_ts"), F.col("end").cast("timestamp_ntz").alias("last_ts"))
+
+
+# Storage, blocks and sketches
+
+
+@query("SELECT l_orderkey, l_linenumber, l_shipdate, l_quantity FROM lineitem WHERE l_partkey BETWEEN 500 AND 520", False)
+def sorted_range(spark, d):
+    """Lines of some parts, from files in the order of parts."""
+    lines, folder = table(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_shipdate", "l_quantity"), shared_folder(spark, "sorted")
+    storage.write_sorted(lines, folder, ["l_partkey", "l_orderkey"])
+    return spark.read.schema(lines.schema).parquet(folder).filter("l_partkey BETWEEN 500 AND 520").drop("l_partkey")
+
+
+@query("SELECT origin, destination, value FROM sector_trips WHERE value <> 0")
+def blocked_translation(spark, d):
+    """Trips between regions as a product of sparse blocks, the last of which are narrower."""
+    m = blocks.Blocks.of(trips(spark, d), (25, 25), "origin", "destination", side=8)
+    r = blocks.Blocks.of(to_regions(spark, d).table, (25, 5), "from", "to", "factors", side=8)
+    return blocks.translate_blocks(m, r).cells().toDF("origin", "destination", "value")
+
+
+@query("SELECT origin, destination, sum(value) AS value FROM (SELECT a.origin, b.destination, a.value * b.value AS value FROM trips a JOIN trips b ON a.destination = b.origin) GROUP BY 1, 2")
+def blocked_product(spark, d):
+    """Trips of two steps: the matrix by itself."""
+    m = blocks.Blocks.of(trips(spark, d), (25, 25), "origin", "destination", side=7)
+    return (m @ m).cells().toDF("origin", "destination", "value")
+
+
+@query("SELECT vec_id, CAST(d - 1 AS BIGINT) AS place, CAST(embedding[d] AS DOUBLE) AS x FROM (SELECT vec_id, embedding, unnest(generate_series(1, len(embedding))) AS d FROM embeddings) WHERE vec_id >= 100 AND d > 20", False)
+def array_chunks(spark, d):
+    """A part of the array of all vectors, from the chunks that hold it."""
+    e = table(spark, d, "embeddings")
+    n = e.agg(F.max("vec_id")).first()[0] + 1
+    cells = e.select("vec_id", F.posexplode("embedding").alias("place", "x"))
+    made = blocks.ArrayChunks.of(cells, ["vec_id", "place"], "x", (n, 64), (300, 24))
+    return made.section([(100, n), (20, 64)]).cells(["vec_id", "place"], "x").filter("vec_id >= 100 AND place >= 20")
+
+
+@query("""SELECT c_nationkey, count(*) AS n, CAST(sum(c_custkey) FILTER (c_custkey % 70 <> 0) AS BIGINT) AS keys,
+count(*) FILTER (c_custkey % 50 = 0) AS bad_balance, count(*) FILTER (c_custkey % 70 = 0) AS bad_key FROM customer GROUP BY 1""", False)
+def archive_rejects(spark, d):
+    """Customers in an archive for each nation, some with cells that are no numbers, read with what is rejected."""
+    c, folder = table(spark, d, "customer"), shared_folder(spark, "archives")
+    key = F.when(F.col("c_custkey") % 70 == 0, F.concat(F.lit("no. "), "c_custkey")).otherwise(F.col("c_custkey").cast("string"))
+    balance = F.when(F.col("c_custkey") % 50 == 0, F.lit("n/a")).otherwise(F.col("c_acctbal").cast("string"))
+    own = c.select("c_nationkey", key.alias("key"), balance.alias("balance"), F.concat("c_name", F.lit(', "the customer"')).alias("name"))
+    for k, suffix in enumerate((".zip", ".tar.xz", ".tar")):
+        archives.write_members(own.filter(F.col("c_nationkey") % 3 == k), folder, "c_nationkey", suffix, 40).count()
+    got = archives.typed(archives.read_members(spark, folder), {"c_nationkey": "bigint", "key": "bigint", "balance": "double"})
+    bad = lambda x: F.count_if(F.exists("rejected", lambda r: r["column"] == x)).alias(f"bad_{x}")
+    return got.groupBy("c_nationkey").agg(F.count("*").alias("n"), F.sum("key").alias("keys"), bad("balance"), bad("key"))
+
+
+@query("""SELECT r."to" AS zone, count(DISTINCT o_custkey) AS customers, true AS within_bound FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
+JOIN orders ON l_orderkey = o_orderkey JOIN regions r ON r."from" = s_nationkey GROUP BY 1""")
+def zone_sketches(spark, d):
+    """Customers of each region's suppliers: exact, and whether sketches by nation and year, merged, come near enough."""
+    lines = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lookup, own = to_regions(spark, d), lines.select(F.col("s_nationkey").alias("nation"), F.year("o_orderdate").alias("year"), "o_custkey")
+    by_year = sketches.distinct_sketches(own, ["nation", "year"], "o_custkey")
+    near = sketches.translated(sketches.merged(by_year, ["nation"]), lookup, "nation").select("to", sketches.estimate().alias("near"))
+    exact = own.join(lookup.pairs(), F.col("nation") == F.col("_from")).groupBy(F.col("_to").alias("to")).agg(F.count_distinct("o_custkey").alias("customers"))
+    within = F.abs(F.col("near") - F.col("customers")) <= F.col("customers") * sketches.error_bound()
+    return exact.join(near, "to").select(F.col("to").alias("zone"), "customers", within.alias("within_bound"))

@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from odweave.functions.scalars import normalised_name
+from odweave.functions.scalars import normalised_name, plain_names
 from odweave.operators.correspondence import Correspondence
 from odweave.operators.reshape import square_zones, wide_to_long
-from odweave.operators.translate import translate_matrix, translate_vector
+from odweave.operators.translate import Losses, translate_matrix, translate_vector
+from odweave.sources.archives import ARCHIVES, LINE, MEMBER, inferred, read_members, strict_cast
+from odweave.sources.storage import write_sorted
 
-#: Suffixes that Spark reads, in the order in which they are tried.
-SUFFIXES = (".csv", ".csv.gz", ".csv.bz2", ".gz", ".bz2")
+#: Suffixes of files that can be read, in the order in which they are tried.
+SUFFIXES = (".csv", ".csv.gz", ".csv.bz2", ".gz", ".bz2", ".zip", ".xz", ".zst", ".tar", ".tar.gz", ".tar.xz", ".tar.bz2")
 #: First column names that a long matrix's header starts with.
 ORIGIN_NAMES = ("o", "origin", "p", "production", "productions")
 
@@ -43,28 +45,37 @@ def read_csv(
     """A CSV file's columns, by name or place, in given types.
 
     normalise brings names to their plain form, in which columns and types are given then; two that become one
-    raise. A value that isn't of its type raises when it is read; bad_values tells which columns hold such. similar
-    takes a local file of the same stem with another suffix if there is no such file.
+    raise. A value that isn't of its type raises when it is read, with its column's name; bad_values counts such.
+    Archives, and compressed files that Spark has no codec for, are read member by member. similar takes a local file
+    of the same stem with another suffix if there is no such file.
     """
     path = str(find_similar(path)) if similar else path
-    raw = spark.read.option("header", True).option("inferSchema", types is None).csv(path)
+    raw = _strings(spark, path) if path.lower().endswith(ARCHIVES) else spark.read.option("header", True).option("inferSchema", types is None).csv(path)
+    if types is None and path.lower().endswith(ARCHIVES):
+        raw = inferred(raw)
     if normalise:
-        names = [normalised_name(c) for c in raw.columns]
-        if twice := sorted({n for n in names if names.count(n) > 1}):
-            raise ValueError(f"columns that have the same plain name: {', '.join(twice)}")
-        raw = raw.toDF(*names)
+        raw = plain_names(raw)
     if normalise and (odd := [c for c in [*(columns or []), *(types or {})] if isinstance(c, str) and c != normalised_name(c)]):
         raise ValueError(f"names that aren't in their plain form: {', '.join(odd)}")
     wanted = [raw.columns[c] if isinstance(c, int) else c for c in columns] if columns is not None else raw.columns
     if lacking := [c for c in [*wanted, *(types or {})] if c not in raw.columns]:
         raise MissingColumnsError(name or path, lacking)
     types = types or {}
-    return raw.select(*[F.col(f"`{c}`").cast(types[c]).alias(c) if c in types else F.col(f"`{c}`") for c in wanted])
+    return raw.select(*[strict_cast(c, types[c], name or path) if c in types else F.col(f"`{c}`") for c in wanted])
+
+
+def _strings(spark: SparkSession, path: str) -> DataFrame:
+    """The cells of a CSV file or archive as strings; a line that has another number of cells than the header raises in an archive."""
+    if not path.lower().endswith(ARCHIVES):
+        return spark.read.option("header", True).csv(path)
+    raw = read_members(spark, path)
+    said = F.concat(F.lit(f"a line of {path} doesn't fit its header: "), F.col(LINE))
+    return raw.filter(F.when(F.col(LINE).isNotNull(), F.raise_error(said).cast("boolean")).otherwise(True)).drop(MEMBER, LINE)
 
 
 def bad_values(spark: SparkSession, path: str, types: Mapping[str, str]) -> DataFrame:
     """(column, n): values of a CSV file that can't be read as their column's type."""
-    raw = spark.read.option("header", True).csv(path)
+    raw = _strings(spark, path)
     row = raw.agg(*[F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast(t).isNull()).alias(c) for c, t in types.items()])
     return row.unpivot([], list(types), "column", "n").filter("n > 0")
 
@@ -72,14 +83,16 @@ def bad_values(spark: SparkSession, path: str, types: Mapping[str, str]) -> Data
 def read_matrix(spark: SparkSession, path: str, form: str | None = None, header: bool | None = None, similar: bool = False) -> DataFrame:
     """(origin, destination, value) from a CSV file, long (three columns) or square (more, the first of zones).
 
-    Unless told, a square file has a header, and a long one has if its first line begins as one. Ids become integers
+    Unless told, a square file has a header, and a long one has if its first line begins as one; members of archives
+    always have. Ids become integers
     if all can; zones on one side only warn and get null cells. similar is as in read_csv.
     """
     path = str(find_similar(path)) if similar else path
-    if header is None:
+    archive = path.lower().endswith(ARCHIVES)
+    if header is None and not archive:
         first = spark.read.text(path).first()
         header = first is None or len(first[0].split(",")) != 3 or has_header(first[0])
-    raw = spark.read.option("header", header).csv(path)
+    raw = _strings(spark, path) if archive else spark.read.option("header", header).csv(path)
     form = form or ("long" if len(raw.columns) == 3 else "square" if len(raw.columns) > 3 else None)
     if form not in ("long", "square"):
         raise ValueError("a matrix file has three columns at least")
@@ -116,11 +129,17 @@ def read_correspondence(
     return Correspondence(table.toDF("from", "to", "factors")) if generic else Correspondence(table, names[0], names[1], "factors")
 
 
-def write_csv(df: DataFrame, path: str, attempts: int = 5, wait: float = 1.0) -> None:
-    """Write a table as CSV with a header; a refused permission is tried again a few times."""
+def write_csv(df: DataFrame, path: str, attempts: int = 5, wait: float = 1.0, order: Sequence[str] = ()) -> None:
+    """Write a table as CSV with a header; a refused permission is tried again a few times.
+
+    With an order, files hold ranges of it one after another, and their rows are sorted.
+    """
     for n in range(attempts):
         try:
-            df.write.mode("overwrite").option("header", True).csv(path)
+            if order:
+                write_sorted(df, path, order, form="csv")
+            else:
+                df.write.mode("overwrite").option("header", True).csv(path)
             return
         except Exception as e:
             # the JVM's refusals come as errors of Spark
@@ -130,20 +149,24 @@ def write_csv(df: DataFrame, path: str, attempts: int = 5, wait: float = 1.0) ->
             time.sleep(wait)
 
 
-def translate_vector_file(spark: SparkSession, vector: str, correspondence: str, out: str, zone: str | int = 0, **columns) -> None:
-    """A CSV vector's numeric columns, translated into another CSV."""
+def translate_vector_file(spark: SparkSession, vector: str, correspondence: str, out: str, zone: str | int = 0, check: bool = False, **columns) -> None:
+    """A CSV vector's numeric columns, translated into another CSV. check warns of losses, as the writing job saw them."""
     raw, lookup = read_csv(spark, vector), read_correspondence(spark, correspondence, **columns)
     zone = raw.columns[zone] if isinstance(zone, int) else zone
     values = [f.name for f in raw.schema if f.name != zone and isinstance(f.dataType, NumericType)]
     if not values:
         warnings.warn("the vector has no columns of numbers", stacklevel=2)
         return
-    write_csv(translate_vector(raw, lookup, zone, values), out)
+    losses = Losses() if check else None
+    write_csv(translate_vector(raw, lookup, zone, values, check=losses or False), out)
+    if losses:
+        losses.warn(3)
 
 
 def translate_matrix_file(spark: SparkSession, matrix: str, correspondence: str, out: str, **columns) -> None:
-    """A CSV matrix in long or square form, translated into a long CSV."""
-    write_csv(translate_matrix(read_matrix(spark, matrix), read_correspondence(spark, correspondence, **columns)), out)
+    """A CSV matrix in long or square form, translated into a long CSV in the order of its zones."""
+    moved = translate_matrix(read_matrix(spark, matrix), read_correspondence(spark, correspondence, **columns))
+    write_csv(moved, out, order=["origin", "destination"])
 
 
 def require_file(path: str | Path) -> Path:

@@ -8,22 +8,37 @@ from pyspark.sql import functions as F
 
 from odweave.functions import collections as sets
 from odweave.functions import scalars
-from odweave.operators import distribution, frames, masks, report, reshape, translate
+from odweave.operators import distribution, frames, masks, quantiles, report, reshape, translate
 from odweave.operators.correspondence import Correspondence
 from odweave.sources import generate, ingest
 from odweave.streaming.translation import stream_translation
 
 
+FACTORS = {(1, 7): 0.25, (1, 8): 0.75, (2, 7): 1.0, (3, 8): 0.5, (3, 9): 0.125, (3, 7): 0.375, (4, 9): 1.0}
+
+
 @pytest.fixture
 def lookup(spark):
-    rows = [(1, 1, 0.5), (1, 3, 0.5), (2, 1, 0.25), (2, 2, 0.5), (2, 3, 0.25), (3, 2, 1.0), (4, 1, 0.5), (4, 3, 0.5), (5, 1, 0.25), (5, 2, 0.5), (5, 3, 0.25)]
-    return Correspondence(spark.createDataFrame(rows, "from int, to int, factors double"))
+    return Correspondence(spark.createDataFrame([(a, b, f) for (a, b), f in FACTORS.items()], "from int, to int, factors double"))
+
+
+def moved(cells):
+    """Cells {(row, column): value} by the target zones of FACTORS on both sides, in plain Python."""
+    out = {(a, b): 0.0 for a in (7, 8, 9) for b in (7, 8, 9)}
+    for (i, j), v in cells.items():
+        for (p, a), f in FACTORS.items():
+            for (q, b), g in FACTORS.items():
+                if (p, q) == (i, j):
+                    out[a, b] += v * f * g
+    return out
 
 
 def test_vector(spark, lookup):
-    v = spark.createDataFrame(list(zip(range(1, 6), [8.0, 2.0, 8.0, 8.0, 5.0], strict=True)) + [(9, 7.0), (None, 3.0), (1, float("nan"))], "zone int, v double")
+    values = {1: 16.0, 2: 3.0, 3: 24.0, 4: 0.5}
+    v = spark.createDataFrame([*values.items(), (9, 7.0), (None, 3.0), (1, float("nan"))], "zone int, v double")
+    want = {z: sum(values[a] * f for (a, b), f in FACTORS.items() if b == z) for z in (7, 8, 9)}
     out = {r.to: r.v for r in translate.translate_vector(v, lookup, "zone", ["v"]).collect()}
-    assert out == {1: 9.75, 2: 11.5, 3: 9.75}
+    assert out == want
     lost = translate.dropped_zones(v.filter("zone IS NOT NULL"), lookup, "zone", "v").first()
     assert (lost.zones, lost.value) == (1, 7.0)
     with pytest.raises(ValueError, match="total"):
@@ -40,10 +55,12 @@ def test_empty_targets(spark):
 
 
 def test_matrix(spark, lookup):
-    m = [[4, 2, 3, 1, 1], [2, 8, 3, 6, 6], [5, 5, 6, 5, 9], [4, 3, 3, 6, 8], [8, 4, 8, 8, 1]]
-    df = reshape.from_array(spark, np.array(m, float), {"origin": range(1, 6), "destination": range(1, 6)})
-    out, _ = reshape.to_array(translate.translate_matrix(df, lookup), ["origin", "destination"], "value")
-    assert out.tolist() == [[9.6875, 11.625, 9.6875], [16.875, 23.25, 16.875], [9.6875, 11.625, 9.6875]]
+    cells = {(i, j): float(8 * i - 3 * j * (i != j)) for i in range(1, 5) for j in range(1, 5)}
+    df = spark.createDataFrame([(i, j, v) for (i, j), v in cells.items()], "origin int, destination int, value double")
+    out = translate.translate_matrix(df, lookup).collect()
+    assert {(r.origin, r.destination): r.value for r in out} == moved(cells)
+    array, zones = reshape.to_array(translate.translate_matrix(df, lookup), ["origin", "destination"], "value")
+    assert zones == {"origin": [7, 8, 9], "destination": [7, 8, 9]} and array.sum() == sum(cells.values())
 
 
 def test_correspondence_checks(spark, lookup):
@@ -58,11 +75,14 @@ def test_correspondence_checks(spark, lookup):
 
 
 def test_distribution(spark):
-    trips, cost = [26, 43, 5, 8, 18, 51, 35, 39, 32, 37], [77, 74, 53, 60, 94, 65, 13, 79, 39, 75]
-    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(trips, cost, strict=True)], "trips double, cost double")
-    d = distribution.Distribution.of(df, [0, 5, 10, 20, 40, 75, 100]).checked()
-    assert d.values("trips") == [0, 0, 35, 32, 107, 120] and len(d) == 6
-    assert [round(x, 4) for x in d.values("weighted_avg")] == [2.5, 7.5, 13, 39, 69.5625, 81.6265]
+    cells = [(float(3 * k % 11), float(k * k % 60)) for k in range(40)]
+    edges = [0, 5, 10, 20, 45, 60]
+    d = distribution.Distribution.of(spark.createDataFrame(cells, "trips double, cost double"), edges).checked()
+    bins = list(zip(edges, edges[1:], strict=False))
+    assert d.values("trips") == [sum(t for t, c in cells if a <= c < b) for a, b in bins] and len(d) == 5
+    for got, (a, b) in zip(d.values("weighted_avg"), bins, strict=True):
+        own = [(t, c) for t, c in cells if a < c <= b and t]
+        assert got == pytest.approx(sum(t * c for t, c in own) / sum(t for t, _ in own))
     assert d.convergence(d) == 1 and d.residuals(d).agg(F.sum("trips_residual")).first()[0] == 0
     edge = spark.createDataFrame([(1.0, float(c)) for c in range(6)] + [(1.0, float("nan")), (1.0, None)], "trips double, cost double")
     e = distribution.cost_distribution(edge, [0, 2, 4]).orderBy("bin").collect()
@@ -83,6 +103,33 @@ def test_masks_and_report(spark):
     assert {(r.origin, r.destination): r.value for r in report.margins(m).collect()}["sum", "sum"] == 300
 
 
+@pytest.mark.parametrize(("limit", "bins"), [(20_000, 1024), (3, 8), (1, 2)])
+def test_exact_percentiles(spark, limit, bins):
+    r = np.random.default_rng(4)
+    shares = [0, 0.01, 0.05, 0.25, 1 / 3, 0.5, 0.95, 0.999, 1]
+    wild = [-1e300, -3.0, -1e-300, 0.0, 5e-324, 1e-12, 1.0, 1.0 + 2**-52, 1.0 + 2**-51, 1e16, 1e16 + 2, 1.7e308]
+    for values in (r.normal(size=3000).tolist(), r.integers(0, 5, 500).astype(float).tolist(), wild, [4.0], [2.0] * 50):
+        df = spark.createDataFrame([(v,) for v in [*values, None, float("nan")]], "v double").repartition(3)
+        n, found = quantiles.rank_values(df, "v", range(0, len(values), max(1, len(values) // 40)), limit, bins)
+        assert n == len(values) and found == {k: sorted(values)[k] for k in found} and len(found) >= min(len(values), 40)
+        if values is not wild:
+            assert quantiles.percentiles(df, "v", shares, limit, bins) == pytest.approx(np.quantile(values, shares).tolist(), rel=1e-13)
+    assert quantiles.percentiles(df.limit(0), "v", [0.5]) == [None]
+
+
+def test_percentiles_of_more_values_than_a_task_takes(spark, monkeypatch):
+    """No stage of the search holds more rows of a value each than LIMIT or BINS."""
+    df = spark.range(100_000).select(F.pmod(F.xxhash64("id"), F.lit(10**9)).cast("double").alias("value"), F.col("id").alias("origin"), F.lit(1).alias("destination"))
+    values = np.sort(df.toPandas().value.to_numpy())
+    monkeypatch.setattr(quantiles, "LIMIT", 100)
+    seen, collect = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: seen.append(collect(self)) or seen[-1])
+    n, found = quantiles.rank_values(df, "value", [49_999], limit=100, bins=64)
+    assert n == 100_000 and found == {49_999: values[49_999]} and max(map(len, seen)) <= 100
+    stats = {r.statistic: r.value for r in report.describe(df).collect()}
+    assert [stats["p95"], stats["p50"]] == pytest.approx(np.quantile(values, [0.95, 0.5]).tolist(), rel=1e-13)
+
+
 def test_reshape(spark):
     long = spark.createDataFrame([(1, 3, "b"), (2, 4, "b")], "a int, b int, c string")
     out = {(r.a, r.b): r.c for r in reshape.product_infill(long, ["a", "b"], "z").collect()}
@@ -115,6 +162,8 @@ def test_scalars_and_sets(spark):
     assert scalars.to_numeric(df, "s", "ignore").schema["s"].dataType.typeName() == "string"
     assert [r[0] for r in df.select(scalars.is_none_like(F.col("s"))).collect()] == [False, False, True, True]
     assert spark.range(1).select(scalars.duration(F.lit(3_723_000))).first()[0] == "1hrs 2m 3.00s"
+    assert all(scalars.normalised_name(f"A {c}B") == f"a_{c}b" for c in "!#$%£&.<=>+^_~()") and scalars.normalised_name("a*b/c:d;e@f'g?[h]ü") == "abcdefgh"
+    assert [scalars.normalised_name(c) for c in ("Share %", "v1.2 (km)", "Cost £", " A -  b ")] == ["share_%", "v1.2_(km)", "cost_£", "a-b"]
     assert scalars.normalised_name(" integer - NUMBER   ") == "integer-number" and scalars.normalised_name("Float    NUM (km)") == "float_num_(km)"
     maps = spark.createDataFrame([(i, m) for i, m in enumerate([{"a": 1, "b": 2, "c": 3}, {"a": 4, "b": 5, "c": 6}, {"a": 7, "b": 8, "c": 9}])], "i int, m map<string,int>")
     fold = lambda op: {r.key: r.value for r in sets.combine_maps(maps, "m", "i", op).collect()}
