@@ -5,9 +5,10 @@ each group is packed longest piece first: a segment tree over remaining capaciti
 window that takes the piece, or a new one is opened.
 
 Defined results: a null text is an empty one and still has its end token; repeated rows and null ids are
-documents of their own; an empty table gives no pieces. Groups are partitions of the shuffle; a group costs
-24 bytes a piece in its task. Its windows are as full as that many pieces allow: some hundred documents
-leave under 1 % of padding.
+documents of their own; an empty table gives no pieces. The number of groups follows the input, so that a group, which
+costs 24 bytes a piece in its task (and the ids, if they are kept), has about PIECES_PER_GROUP pieces at most; pieces
+are dealt by document, place and content, so that rows without an id meet only if their texts are the same. A group's
+windows are as full as its pieces allow: some hundred documents leave under 1 % of padding.
 Ids are integers: they are cast, and one that can't be raises.
 """
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,10 @@ from odweave.llm.bpe import word_bpe
 
 WINDOW = 4096
 END = 2
+#: Pieces of a group at most, about, and so many that its windows are full: with more pieces, Spark's own number of
+#: partitions decides between the two.
+PIECES_PER_GROUP = 1_000_000
+ENOUGH = 5_000
 #: Most sequences of a group, so that (group, sequence) is one integer.
 PER_GROUP = 1 << 40
 
@@ -108,8 +114,8 @@ def cut(docs: DataFrame, raw: bytes, id_col: str, text_col: str, window: int, en
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, schema)
 
 
-def pack_pieces(pieces: DataFrame, id_col: str, window: int) -> DataFrame:
-    """pieces with ``sequence_id`` and ``offset``, packed within each partition of a shuffle."""
+def pack_pieces(pieces: DataFrame, id_col: str, window: int, groups: int) -> DataFrame:
+    """pieces with ``sequence_id`` and ``offset``, packed within each of some groups: the partitions of a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -125,7 +131,7 @@ def pack_pieces(pieces: DataFrame, id_col: str, window: int) -> DataFrame:
         yield from t.combine_chunks().to_batches()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return pieces.repartition(F.xxhash64(id_col, "start")).mapInArrow(run, f"{fields}, sequence_id long, offset long")
+    return pieces.repartition(groups, F.xxhash64(id_col, "start", "ids_crc32", "doc_tokens")).mapInArrow(run, f"{fields}, sequence_id long, offset long")
 
 
 def pack_documents(
@@ -138,4 +144,8 @@ def pack_documents(
     keep_ids: bool = False,
 ) -> DataFrame:
     """Every piece of every document with its sequence and its offset there; raw is a tokenizers file."""
-    return pack_pieces(cut(docs, raw, id_col, text_col, window, end, keep_ids), id_col, window)
+    size, rows = docs.agg(F.sum(F.octet_length(text_col)), F.count("*")).first()
+    # a document makes one piece, and one more for each window; a token has two bytes at least, but for odd texts
+    most = rows + (size or 0) // (2 * window)
+    groups = max(1, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), most // ENOUGH), ceil(most / PIECES_PER_GROUP))
+    return pack_pieces(cut(docs, raw, id_col, text_col, window, end, keep_ids), id_col, window, groups)

@@ -60,6 +60,22 @@ def test_word_ids_match_the_library():
         assert WordBpe(WORDS, specials).encode(texts) == want
 
 
+def test_groups_follow_the_input(documents, monkeypatch):
+    rows = [(None if i % 3 else i, f"words {i} and more " * (i % 40)) for i in range(600)]
+    groups = []
+    for most, enough in ((1_000_000, 5_000), (40, 5_000), (1_000_000, 300)):
+        monkeypatch.setattr(packing, "PIECES_PER_GROUP", most)
+        monkeypatch.setattr(packing, "ENOUGH", enough)
+        got = packing.pack_documents(documents(rows), WORDS, window=256).collect()
+        groups.append(len({r.sequence_id // packing.PER_GROUP for r in got}))
+        assert len({r.doc_id for r in got}) == 201 and sum(r.length for r in got) == sum(r.doc_tokens for r in got if r.start == 0)
+        fill = {}
+        for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+            assert r.offset == fill.get(r.sequence_id, 0)
+            fill[r.sequence_id] = r.offset + r.length
+    assert groups[0] == 1 and groups[1] > 10 and 1 < groups[2] <= 4
+
+
 def test_packing_takes_special_tokens_as_the_untouched_library(documents):
     texts = ["a b <|endoftext|> c d", "<|startoftext|>", "plain", "", None]
     library = Tokenizer.from_str(WORDS.decode())
