@@ -6,7 +6,7 @@ import warnings
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -31,6 +31,19 @@ class Correspondence:
         if not isinstance(kind, NumericType):
             raise ValueError(f"factors must be numbers, not {kind.simpleString()}")
 
+    @classmethod
+    def accepted(cls, given: Correspondence | DataFrame | str, spark: SparkSession | None = None) -> Correspondence:
+        """A correspondence as it is; a table with its first three columns, or the path of a CSV file, with a DeprecationWarning."""
+        if isinstance(given, cls):
+            return given
+        warnings.warn("give a Correspondence, not a table or a path", DeprecationWarning, stacklevel=3)
+        if isinstance(given, DataFrame):
+            names = ("from", "to", "factors") if {"from", "to", "factors"} <= set(given.columns) else tuple(given.columns[:3])
+            return cls(given, *names)
+        from odweave.sources.ingest import read_correspondence
+
+        return read_correspondence(spark, str(given))
+
     def checked(self) -> Correspondence:
         """Itself, after one aggregate over the table: null or negative factors raise, sums over 1 warn."""
         f = F.col(self.factor)

@@ -176,6 +176,11 @@ class Distribution:
         """From trips and costs."""
         return cls(cost_distribution(trips, edges, value, cost))
 
+    @classmethod
+    def dynamic(cls, trips: DataFrame, value: str = "trips", cost: str = "cost", **edges) -> Distribution:
+        """From trips and costs, with edges made from the highest cost; edges are log_edges' power, factor and final."""
+        return cls(dynamic_distribution(trips, value, cost, **edges))
+
     @classmethod
     def read(cls, spark: SparkSession, path: str, **columns: str) -> Distribution:
         """From a CSV file; columns maps min, max, avg, trips and weighted_avg to the file's names."""

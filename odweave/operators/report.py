@@ -239,3 +239,9 @@ def write_frames(frames: dict[str, DataFrame], folder: str, prefix: str = "") ->
         out.append(f"{folder.rstrip('/')}/{full.replace(' ', '_')}")
         df.write.mode("overwrite").parquet(out[-1])
     return out
+
+
+def compare_and_write(a: MatrixReport, b: MatrixReport, folder: str, names: tuple[str, str] = ("a", "b"), prefix: str = "") -> dict[str, str]:
+    """Compare two reports and write each comparison under its name; the folders' paths by name."""
+    frames = a.compare(b, names)
+    return dict(zip(frames, write_frames(frames, folder, prefix), strict=True))

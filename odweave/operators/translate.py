@@ -100,7 +100,7 @@ def _told(out: DataFrame, check: bool | Losses, losses: Losses | None) -> DataFr
 
 def translate_vector(
     vector: DataFrame,
-    lookup: Correspondence,
+    lookup: Correspondence | DataFrame | str,
     zone: str,
     values: Sequence[str],
     segments: Sequence[str] = (),
@@ -113,7 +113,7 @@ def translate_vector(
     what arrives has one. dtype is the type that values and factors are cast to first. check runs the translation once
     and warns of losses; given a Losses, nothing runs, and its warn tells after the caller's own job.
     """
-    losses = _watched(check)
+    losses, lookup = _watched(check), Correspondence.accepted(lookup, vector.sparkSession)
     if losses:
         vector = losses.total("before", vector, values)
     out = _moved(vector, lookup, zone, values, segments, dtype, losses)
@@ -142,8 +142,8 @@ def _moved(vector: DataFrame, lookup: Correspondence, zone: str, values: Sequenc
 
 def translate_matrix(
     matrix: DataFrame,
-    lookup: Correspondence,
-    columns: Correspondence | None = None,
+    lookup: Correspondence | DataFrame | str,
+    columns: Correspondence | DataFrame | str | None = None,
     origin: str = "origin",
     destination: str = "destination",
     value: str = "value",
@@ -159,7 +159,10 @@ def translate_matrix(
     in translate_vector.
     """
     losses = _watched(check)
-    columns = columns or lookup
+    lookup = Correspondence.accepted(lookup, matrix.sparkSession)
+    columns = lookup if columns is None else Correspondence.accepted(columns, matrix.sparkSession)
+    if extra := [c for c in matrix.columns if c not in (origin, destination, value)]:
+        warnings.warn(f"columns that a matrix doesn't have, and that are left out: {', '.join(extra)}", stacklevel=2)
     names = out_names or (origin, destination)
     if len(names) != 2 or None in names:
         raise ValueError("give both names of the result's zones or none")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import getpass
 import logging
+import os
 import platform
 import re
 import subprocess
@@ -27,6 +28,11 @@ def describe_commit(folder: str | Path = ".") -> str | None:
     return run.stdout.strip() or None
 
 
+#: A semantic version: three numbers, then what comes before it, then its build.
+_PART, _NUMBER = r"[0-9A-Za-z-]+", r"(0|[1-9]\d*)"
+VERSION = rf"{_NUMBER}\.{_NUMBER}\.{_NUMBER}(-{_PART}(\.{_PART})*)?(\+{_PART}(\.{_PART})*)?"
+
+
 @dataclass
 class Tool:
     """A program's name and version."""
@@ -36,6 +42,10 @@ class Tool:
     homepage: str | None = None
     commit: str | None = field(default_factory=describe_commit)
 
+    def __post_init__(self):
+        if not re.fullmatch(VERSION, self.version):
+            raise ValueError(f"{self.version!r} is no semantic version, like 1.2.3 or 1.2.3-rc.1+build")
+
 
 @dataclass
 class System:
@@ -47,11 +57,15 @@ class System:
     system: str
     machine: str
     spark: str | None = None
+    cpus: int | None = None
+    memory_gb: float | None = None
 
     @classmethod
     def load(cls, spark=None) -> System:
         """This one."""
-        return cls(getpass.getuser(), platform.node(), platform.python_version(), platform.platform(), platform.machine(), spark.version if spark else None)
+        memory = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") if hasattr(os, "sysconf") else 0
+        here = getpass.getuser(), platform.node(), platform.python_version(), platform.platform(), platform.machine()
+        return cls(*here, spark.version if spark else None, os.cpu_count(), round(memory / 1e9, 1) or None)
 
 
 @dataclass(frozen=True)

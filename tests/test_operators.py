@@ -303,3 +303,54 @@ def test_files_without_header_and_checks(spark, tmp_path):
     with pytest.raises(Exception, match="not negative"):
         spark.range(1).select(scalars.duration(F.lit(-5))).collect()
     assert spark.range(1).select(scalars.clock("yyyy", F.lit("2024-05-06").cast("timestamp")), scalars.milliseconds(F.lit("1970-01-02").cast("timestamp"))).first() == ("2024", 86_400_000)
+
+
+def test_given_tables_and_extra_columns(spark, lookup, tmp_path):
+    v = spark.createDataFrame([(1, 4.0), (2, 2.0)], "zone int, v double")
+    want = sorted(map(tuple, translate.translate_vector(v, lookup, "zone", ["v"]).collect()))
+    with pytest.warns(DeprecationWarning):
+        assert sorted(map(tuple, translate.translate_vector(v, lookup.table, "zone", ["v"]).collect())) == want
+    with pytest.warns(DeprecationWarning):
+        assert Correspondence.accepted(lookup.table.toDF("a", "b", "c")).target == "b"
+    (tmp_path / "c.csv").write_text("a,b,c\n" + "".join(f"{i},{j},{f}\n" for (i, j), f in FACTORS.items()))
+    with pytest.warns(DeprecationWarning):
+        assert sorted(map(tuple, translate.translate_vector(v, str(tmp_path / "c.csv"), "zone", ["v"]).collect())) == want
+    m = spark.createDataFrame([(1, 2, 4.0, "x", 1)], "origin int, destination int, value double, note string, n int")
+    with pytest.warns(UserWarning, match="left out: note, n"):
+        assert translate.translate_matrix(m, lookup).columns == ["origin", "destination", "value"]
+
+
+def test_files_by_name_and_distributions(spark, tmp_path):
+    for n in ("m.csv.gz", "m.csv", "m.txt", "other.csv"):
+        (tmp_path / n).write_text("")
+    with pytest.warns(UserWarning, match="3 files are called m"):
+        assert ingest.find_named(tmp_path, "m", [".zip", ".csv", ".csv.gz"]).name == "m.csv"
+    assert ingest.find_named(tmp_path, "other", [".csv"]).name == "other.csv"
+    with pytest.raises(FileNotFoundError):
+        ingest.find_named(tmp_path, "none", [".csv"])
+    (tmp_path / "d.csv").write_text("lo,max,avg,trips,weighted_avg\n5,10,7.5,3,8\n0,5,2.5,1,2\n")
+    d = distribution.Distribution.read(spark, str(tmp_path / "d.csv"), min="lo")
+    assert d.edges == [0, 5, 10] and d.values("trips") == [1, 3] and d.shares == [0.25, 0.75]
+    other = d.with_trips([2, 2])
+    assert other.values("trips") == [2, 2] and other.values("weighted_avg") == [2, 8] and d.values("trips") == [1, 3]
+    assert [r.trips_residual for r in d.residuals(other).orderBy("bin").collect()] in ([-1, 1], [1, -1])
+    with pytest.raises(ValueError, match="2 bins and 1"):
+        d.with_trips([1])
+    cells = spark.createDataFrame([(float(i % 3), float(i)) for i in range(100)], "trips double, cost double")
+    own = distribution.Distribution.dynamic(cells, final=300)
+    assert own.edges == distribution.log_edges(99, final=300) and sum(own.values("trips")) == 99
+
+
+def test_items_that_one_side_lacks(spark):
+    a, b = (spark.createDataFrame([(x,) for x in xs], "k int") for xs in ([1, 2, 3], [3, 4]))
+    left, right = sets.missing_items(a, b, "k")
+    assert sorted(r.item for r in left.collect()) == [1, 2] and [r.item for r in right.collect()] == [4]
+    with pytest.raises(ValueError, match="several times"):
+        sets.missing_items(a.union(a), b, "k")
+
+
+def test_comparison_written_at_once(spark, lookup, tmp_path):
+    a, b = (report.MatrixReport(spark.createDataFrame([(i, j, float(i * j + k)) for i in range(1, 5) for j in range(1, 5)], "origin int, destination int, value double"), lookup) for k in (0, 1))
+    paths = report.compare_and_write(a, b, str(tmp_path), ("one", "two"))
+    assert {"one matrix", "two matrix", "cells", "stats", "Trip Ends"} <= set(paths)
+    assert spark.read.parquet(paths["cells"]).filter("difference <> 0").count() > 0
