@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from math import prod
@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from odweave.operators.reshape import positions
 from odweave.operators.translate import clean
 
 #: Rows and columns of a block.
@@ -173,3 +174,30 @@ class ArrayChunks:
         """The chunks that hold cells of a part, given as (first, end) along each axis; others aren't read."""
         fits = [F.col(f"c{k}").between(a // self.chunk[k], (b - 1) // self.chunk[k]) for k, (a, b) in enumerate(ranges)]
         return ArrayChunks(self.table.filter(reduce(lambda x, y: x & y, fits)), self.shape, self.chunk, self.fill)
+
+
+def chunks_of_keys(
+    data: DataFrame, keys: Sequence[str], value: str, chunk: Sequence[int], maps: Mapping[str, Sequence] | None = None, fill: float = float("nan")
+) -> tuple[ArrayChunks, dict[str, DataFrame]]:
+    """The array of a table over the values of its keys, in given lists or in order, and the place (key, position) of each value.
+
+    to_array's result for arrays of any size: neither cells nor keys come to the driver, only how many keys there are.
+    """
+    spark = data.sparkSession
+    given = lambda k: spark.createDataFrame([(v, i) for i, v in enumerate(maps[k])], [k, "position"]).select(F.col(k).cast(data.schema[k].dataType), F.col("position").cast("bigint"))
+    places = {k: given(k) if maps and k in maps else positions(data, k).withColumn("position", F.col("position").cast("bigint")) for k in keys}
+    shape = [max(1, p.count()) for p in places.values()]
+    axes = [f"_i{n}" for n in range(len(keys))]
+    own = data.select(*keys, value)
+    for axis, (k, p) in zip(axes, places.items(), strict=True):
+        own = own.join(p.withColumnRenamed("position", axis), k)
+    return ArrayChunks.of(own.select(*axes, value), axes, value, shape, chunk, fill), places
+
+
+def keys_of_chunks(chunks: ArrayChunks, places: Mapping[str, DataFrame], value: str = "value", filled: bool = False) -> DataFrame:
+    """A row for each cell of an array's chunks, with the keys of its places."""
+    axes = [f"_i{n}" for n in range(len(places))]
+    out = chunks.cells(axes, value, filled)
+    for axis, (k, p) in zip(axes, places.items(), strict=True):
+        out = out.join(p.withColumnRenamed("position", axis), axis)
+    return out.select(*places, value)

@@ -133,7 +133,7 @@ def to_array(data: DataFrame, keys: Sequence[str], value: str, maps: Mapping[str
     maps = {k: list(maps[k]) if maps and k in maps else [r[0] for r in positions(data, k).orderBy("position").collect()] for k in keys}
     shape = tuple(len(v) for v in maps.values())
     if (cells := int(np.prod(shape, dtype=np.float64))) > DENSE_CELLS:
-        raise ValueError(f"an array of {cells} cells is too large for the driver; use to_coordinates")
+        raise ValueError(f"an array of {cells} cells is too large for the driver; use to_coordinates, or blocks.chunks_of_keys")
     out = np.full(shape, fill)
     got = to_coordinates(data, keys, value, maps).toPandas()
     out[tuple(got[f"i{n}"].to_numpy() for n in range(len(keys)))] = got[value]

@@ -133,6 +133,20 @@ def test_chunked_arrays(spark, fill):
         blocks.ArrayChunks.of(df, ["a", "b", "c"], "v", (6, 10, 4), (3, 4, 9)).table.collect()
 
 
+def test_arrays_over_keys_of_any_size(spark, monkeypatch):
+    from odweave.operators import reshape
+
+    monkeypatch.setattr(reshape, "DENSE_CELLS", 10)
+    rows = [("b", 30, 1.5), ("a", 10, 2.0), ("c", 20, 3.0), ("c", 30, 0.0), (None, 10, 9.0)]
+    df = spark.createDataFrame(rows, "k string, n int, v double")
+    with pytest.raises(ValueError, match="chunks_of_keys"):
+        reshape.to_array(df.union(spark.createDataFrame([("d", 40, 1.0)], df.schema)), ["k", "n"], "v")
+    chunks, places = blocks.chunks_of_keys(df, ["k", "n"], "v", (2, 2))
+    assert chunks.shape == (3, 3) and sorted(map(tuple, blocks.keys_of_chunks(chunks, places, "v").collect())) == sorted(rows[:4])
+    chunks, places = blocks.chunks_of_keys(df, ["k", "n"], "v", (5, 5), {"k": ["c", "x"]}, fill=0.0)
+    assert chunks.shape == (2, 3) and [tuple(r) for r in blocks.keys_of_chunks(chunks, places, "v").collect()] == [("c", 20, 3.0)]
+
+
 CSV = 'id,name,x\n1,"a, b",0.5\n2,"two\nlines",n/a\nbad line\n,,\n3,é,7\n'
 
 
