@@ -74,6 +74,16 @@ class Losses:
         sums = [F.coalesce(F.sum(F.when(lost, F.col(v))), F.lit(0)).cast("double").alias(v) for v in values]
         return joined.observe(seen, F.approx_count_distinct(F.when(lost, F.col("_zone")), 0.005).alias("_zones"), *sums)
 
+    def lost(self, zone: str) -> tuple[int, dict[str, float]]:
+        """(zones that lead nowhere, what is lost of each value) of the sides by this column; waits for the job."""
+        rows = [(seen.get, values) for name, values, seen in self._sides if name == zone]
+        return sum(r["_zones"] for r, _ in rows), {v: sum(r[v] for r, values in rows if v in values) for _, values in rows for v in values}
+
+    def totals(self, value: str) -> tuple[float, float]:
+        """(before, after) of a value over all translations; waits for the job."""
+        before, after = (sum(seen.get[v] for v, seen in self._totals[k] if v == value) for k in ("before", "after"))
+        return before, after
+
     def warn(self, stacklevel: int = 2) -> None:
         """Warn of zones that lead nowhere and of changed totals; waits for the job that runs the translation."""
         for zone, values, seen in self._sides:

@@ -669,3 +669,6 @@ def zone_sketches(spark, d):
     exact = own.join(lookup.pairs(), F.col("nation") == F.col("_from")).groupBy(F.col("_to").alias("to")).agg(F.count_distinct("o_custkey").alias("customers"))
     within = F.abs(F.col("near") - F.col("customers")) <= F.col("customers") * sketches.error_bound()
     return exact.join(near, "to").select(F.col("to").alias("zone"), "customers", within.alias("within_bound"))
+
+
+from odweave.plans import files as _files  # noqa: E402, F401  registers its queries
