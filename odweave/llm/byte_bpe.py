@@ -8,7 +8,7 @@ position. A block sends a word once, so a frequent word has as many entries as t
 compressed lists of words or ids, not single ones: a row for each pre-token would be many times the input.
 Decoding looks each id up in the token-byte table, whose size is the vocabulary's.
 
-Defined results: null and empty texts have no ids; repeated rows and null ids stay; a text of any length is
+Defined results: columns but the id and the text aren't read, and may have any name; null and empty texts have no ids; repeated rows and null ids stay; a text of any length is
 in one block. A block is what a task reads one after another, twice: once for its words and once for its
 texts. Both readings carry a checksum of the texts, and a difference between them (an input whose order
 changes between attempts, which files don't) stops the job; write such an input as a table first.
@@ -176,7 +176,8 @@ def encode(docs: DataFrame, raw: bytes, pattern: str, id_col: str = "doc_id", te
 
 
 def decode(encoded: DataFrame, raw: bytes, pattern: str, ids_col: str = "ids") -> DataFrame:
-    """encoded with ``decoded``: the bytes of each id from the token-byte table."""
+    """encoded with ``decoded``: the bytes of each id from the token-byte table. A column of that name is replaced."""
+    encoded = encoded.drop("decoded")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

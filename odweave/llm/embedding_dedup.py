@@ -8,7 +8,7 @@ counted in the first table in which it meets.
 
 Links may be missed (recall is measured in the tests and stated in the README), never invented.
 
-Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with
+Defined results: columns but the id and the vector aren't read, and may have any name; vectors that are null, empty, zero, or hold null or non-finite components link with
 nothing, and neither do rows with a null id (their component is null); rows that repeat an id are vectors of
 their own, with the id as their name; vectors of different length link with nothing; an empty table gives an
 empty table.

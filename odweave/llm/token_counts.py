@@ -6,7 +6,7 @@ searches its block for separators in one array comparison, and gives their numbe
 lengths between them. A prefix scan over a file's blocks, one row each, gives every block the number of
 documents before it and where the open one began, which stitches documents that cross blocks.
 
-Defined results: null and empty texts have 0 tokens; the separator isn't counted; repeated rows and null ids
+Defined results: columns but the id and the text aren't read, and may have any name; null and empty texts have 0 tokens; the separator isn't counted; repeated rows and null ids
 are documents of their own; tokens behind a file's last separator belong to no document; an empty table makes
 no files.
 Ids are integers: they are cast, and one that can't be raises.

@@ -5,7 +5,7 @@ stands, and emits candidates: a place, its record's successor, and, by jumping p
 the first successor outside it. Pointer jumping over these from each file's start then keeps the places
 that are reachable. Magic inside a payload is never reached, as its record isn't anyone's successor.
 
-Defined results: null html is an empty payload; a null url is written empty; of rows with the same
+Defined results: columns but these three aren't read, and may have any name; null html is an empty payload; a null url is written empty; of rows with the same
 payload, all with the largest page_id are responses (repeated rows included) and the others revisit it; a
 null page_id is smaller than any; line breaks in a url become spaces; an empty table makes no archive.
 """
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from odweave.llm.common import attempt_name, file_system, scratch, written
+from odweave.llm.common import attempt_name, file_system, remove, scratch, written
 
 MAGIC = b"WARC/1.0\r\n"
 #: Bytes of a block that one task reads, of an archive before the next is begun, and of a header's first read.
@@ -65,7 +65,7 @@ def with_roles(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     Payloads meet by digest and size only. The pages that revisit another are joined back: their number is
     counted first, and they are broadcast only up to BROADCAST_ROWS.
     """
-    body = F.coalesce(F.col("html"), F.lit(""))
+    pages, body = pages.select("page_id", "url", "html"), F.coalesce(F.col("html"), F.lit(""))
     keys = pages.select("page_id", F.sha1(body).alias("_sha1"), F.octet_length(body).alias("_size")).filter(
         F.col("_size") >= min_bytes
     )
@@ -261,6 +261,8 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
 
 
 def archive_round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Write pages (page_id, url, html) as archives into the shared folder and read all records back."""
+    """Write pages (page_id, url, html) as archives into the shared folder and read all records back; the archives then go."""
     folder = scratch(pages.sparkSession, "warc")
-    return read_archives(write_archives(with_roles(pages, min_bytes), folder), folder)
+    records = read_archives(write_archives(with_roles(pages, min_bytes), folder), folder)
+    remove(pages.sparkSession, folder)  # the records are written as a table
+    return records
