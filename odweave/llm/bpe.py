@@ -10,7 +10,7 @@ import os
 import numpy as np
 
 #: Chunks, and words, whose ids a worker remembers before it forgets them all and begins anew.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 
 _built: dict[tuple, object] = {}
 
