@@ -73,22 +73,22 @@ def asof_join(
     own = F.struct(ticks(right, right_time).alias("_t"), *[F.col(f"`{c}`").alias(f"_tie{i}") for i, c in enumerate(ties)], *[F.col(f"`{c}`").alias(f"_x{i}") for i, c in enumerate(take)])
     b = right.select(*named(right), ticks(right, right_time).alias("_t"), own.alias("_r"))
     known = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in ["_t", *keys]])
-    both = a.withColumn("_r", F.lit(None).cast(b.schema["_r"].dataType)).unionByName(b.filter(known), allowMissingColumns=True)
-    bounds = cuts(both.filter(known), "_t", ranges)
+    lone = a.filter(~known).select("_l.*", *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in take])
+    both = a.filter(known).withColumn("_r", F.lit(None).cast(b.schema["_r"].dataType)).unionByName(b.filter(known), allowMissingColumns=True)
+    bounds = cuts(both, "_t", ranges)
     both = both.withColumn("_range", range_of(t, bounds))
     of = [*keys, "_range"]
     order = [F.col(f"_r._tie{i}") for i in range(len(ties))]
     # rows of right come before those of left at the same time
     past = Window.partitionBy(*of).orderBy(t, F.col("_l").isNotNull(), *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = both.withColumn("_own", F.last("_r", ignorenulls=True).over(past)).filter("_l IS NOT NULL").drop("_r")
-    last = both.filter(known).groupBy(*of).agg(F.max_by("_r", F.when(F.col("_l").isNull(), F.struct("_t", *order))).alias("_last"))
+    last = both.groupBy(*of).agg(F.max_by("_r", F.when(F.col("_l").isNull(), F.struct("_t", *order))).alias("_last"))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     carried = last.select(*of, F.last("_last", ignorenulls=True).over(before).alias("_carried"))
-    found = F.coalesce("_own", "_carried")
-    joined = seen.join(carried, of, "left").withColumn("_m", F.when(known, found))
+    joined = seen.join(carried, of, "left").withColumn("_m", F.coalesce("_own", "_carried"))
     if tolerance is not None:
         joined = joined.withColumn("_m", F.when(t - F.col("_m._t") <= tolerance, F.col("_m")))
-    return joined.select("_l.*", *[F.col(f"_m._x{i}").alias(c) for i, c in enumerate(take)])
+    return joined.select("_l.*", *[F.col(f"_m._x{i}").alias(c) for i, c in enumerate(take)]).unionByName(lone)
 
 
 def _cells(df: DataFrame, levels: Column, side: str) -> DataFrame:
