@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -109,6 +112,13 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def give_back() -> None:
+    """Return memory that this process has freed to the system, where its C library can."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def attempt_name() -> str:
     """A name for a file of this task attempt: an attempt that is lost or repeated leaves others' files alone."""
     from pyspark import TaskContext

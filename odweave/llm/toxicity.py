@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from odweave.llm.common import written
+from odweave.llm.common import give_back, written
 
 #: Characters of an n-gram.
 SIZES = (4, 5, 6)
@@ -202,10 +202,12 @@ def _minimise(loss, p: np.ndarray) -> np.ndarray:
             step /= 2
         else:
             return p
-        s, y = -step * q, g2 - g
-        p = p + s
-        if s @ y > 1e-14:
-            past.append((s.astype(np.float32), y.astype(np.float32)))
+        # in place, as each of these arrays has a place for every feature
+        q *= -step
+        p += q
+        np.subtract(g2, g, out=g)
+        if q @ g > 1e-14:
+            past.append((q.astype(np.float32), g.astype(np.float32)))
         small = abs(f - f2) < 1e-6
         f, g = f2, g2
         if small:
@@ -225,7 +227,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     first = int(np.frombuffer(flat.buffers()[1], "<i4", 1, 4 * flat.offset)[0])
     index = np.frombuffer(flat.buffers()[2], "<u4", pc.sum(chosen["n"]).as_py(), first)
     weights, bias = fit(index, chosen["n"].to_numpy(), chosen["toxic"].to_numpy())
-    return np.concatenate([[bias], weights.ravel()]).astype("<f4").tobytes()
+    model = np.concatenate([np.float32([bias]), weights.ravel()]).astype("<f4", copy=False).tobytes()
+    del rows, sizes, within, chosen, flat, index, weights
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
