@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from odweave.llm.common import discard, written
 
 SCALE = 256
+#: Pivots at most; there are no more than blocks.
 PIVOTS = 32
 #: Rows from which pivots are chosen, and passes that move a pivot to the mean of its rows.
 SAMPLE = 1024
@@ -90,7 +91,8 @@ def integer_vectors(rows: DataFrame, id_col: str, label_col: str, vector_col: st
 class Space:
     """The augmented space of vectors of all lengths: its largest square, and pivots for each length."""
 
-    def __init__(self, most: float, sample: list[tuple[int, bytes]]):
+    def __init__(self, most: float, sample: list[tuple[int, bytes]], pivots: int = PIVOTS):
+        self.count = min(pivots, PIVOTS)
         self.bounded, self.most = bool(np.isfinite(most)), most if np.isfinite(most) else 0.0
         self.pivots = {d: self._chosen(self.lifted(_matrix([v for k, v in sample if k == d], d))) for d in {d for d, _ in sample}}
 
@@ -99,11 +101,10 @@ class Space:
         last = np.sqrt(np.maximum(0, self.most - (x * x).sum(1))) if self.bounded else np.zeros(len(x))
         return np.column_stack([x, last])
 
-    @staticmethod
-    def _chosen(x: np.ndarray) -> np.ndarray:
+    def _chosen(self, x: np.ndarray) -> np.ndarray:
         """Rows far from each other, moved to the means of the rows that are nearest to them."""
         at, far = [0], np.linalg.norm(x - x[0], axis=1)
-        while len(at) < PIVOTS and far.max() > 0:
+        while len(at) < self.count and far.max() > 0:
             at.append(int(far.argmax()))
             far = np.minimum(far, np.linalg.norm(x - x[at[-1]], axis=1))
         p = x[at]
@@ -158,7 +159,8 @@ def indexed(rows: DataFrame, space: Space, count: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids)], names=[*b.schema.names, "block"])
 
     schema = "uid long, vec_id long, label long, dim int, vector binary, pivot int, key double"
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(count / ROWS))
+    own = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(own, ceil(count / block)), ceil(count / ROWS))
     keys = ["dim", "pivot", "key", "vec_id", "uid"]
     made = rows.select(*names).mapInArrow(keyed, schema)
     return made.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).mapInArrow(cut, schema + ", block long")
@@ -295,7 +297,7 @@ def hard_negatives(
     all_ = written(integer_vectors(own, "vec_id", "label", "vector"), "integers")
     count, most = all_.agg(F.count("*"), F.max("square")).first()
     sample = all_.select("dim", "vector").orderBy(F.xxhash64("uid"), "uid").limit(SAMPLE).collect()
-    space = Space(most or 0.0, [(r["dim"], bytes(r["vector"])) for r in sample])
+    space = Space(most or 0.0, [(r["dim"], bytes(r["vector"])) for r in sample], ceil(count / BLOCK))
     index = written(indexed(all_, space, count), "index")
     places = index.groupBy("block").agg(F.first("dim"), F.first("pivot"), F.min("key"), F.max("key")).collect()  # bounded by BLOCKS
     blocks = Blocks(space, [tuple(r) for r in places])
