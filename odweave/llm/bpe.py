@@ -9,8 +9,10 @@ import os
 
 import numpy as np
 
-#: Chunks, and words, whose ids a worker remembers before it forgets them all and begins anew.
-REMEMBERED = 150_000
+#: Chunks whose ids a worker remembers before it forgets them all and begins anew.
+REMEMBERED = 300_000
+#: Characters of texts whose chunks are looked up together, and most new chunks that are encoded in one call.
+TOGETHER, CALL = 1 << 20, 20_000
 
 _built: dict[tuple, object] = {}
 
@@ -45,13 +47,14 @@ class ByteBpe:
 class WordBpe:
     """A vocabulary of the tokenizers library that drops white space and never merges across it.
 
-    Words are merged by tiktoken, which is several times faster on words that are new. Its input marks a
-    word's end by a byte that UTF-8 lacks; that byte joins the one before it ahead of all merges, which gives
-    the vocabulary's word-end symbols, and merges follow in the vocabulary's order. A merge's two sides are
-    what earlier merges make of them, so that rank by result and rank by pair choose the same merges.
+    Words are merged by tiktoken, which is several times faster on words that are new, and many of them in one
+    call. Its input marks a word's end by a letter that lower-cased text lacks; that byte joins the one before it
+    ahead of all merges, which gives the vocabulary's word-end symbols, and merges follow in the vocabulary's order.
+    A merge's two sides are what earlier merges make of them, so that rank by result and rank by pair choose the
+    same merges. A space between chunks is a word of its own here, whose rank tells where a chunk ends.
     """
 
-    MARK = 255
+    MARK, SPACE = "Z", 32
 
     def __init__(self, raw: bytes, specials: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -67,36 +70,49 @@ class WordBpe:
         vocab, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
         chars = byte_alphabet()
         back = {c: b for b, c in chars.items()}
-        to_bytes = lambda t: bytes(back[c] for c in t.removesuffix(suffix)) + bytes([self.MARK]) * t.endswith(suffix)
-        ranks = {bytes([b, self.MARK]): b for b in range(256)} | {bytes([b]): 256 + b for b in range(256)}
+        mark = self.MARK.encode()
+        to_bytes = lambda t: bytes(back[c] for c in t.removesuffix(suffix)) + mark * t.endswith(suffix)
+        ranks = {bytes([b]) + mark: b for b in range(256)} | {bytes([b]): 256 + b for b in range(256)}
         ids = [vocab[chars[b] + suffix] for b in range(256)] + [vocab[chars[b]] for b in range(256)]
         for m in spec["model"]["merges"]:
             a, b = m.split(" ") if isinstance(m, str) else m
-            ranks[to_bytes(a + b)] = len(ids)
-            ids.append(vocab[a + b])
-        self.piece = tiktoken.Encoding("own", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.id_bytes = [np.array([i], "<u4").tobytes() for i in ids]
-        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+            if self.MARK not in a + b:  # in lower-cased text none else occurs
+                ranks[to_bytes(a + b)] = len(ids)
+                ids.append(vocab[a + b])
+        marked = f"[^{self.MARK}]+{self.MARK}"
+        self.words = tiktoken.Encoding("own", pat_str=marked, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+        self.ids = np.array(ids, "<u4")
+        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] + "| ").findall
         #: Characters beyond ASCII whose lower case and normal form are the same to Python and to the library
         #: aren't odd: Latin letters but those with an irregular case, and the punctuation around dashes.
         self.odd = regex.compile("[^\x21-\x7e\xa1-\xff\u0100-\u012f\u0131\u0139-\u0148\u014a-\u017e\u2010-\u2027]").search
         self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _chunk(self, chunk: str) -> bytes:
-        if not chunk.isascii() and self.odd(chunk):
-            return self._whole(chunk)
-        out = []
-        for p in self.split(chunk.lower()):
-            got = self.pieces.get(p)
-            if got is None:
-                got = b"".join(map(self.id_bytes.__getitem__, self.piece(p.encode() + b"\xff")))
-                self.pieces[p] = got
-            out.append(got)
-        return b"".join(out)
+    def _learn(self, new: list[str]) -> None:
+        """Remember the ids of chunks."""
+        beyond = [c for c in new if not c.isascii()]
+        odd = {c for c in beyond if self.odd(c)} if self.odd("".join(beyond)) else ()
+        self.chunks.update((c, self._whole(c)) for c in odd)
+        rest = [c for c in new if c not in odd] if odd else new
+        for k in range(0, len(rest), CALL):
+            part = rest[k : k + CALL]
+            words = self.words(self.MARK.join(self.split(" ".join(part).lower())) + self.MARK, disallowed_special=())
+            ends, data = [*np.flatnonzero(words == self.SPACE).tolist(), len(words)], self.ids[words].tobytes()
+            self.chunks.update((c, data[4 * x + 4 : 4 * y]) for c, x, y in zip(part, [-1, *ends], ends, strict=False))
+
+    def _join(self, out: list[bytes], held: list[tuple[int, list[str]]]) -> None:
+        """Put the ids of texts, given as chunks, at their places."""
+        if len(self.chunks) > REMEMBERED:
+            self.chunks.clear()
+        occur = set().union(*[c for _, c in held])
+        self._learn([c for c in occur if c not in self.chunks])
+        # a small table of what occurs here is looked up faster than the large one
+        ids = {c: self.chunks[c] for c in occur}
+        for at, chunks in held:
+            out[at] = b"".join(map(ids.__getitem__, chunks))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers.
@@ -105,23 +121,18 @@ class WordBpe:
         at U+001C to U+001F, which the library takes for ordinary characters: texts that hold one go to the
         library whole, and so do those with a name of an added token.
         """
-        out = []
+        out, held, size = [], [], 0
         for t in texts:
             if any(map(t.__contains__, ("\x1c", "\x1d", "\x1e", "\x1f", *self.names))):
                 out.append(self._whole(t))
                 continue
-            if len(self.chunks) > REMEMBERED:
-                self.chunks.clear()
-            if len(self.pieces) > REMEMBERED:
-                self.pieces.clear()
-            chunks = t.split()
-            got = list(map(self.chunks.get, chunks))
-            if None in got:
-                for i, g in enumerate(got):
-                    if g is None:
-                        c = chunks[i]
-                        got[i] = self.chunks[c] = self.chunks.get(c) or self._chunk(c)
-            out.append(b"".join(got))
+            held.append((len(out), t.split()))
+            out.append(b"")
+            size += len(t)
+            if size >= TOGETHER:
+                self._join(out, held)
+                held, size = [], 0
+        self._join(out, held)
         return out
 
 

@@ -145,3 +145,15 @@ def test_byte_bpe_ids_of_32_bits(documents):
     out = byte_bpe.decode(byte_bpe.encode(docs, ranks, PATTERN), ranks, PATTERN).collect()
     assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in out} == {1: [b * 300 for b in "abc é".encode()], 2: []}
     assert {r.doc_id: bytes(r.decoded) for r in out} == {1: "abc é".encode(), 2: b""}
+
+
+def test_new_words_are_encoded_together():
+    texts = [f"New{i}a's Öl{i} ZZ''s {'zZ' * (i % 5)} x-{i} 日{i} \x00{i}" for i in range(300)]
+    own, calls = WordBpe(WORDS, "ids"), []
+    native = own.words
+    own.words = lambda *a, **b: calls.append(a) or native(*a, **b)
+    library = Tokenizer.from_str(WORDS.decode())
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == want
+    assert len(calls) == 1
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == want and len(calls) == 1
