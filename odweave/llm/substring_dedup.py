@@ -6,9 +6,9 @@
 2. All entries of a key meet in one bucket. Windows whose key stands once in the corpus are unique, unless it stands
    twice inside a segment. A key's only content that stands several times repeats as a whole. What is left, several contents of one key, is
    to be sorted, and one block sends the bytes of each such content.
-3. A bucket's task joins whole keys to shards of SHARD bytes, builds each shard's suffix array by induced
-   sorting, and reads repeats off the permuted common prefixes; contents that stand several times repeat
-   themselves. Runs of repeated windows go back to the blocks, which remove the bytes that they cover.
+3. A bucket's task joins whole keys to shards of SHARD bytes, leaves out windows whose hash stands once in a shard,
+   builds the suffix array of the others by induced sorting, and reads repeats off the permuted common prefixes;
+   contents that stand several times repeat themselves. Runs of repeated windows go back to the blocks, which remove the bytes that they cover.
 
 A key with more than HOT contents (the edge of a passage that very many documents share) would make a large
 shard. Its windows are counted one by one first, each under its own hash, and its segments are cut down to
@@ -387,19 +387,34 @@ def pieces(texts: DataFrame, live: DataFrame, text_col: str, length: int, bucket
 
 
 def repeats(contents: list[bytes], several: np.ndarray, length: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(starts, lengths) of the runs of repeated windows of each distinct content of a shard, by its suffix array."""
+    """(starts, lengths) of the runs of repeated windows of each distinct content of a shard, by its suffix array.
+
+    A window whose hash no other of the shard has is unique; the array is that of the runs of the other windows.
+    """
     data = BREAK.join(contents) + BREAK
     sizes = np.fromiter(map(len, contents), np.int64, len(contents))
     begin = np.cumsum(sizes + 1) - sizes - 1
-    prefixes, before = common_prefixes(data, suffix_array(data))
-    inside = np.zeros(len(data) + 1, np.int32)  # windows that a content holds whole
-    inside[begin] += 1
-    np.add.at(inside, begin + sizes - length + 1, -1)
-    whole = np.cumsum(inside)[:-1] > 0
-    found = np.flatnonzero(whole & (prefixes >= length))
+    own = ranges(begin, sizes - length + 1)  # windows that a content holds whole
+    whole = np.zeros(len(data), bool)
+    whole[own] = True
+    value = _each_window(np.frombuffer(data, np.uint8), length)[own]
+    order = np.argsort(value)
+    same = value[order[1:]] == value[order[:-1]]
+    likely = np.zeros(len(data), bool)
+    likely[own[order[1:][same]]] = True
+    likely[own[order[:-1][same]]] = True
     again = np.zeros(len(data), bool)
-    again[found] = True
-    again[before[found]] = True
+    edge = np.flatnonzero(np.diff(likely, prepend=False, append=False))
+    if len(edge):
+        start, count = edge[::2], edge[1::2] - edge[::2]
+        part = BREAK.join([data[x : x + n + length - 1] for x, n in zip(start.tolist(), count.tolist(), strict=True)]) + BREAK
+        prefixes, before = common_prefixes(part, suffix_array(part))
+        inner = ranges(np.cumsum(count + length) - count - length, count)
+        found = inner[prefixes[inner] >= length]
+        twice = np.zeros(len(part), bool)
+        twice[found] = True
+        twice[before[found]] = True
+        again[ranges(start, count)] = twice[inner]
     at = np.repeat(np.arange(len(contents)), sizes + 1)
     again |= whole & several[at]
     edge = np.flatnonzero(np.diff(again, prepend=False, append=False))

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from odweave.llm import queries
+from odweave.llm import queries, substring_dedup
 from odweave.llm.substring_dedup import ENTRY, _by_bucket, remove_repeats, unpack
 from odweave.llm.suffix_array import common_prefixes, suffix_array
 
@@ -151,3 +151,19 @@ def test_edges(spark, documents):
     assert out.columns.count("kept") == 1
     assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in out.collect()) == [(0, 600, 600), (7, 600, 600), (7, 600, 600), (8, 0, 0), (9, 0, 0)]
     assert remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_unique_windows_are_not_sorted(monkeypatch):
+    rng, sorted_bytes = np.random.default_rng(3), []
+    text = lambda n: rng.integers(97, 123, n, np.uint8).tobytes()
+    shared, own = text(60), [text(300) for _ in range(40)]
+    contents = [*own, own[0][:100] + shared + text(80), text(90) + shared, b"ab" * 40, text(30)]
+    several = np.array([False] * (len(contents) - 1) + [True])
+    make = substring_dedup.suffix_array
+    monkeypatch.setattr(substring_dedup, "suffix_array", lambda data: sorted_bytes.append(len(data)) or make(data))
+    windows = Counter(c[i : i + 20] for c in contents for i in range(len(c) - 19))
+    for c, twice, (start, size) in zip(contents, several, substring_dedup.repeats(contents, several, 20), strict=True):
+        got = {i for x, n in zip(start.tolist(), size.tolist(), strict=True) for i in range(x, x + n)}
+        assert got == {i for i in range(len(c) - 19) if twice or windows[c[i : i + 20]] > 1}
+    assert sum(sorted_bytes) < sum(map(len, contents)) / 10
+    assert [len(x) for x, _ in substring_dedup.repeats(own, np.zeros(40, bool), 20)] == [0] * 40
