@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from odweave.functions import collections as sets
 from odweave.functions import scalars
@@ -206,15 +207,16 @@ def chunks_counted(spark, d):
     """Each customer with the size of its chunk, chunk by chunk."""
     from odweave.sources.storage import Chunks
 
-    sizes = []
-    with Chunks(table(spark, d, "customer").select("c_custkey"), 400, "c_custkey") as parts:
-        for part in parts:
-            n = part.count()
-            sizes.append(part.withColumn("n", F.lit(n).cast("long")))
-        folder = shared_folder(spark, "counted")
-        for s in sizes:
-            s.write.mode("append").parquet(folder)
-    return spark.read.parquet(folder)
+    def counted(chunk):
+        import pyarrow as pa
+
+        return chunk.append_column("n", pa.array([len(chunk)] * len(chunk), pa.int64()))
+
+    c, folder = table(spark, d, "customer").select("c_custkey"), shared_folder(spark, "counted")
+    schema = StructType([*c.schema.fields, StructField("n", LongType())])
+    with Chunks(c, 400, "c_custkey") as parts:
+        parts.each(counted, schema).write.parquet(folder)
+    return spark.read.schema(schema).parquet(folder)
 
 
 @query("SELECT n_regionkey AS sector, CAST(count(*) AS BIGINT) AS n FROM nation GROUP BY 1", False)

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from odweave.operators.frames import chunked
 from odweave.sources.shared import remove_folder, shared_folder
 
 #: Bytes of a row group of sorted files; footers hold the least and largest key of each.
 ROW_GROUP = 8 << 20
+#: Rows of a folder of chunks, about.
+FOLDER_ROWS = 1 << 17
 
 
 def write_sorted(df: DataFrame, path: str, keys: Sequence[str], files: int | None = None, row_group: int = ROW_GROUP, form: str = "parquet") -> None:
@@ -41,18 +44,23 @@ def write_bucketed(df: DataFrame, name: str, by: Sequence[str], buckets: int) ->
 class Chunks:
     """The runs of size rows of an ordered table, each a DataFrame of its own, written once and read by its number.
 
-    Iterating gives the chunks in order; each read touches its own folder only. close, or leaving a with block, deletes
+    Iterating gives the chunks in order; each costs a job, and reads from one folder only. Small chunks share a folder,
+    whose file is in their order. each runs a function on all chunks in one job. close, or leaving a with block, deletes
     them.
     """
 
     def __init__(self, df: DataFrame, size: int, key: str, ties: Sequence[str] = ()):
         self.spark, self.folder = df.sparkSession, shared_folder(df.sparkSession, "chunks")
         all_ = chunked(df, size, key, ties)
+        self.shared = max(1, FOLDER_ROWS // size)
+        all_ = all_.withColumn("chunk_ids", F.floor(F.col("chunk_id") / self.shared))
         self.schema = all_.schema
-        all_.repartition("chunk_id").write.partitionBy("chunk_id").parquet(self.folder)
-        stored = self.spark.read.schema(self.schema).parquet(self.folder)
-        last = stored.agg(F.max("chunk_id")).first()[0]  # from the folders' names
-        self.count = 0 if last is None else last + 1
+        ordered = all_.repartition("chunk_ids").sortWithinPartitions("chunk_ids", "chunk_id")
+        ordered.write.option("parquet.block.size", ROW_GROUP).partitionBy("chunk_ids").parquet(self.folder)
+        self.count = -(-self._stored().count() // size)  # from the files' footers
+
+    def _stored(self, within: str = "") -> DataFrame:
+        return self.spark.read.schema(self.schema).option("basePath", self.folder).parquet(self.folder + within)
 
     def __len__(self) -> int:
         return self.count
@@ -60,11 +68,16 @@ class Chunks:
     def __getitem__(self, i: int) -> DataFrame:
         if not 0 <= i < self.count:
             raise IndexError(i)
-        return self.spark.read.schema(self.schema).parquet(self.folder).filter(F.col("chunk_id") == i).drop("chunk_id")
+        at = i // self.shared
+        return self._stored(f"/chunk_ids={at}").filter((F.col("chunk_ids") == at) & (F.col("chunk_id") == i)).drop("chunk_ids", "chunk_id")
 
     def __iter__(self) -> Iterator[DataFrame]:
         return (self[i] for i in range(self.count))
 
+    def each(self, function: Callable, schema: StructType | str) -> DataFrame:
+        """The rows that function returns for each chunk, both Arrow tables, called in tasks; lazy, so to be read before close."""
+        return self._stored().drop("chunk_ids").groupBy("chunk_id").applyInArrow(lambda t: function(t.drop_columns("chunk_id")), schema)
+
     def close(self) -> None:
         """Delete the chunks."""
         remove_folder(self.spark, self.folder)

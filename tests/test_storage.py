@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from odweave.functions.collections import combine_maps
 from odweave.operators import blocks, sketches, translate
 from odweave.operators.correspondence import Correspondence
+from odweave.plans import catalogue
 from odweave.sources import archives, ingest, shared, storage
 
 
@@ -84,6 +85,36 @@ def test_chunks_read_the_table_once(spark, tmp_path):
         assert list(none) == []
 
 
+def jobs(spark, group, run):
+    """The result of run, and how many jobs it started."""
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_chunks_take_no_job_or_folder_each(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "FOLDER_ROWS", 1000)
+    df = spark.range(4005).select((F.col("id") * 7919 % 4005).alias("k"))
+    with storage.Chunks(df, 10, "k") as all_:
+        files = spark.read.parquet(all_.folder).inputFiles()
+        assert len(all_) == 401 and len(files) == 5
+        assert [sorted(r.k for r in all_[i].collect()) for i in (0, 99, 100, 400)] == [list(range(a, min(a + 10, 4005))) for a in (0, 990, 1000, 4000)]
+        assert len(all_[250].inputFiles()) == 1
+        ends = all_.each(lambda t: t.slice(0, 1).append_column("n", [[len(t)]]), "k long, n long").collect()
+        assert len(ends) == 401 and sorted({(r.k // 10, r.n) for r in ends}) == [(i, 10) for i in range(400)] + [(400, 5)]
+    with storage.Chunks(df, 3000, "k") as all_:
+        assert all_.shared == 1 and [c.count() for c in all_] == [3000, 1005]
+    seen = []
+    for name, n in (("few", 1200), ("many", 12_000), ("none", 0)):
+        spark.range(n).select(F.col("id").alias("c_custkey")).write.parquet(str(tmp_path / name / "customer.parquet"))
+        got, made = jobs(spark, f"chunks-{name}", lambda name=name: catalogue.QUERIES["chunks_counted"](spark, str(tmp_path / name)).collect())
+        assert sorted(tuple(r) for r in got) == [(i, 400) for i in range(n)]
+        seen.append(made)
+    assert seen[1] <= seen[0] + 2  # a few more for more ranges, but none for each chunk
+
+
 @pytest.mark.parametrize(("n", "m", "side"), [(25, 25, 8), (10, 3, 256), (7, 20, 5)])
 def test_blocks(spark, n, m, side):
     r = np.random.default_rng(n)
