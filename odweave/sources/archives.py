@@ -1,4 +1,7 @@
-"""CSV files inside archives as a data source of Spark: a partition for each member, read as a stream in its task.
+"""CSV files inside archives as a data source of Spark: a partition for each run of members, read as streams in its task.
+
+A run is one member, or as many small ones as have PART bytes. Members of a zip or of a plain tar are read from their own
+places; a compressed tar is one run, as what stands before a member has to be unpacked first.
 
 All values come as strings; types are given in the plan, where a cell that isn't of its type is null and is named in the
 column ``rejected``, and a line with another number of cells than the header is kept as text in ``rejected_line``.
@@ -16,6 +19,10 @@ ARCHIVES = (".zip", ".tar", ".tgz", ".tar.gz", ".tar.bz2", ".tar.xz", ".xz", ".z
 OTHERS = (".gz", ".bz2", ".csv")
 #: Bytes that a task reads at once.
 BLOCK = 1 << 20
+#: Bytes of a run of members at most, unless one has more, and runs that less than that is cut into, about.
+PART, PARTS = 64 << 20, 64
+#: Bytes that could be read while a member is opened, and while its entry in a zip's directory is read; each task reads that whole.
+OPENING, ENTRY = 64 << 10, 8 << 10
 
 FORMAT = "csv_members"
 MEMBER, LINE = "member", "rejected_line"
@@ -34,7 +41,7 @@ def _source() -> type:
     from pyarrow import csv, fs
     from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-    known, block = ARCHIVES + OTHERS, BLOCK
+    known, block, part, parts, opening, entry = ARCHIVES + OTHERS, BLOCK, PART, PARTS, OPENING, ENTRY
 
     def opened(path: str):
         if path.startswith("file:"):
@@ -59,21 +66,54 @@ def _source() -> type:
     def is_tar(path: str) -> bool:
         return path.lower().endswith((".tar", ".tgz", ".tar.gz", ".tar.bz2", ".tar.xz"))
 
-    def members(path: str) -> list[str]:
+    def places(path: str) -> list[tuple] | None:
+        """(bytes, place) of each member, if it can be read without those before it."""
         if path.lower().endswith(".zip"):
             with raw(path) as f, zipfile.ZipFile(f) as z:
-                return [x.filename for x in z.infolist() if not x.is_dir()]
-        if is_tar(path):
-            with raw(path) as f, tarfile.open(fileobj=f, mode="r:*") as t:
-                return [x.name for x in t if x.isfile()]
-        return [""]
+                return [(x.file_size, i) for i, x in enumerate(z.infolist()) if not x.is_dir()]
+        if not is_tar(path):
+            return None
+        try:
+            with raw(path) as f, tarfile.open(fileobj=f, mode="r:") as t:
+                return [(x.size, (x.name, x.offset_data, x.size, x.sparse)) for x in t if x.isfile()]
+        except tarfile.ReadError:  # it is compressed
+            return None
 
-    def stream(path: str, member: str):
+    def runs(path: str, found: list[tuple], most: float) -> list[list]:
+        """The places of members in runs of most bytes, of more if a zip's directory is long."""
+        if path.lower().endswith(".zip"):
+            most = max(most, entry * len(found))
+        out, size = [], most
+        for n, place in found:
+            if size + n + opening > most:
+                out.append([])
+                size = 0
+            out[-1].append(place)
+            size += n + opening
+        return out
+
+    def streams(path: str, run: list | None = None):
+        """(member, stream) of the members of a run, or of all, one after another."""
         f, low = raw(path), path.lower()
         if low.endswith(".zip"):
-            return zipfile.ZipFile(f).open(member)
-        if is_tar(path):
-            return tarfile.open(fileobj=f, mode="r:*").extractfile(member)
+            z = zipfile.ZipFile(f)
+            all_ = z.infolist()
+            for x in [x for x in all_ if not x.is_dir()] if run is None else [all_[i] for i in run]:
+                yield x.filename, z.open(x)
+        elif is_tar(path):
+            t = tarfile.open(fileobj=f, mode="r:*")
+            for name, offset, size, sparse in run or ():
+                x = tarfile.TarInfo(name)
+                x.offset_data, x.size, x.sparse = offset, size, sparse
+                yield name, t.extractfile(x)
+            while run is None and (x := t.next()) is not None:
+                t.members = []  # it would keep all
+                if x.isfile():
+                    yield x.name, t.extractfile(x)
+        else:
+            yield "", plain(f, low)
+
+    def plain(f, low: str):
         if low.endswith(".zst"):
             import zstandard
 
@@ -83,14 +123,25 @@ def _source() -> type:
                 return kind.open(f)
         return f
 
-    def reader(path: str, member: str, columns: Sequence[str] | None, odd: list) -> csv.CSVStreamingReader | None:
+    def merged(batches):
+        """Batches of a block at least, but for the last, as a small member's would cost more to send than to read."""
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.nbytes
+            if size >= block:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    def reader(source, columns: Sequence[str] | None, odd: list) -> csv.CSVStreamingReader | None:
         def kept(row) -> str:
             odd.append(row.text or "")
             return "skip"
 
         some = {} if columns is None else {"include_columns": list(columns), "include_missing_columns": True}
         types = {} if columns is None else dict.fromkeys(columns, pa.string())
-        source = stream(path, member)
         try:
             return csv.open_csv(
                 source,
@@ -103,32 +154,37 @@ def _source() -> type:
                 return None
             raise
 
-    class Member(InputPartition):
-        def __init__(self, path: str, member: str):
-            self.path, self.member = path, member
+    class Run(InputPartition):
+        def __init__(self, path: str, places: list | None):
+            self.path, self.places = path, places
 
     class Members(DataSourceReader):
         def __init__(self, path: str, schema):
             self.path, self.columns = path, [f.name for f in schema.fields][:-2]
 
-        def partitions(self) -> list[Member]:
-            return [Member(p, m) for p in files(self.path) for m in members(p)]
+        def partitions(self) -> list[Run]:
+            found = [(p, places(p)) for p in files(self.path)]
+            most = min(part, sum(n + opening for _, of in found for n, _ in of or ()) / parts)
+            return [Run(p, run) for p, of in found for run in ([None] if of is None else runs(p, of, most))]
 
-        def read(self, partition: Member):
+        def read(self, partition: Run):
             if partition is None:  # a folder without members
-                return
-            odd: list[str] = []
-            name = f"{partition.path.rsplit('/', 1)[-1]}/{partition.member}".rstrip("/")
-            names = [*self.columns, MEMBER, LINE]
+                return iter(())
+            return merged(self.batches(partition))
+
+        def batches(self, run: Run):
+            names, archive = [*self.columns, MEMBER, LINE], run.path.rsplit("/", 1)[-1]
+            for member, source in streams(run.path, run.places):
+                odd: list[str] = []
+                name = f"{archive}/{member}".rstrip("/")
 
-            def batch(columns: list, n: int, lines: list):
-                return pa.RecordBatch.from_arrays([*columns, pa.array([name] * n), pa.array(lines, pa.string())], names=names)
+                def batch(columns: list, n: int, lines: list, name: str = name):
+                    return pa.RecordBatch.from_arrays([*columns, pa.array([name] * n, pa.string()), pa.array(lines, pa.string())], names=names)
 
-            got = reader(partition.path, partition.member, self.columns, odd)
-            for b in got or ():
-                yield batch([b.column(c) for c in self.columns], len(b), [None] * len(b))
-            if odd:
-                yield batch([pa.nulls(len(odd), pa.string()) for _ in self.columns], len(odd), odd)
+                for b in reader(source, self.columns, odd) or ():
+                    yield batch([b.column(c) for c in self.columns], len(b), [None] * len(b))
+                if odd:
+                    yield batch([pa.nulls(len(odd), pa.string()) for _ in self.columns], len(odd), odd)
 
     class CsvMembers(DataSource):
         @classmethod
@@ -140,8 +196,8 @@ def _source() -> type:
 
             names: list[str] = []
             for path in files(self.options["path"]):
-                for m in members(path):
-                    if (got := reader(path, m, None, [])) is not None:
+                for _, source in streams(path):
+                    if (got := reader(source, None, [])) is not None:
                         names = got.schema.names
                         break
                 if names:

@@ -211,6 +211,41 @@ def test_members_of_all_forms(spark, tmp_path):
     assert raw.rdd.getNumPartitions() == 3 and {r.member for r in raw.collect()} == {"two.zip/d/a.csv", "two.zip/b.csv"}
 
 
+def test_small_members_share_tasks(spark, tmp_path, monkeypatch):
+    members = [(f"{'long' * 40 if i % 50 == 0 else 'd'}/{i}.csv", f"id,x\n{i},{i}.5\n{'odd' if i % 100 == 7 else f'{i},'}\n") for i in range(600)]
+    members[3:5] = [("d/3.csv", ""), ("d/4.csv", "id,x\n")]
+    members[5] = ("d/5.csv", "id,x\n" + "5,5.5\n" * 168 + "5,5.25\n5,5\n")  # two blocks of a tar
+    members[6] = ("d/7.csv", members[6][1])  # a name that stands twice
+    assert len(members[5][1]) == 1024
+    with zipfile.ZipFile(tmp_path / "m.zip", "w") as z:
+        z.mkdir("d")
+        for name, text in members:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                z.writestr(name, text)
+    for suffix in (".tar", ".tar.xz", ".tar.gz"):
+        with tarfile.open(tmp_path / f"m{suffix}", f"w:{suffix[5:]}") as t:
+            folder = tarfile.TarInfo("d")
+            folder.type = tarfile.DIRTYPE
+            t.addfile(folder)
+            for name, text in members:
+                info = tarfile.TarInfo(name)
+                info.size = len(text)
+                t.addfile(info, io.BytesIO(text.encode()))
+    (tmp_path / "called.tar").write_bytes((tmp_path / "m.tar.gz").read_bytes())
+    for name, tasks in (("m.zip", 9), ("m.tar", 128), ("m.tar.xz", 1), ("m.tar.gz", 1), ("called.tar", 1)):
+        want = []
+        for member, text in members:
+            for line in text.splitlines()[1:]:
+                cells = [c or None for c in line.split(",")]
+                want.append((*cells, f"{name}/{member}", None) if len(cells) == 2 else (None, None, f"{name}/{member}", line))
+        got = archives.read_members(spark, str(tmp_path / name))
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and len(want) > 1300
+        assert got.rdd.getNumPartitions() <= tasks < 600, name
+    monkeypatch.setattr(archives, "PART", 1)
+    assert archives.read_members(spark, str(tmp_path / "m.tar")).rdd.getNumPartitions() == 600
+
+
 def test_read_csv_names_the_column(spark, tmp_path):
     (tmp_path / "t.csv").write_text("id,x\n1,0.5\n2,n/a\n")
     with pytest.raises(Exception, match=r"column 'x' of trips has a value that is no double: n/a"):
