@@ -53,10 +53,10 @@ class Chunks:
         self.spark, self.folder = df.sparkSession, shared_folder(df.sparkSession, "chunks")
         all_ = chunked(df, size, key, ties)
         self.shared = max(1, FOLDER_ROWS // size)
-        all_ = all_.withColumn("chunk_ids", F.floor(F.col("chunk_id") / self.shared))
+        all_ = all_.withColumn("chunk_id_folder", F.floor(F.col("chunk_id") / self.shared))
         self.schema = all_.schema
-        ordered = all_.repartition("chunk_ids").sortWithinPartitions("chunk_ids", "chunk_id")
-        ordered.write.option("parquet.block.size", ROW_GROUP).partitionBy("chunk_ids").parquet(self.folder)
+        ordered = all_.repartition("chunk_id_folder").sortWithinPartitions("chunk_id_folder", "chunk_id")
+        ordered.write.option("parquet.block.size", ROW_GROUP).partitionBy("chunk_id_folder").parquet(self.folder)
         self.count = -(-self._stored().count() // size)  # from the files' footers
 
     def _stored(self, within: str = "") -> DataFrame:
@@ -69,14 +69,14 @@ class Chunks:
         if not 0 <= i < self.count:
             raise IndexError(i)
         at = i // self.shared
-        return self._stored(f"/chunk_ids={at}").filter((F.col("chunk_ids") == at) & (F.col("chunk_id") == i)).drop("chunk_ids", "chunk_id")
+        return self._stored(f"/chunk_id_folder={at}").filter((F.col("chunk_id_folder") == at) & (F.col("chunk_id") == i)).drop("chunk_id_folder", "chunk_id")
 
     def __iter__(self) -> Iterator[DataFrame]:
         return (self[i] for i in range(self.count))
 
     def each(self, function: Callable, schema: StructType | str) -> DataFrame:
         """The rows that function returns for each chunk, both Arrow tables, called in tasks; lazy, so to be read before close."""
-        return self._stored().drop("chunk_ids").groupBy("chunk_id").applyInArrow(lambda t: function(t.drop_columns("chunk_id")), schema)
+        return self._stored().drop("chunk_id_folder").groupBy("chunk_id").applyInArrow(lambda t: function(t.drop_columns("chunk_id")), schema)
 
     def close(self) -> None:
         """Delete the chunks."""
